@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace, punctuation set apart, punctuation turned to a space, the 32 ASCII
-# punctuation marks, and the English articles.
-SPACE = "[ \\t\\n\\r\\f\\x0B]+"
-SET_APART = "([.,()!?'])"
-TO_SPACE = "<br />|[;:]"
+# A token is one of the marks . , ( ) ! ? ' or a run without marks, separators and
+# ASCII whitespace; the 32 ASCII punctuation marks; the English articles.
+TOKEN = "[.,()!?']|[^.,()!?';: \\t\\n\\r\\f\\x0B]+"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ARTICLES = "(?U)\\b(a|an|the)\\b"
 
 
 def tokenize(text: Column) -> Column:
     """Lower-cased word tokens: double quotes dropped, ; and : and <br /> as spaces, . , ( ) ! ? ' kept apart."""
-    t = F.replace(F.lower(text), F.lit('"'), F.lit(""))
-    t = F.regexp_replace(F.regexp_replace(t, TO_SPACE, " "), SET_APART, " $1 ")
-    return F.array_remove(F.split(t, SPACE), "")
+    t = F.replace(F.replace(F.lower(text), F.lit('"'), F.lit("")), F.lit("<br />"), F.lit(" "))
+    return F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
 
 
 def normalize_answer(text: Column) -> Column:

@@ -38,16 +38,18 @@ def build_vocabulary(tokens: DataFrame, token: str = "token", specials: Sequence
 def lookup_ids(tokens: DataFrame, vocab: DataFrame, unk_id: int = 0, head: int = HEAD_SIZE) -> DataFrame:
     """Replace ``token`` by ``token_id``; unknown tokens get ``unk_id``.
 
-    The first ``head`` ids, which cover the frequent tokens and hence all skew, are broadcast. Only
-    tokens outside that head are shuffled to meet the rest of the vocabulary.
+    The first ``head`` ids, which cover the frequent tokens and hence all skew, are broadcast. If the
+    vocabulary is larger, tokens outside that head are shuffled to meet the rest of it.
     """
     words = vocab.select("token", "token_id")
     top = F.broadcast(words.filter(F.col("token_id") < head))  # at most `head` rows
     rest = words.filter(F.col("token_id") >= head)
+    unk = F.lit(unk_id).cast("bigint")
+    if rest.isEmpty():
+        return tokens.join(top, "token", "left").withColumn("token_id", F.coalesce("token_id", unk)).drop("token")
     common = tokens.join(top, "token")
     rare = tokens.join(top, "token", "left_anti").join(rest, "token", "left")
-    rare = rare.withColumn("token_id", F.coalesce("token_id", F.lit(unk_id).cast("bigint")))
-    return common.unionByName(rare).drop("token")
+    return common.unionByName(rare.withColumn("token_id", F.coalesce("token_id", unk))).drop("token")
 
 
 def long_enough(df: DataFrame, tokens: Column, minimum: int) -> DataFrame:

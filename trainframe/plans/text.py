@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trainframe.functions.text import tokenize
 from trainframe.operators import sequences as Q
 from trainframe.operators import vocabulary as V
-from trainframe.session import table
+from trainframe.session import spread, table
 
 
 def tokens_sql(text: str) -> str:
@@ -31,7 +31,8 @@ s AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS stream_pos, coalesce(
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tokenize(F.col("text")).alias("tokens"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
 
 
 def _vocab(spark, sf):
@@ -81,7 +82,8 @@ def masked_targets(spark, sf):
 
 
 def _halves(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", tokenize(F.col("text")).alias("tokens"))
+    rows = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    rows = rows.select("conv_id", "turn", tokenize(F.col("text")).alias("tokens"))
     vocab = V.build_vocabulary(rows.select(F.explode("tokens").alias("token")))
     ids = V.lookup_ids(rows.select("conv_id", "turn", F.posexplode("tokens").alias("i", "token")), vocab)
     ids = ids.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("i", "token_id")))["token_id"].alias("ids"))
