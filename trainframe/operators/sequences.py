@@ -42,28 +42,25 @@ def reshape_columns(stream: DataFrame, columns: int, pad_id: int) -> DataFrame:
 def bptt_windows(cells: DataFrame, bptt: int, replicas: int, current: int = 0) -> DataFrame:
     """(rank, iteration, col, text, target): consecutive windows dealt to ranks, equal steps per rank.
 
-    A cell is text of its own window and target of the window holding the row before it, so windows
-    build in one grouping over at most bptt + 1 cells, with no window along a whole column.
+    A cell belongs to its own window, and the first cell of a window also ends the one before it as
+    the last target. Windows build in one grouping of at most bptt + 1 cells each, with no window
+    function along a whole column.
     """
     step = bptt * replicas
     highest = current + bptt * (replicas - 1)
     steps = F.greatest(F.ceil((F.col("length") - highest) / step), F.lit(0))
-    as_text = F.when(
-        (F.col("row") >= current) & (F.col("row") < F.col("length") - 1),
-        F.struct(F.col("row").alias("r"), F.lit(True).alias("is_text")),
+    off = F.col("row") - current
+    seg = F.floor(off / bptt)
+    both = F.when((off % bptt == 0) & (seg > 0), F.array(seg, seg - 1)).otherwise(F.array(seg))
+    uses = cells.filter(off >= 0).select("row", "col", "token_id", steps.alias("_steps"), F.explode(both).alias("_seg"))
+    uses = uses.withColumn("rank", F.col("_seg") % replicas).withColumn("iteration", F.floor(F.col("_seg") / replicas))
+    out = uses.filter("iteration < _steps").groupBy("rank", "iteration", "col").agg(
+        F.sort_array(F.collect_list(F.struct("row", "token_id")))["token_id"].alias("_w")
     )
-    as_target = F.when(
-        F.col("row") - 1 >= current, F.struct((F.col("row") - 1).alias("r"), F.lit(False).alias("is_text"))
+    n = F.size("_w") - 1
+    return out.filter(n > 0).select(
+        "rank", "iteration", "col", F.slice("_w", 1, n).alias("text"), F.slice("_w", 2, n).alias("target")
     )
-    uses = cells.withColumn("_steps", steps).withColumn("_u", F.explode(F.array_compact(F.array(as_text, as_target))))
-    seg = F.floor((F.col("_u.r") - current) / bptt)
-    uses = uses.withColumn("rank", seg % replicas).withColumn("iteration", F.floor(seg / replicas)).filter("iteration < _steps")
-    cell = F.struct(F.col("_u.r").alias("r"), "token_id")
-    out = uses.groupBy("rank", "iteration", "col").agg(
-        F.sort_array(F.collect_list(F.when(F.col("_u.is_text"), cell))).alias("_x"),
-        F.sort_array(F.collect_list(F.when(~F.col("_u.is_text"), cell))).alias("_y"),
-    )
-    return out.select("rank", "iteration", "col", F.col("_x.token_id").alias("text"), F.col("_y.token_id").alias("target"))
 
 
 def masked_batches(

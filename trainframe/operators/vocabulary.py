@@ -16,6 +16,11 @@ SPECIALS = ("<unk>", "<pad>", "<MASK>", "<cls>", "<sep>")
 HEAD_SIZE = 65536
 
 
+def each_token(df: DataFrame, tokens: str = "tokens", *keep: str) -> DataFrame:
+    """One row per token with the ``keep`` columns and ``i``. Outer explode keeps Spark from tokenising twice for a filter."""
+    return df.select(*keep, F.posexplode_outer(tokens).alias("i", "token")).filter(F.col("token").isNotNull())
+
+
 def build_vocabulary(tokens: DataFrame, token: str = "token", specials: Sequence[str] = SPECIALS) -> DataFrame:
     """(token, token_id, freq): specials first, then by falling frequency, ties by token.
 

@@ -36,7 +36,7 @@ def _docs(spark, sf):
 
 
 def _vocab(spark, sf):
-    return V.build_vocabulary(_docs(spark, sf).select(F.explode("tokens").alias("token")))
+    return V.build_vocabulary(V.each_token(_docs(spark, sf)))
 
 
 def _stream(spark, sf):
@@ -56,7 +56,7 @@ def vocabulary(spark, sf):
 
 
 def token_ids(spark, sf):
-    t = _docs(spark, sf).select("doc_id", F.posexplode("tokens").alias("i", "token"))
+    t = V.each_token(_docs(spark, sf), "tokens", "doc_id")
     return V.lookup_ids(t, _vocab(spark, sf)).groupBy("doc_id").agg(
         F.count("*").alias("n_tokens"), F.sum("token_id").alias("sum_ids"), F.sum(F.col("token_id") * F.col("i")).alias("weighted")
     )
@@ -84,8 +84,8 @@ def masked_targets(spark, sf):
 def _halves(spark, sf):
     rows = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
     rows = rows.select("conv_id", "turn", tokenize(F.col("text")).alias("tokens"))
-    vocab = V.build_vocabulary(rows.select(F.explode("tokens").alias("token")))
-    ids = V.lookup_ids(rows.select("conv_id", "turn", F.posexplode("tokens").alias("i", "token")), vocab)
+    vocab = V.build_vocabulary(V.each_token(rows))
+    ids = V.lookup_ids(V.each_token(rows, "tokens", "conv_id", "turn"), vocab)
     ids = ids.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("i", "token_id")))["token_id"].alias("ids"))
     return Q.sentence_halves(ids, ["conv_id", "turn"], seed=11)
 
