@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["sampling", "text"]
+MODULES = ["ranking", "sampling", "text"]
 
 
 class Query(NamedTuple):
