@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["ranking", "sampling", "text"]
+MODULES = ["ranking", "sampling", "text", "metrics"]
 
 
 class Query(NamedTuple):
