@@ -79,6 +79,9 @@ def main(argv):
     spark = build_session("oracle", "local[8]", 8)
     con = connect(sf_dir)
     queries, sqls = entry.queries(), entry.oracle_sql()
+    import importlib
+
+    argv = [n for a in argv for n in (importlib.import_module(a).QUERIES if a.startswith("trainframe.") else [a])]
     names = argv or list(queries)
     failed = 0
     for name in names:
@@ -86,7 +89,7 @@ def main(argv):
         try:
             msg = compare(spark, con, sf_dir, queries[name], sqls.get(name))
         except Exception as e:  # noqa: BLE001 - report and go on
-            msg = f"{type(e).__name__}: {str(e)[:1500]}"
+            msg = f"{type(e).__name__}: {str(e)[:400]}"
         failed += msg is not None
         print(f"{'FAIL' if msg else 'ok  '} {name} {time.time() - t:.1f}s {'' if name in sqls else '(rows only) '}{msg or ''}", flush=True)
     print(f"{len(names) - failed}/{len(names)} ok")

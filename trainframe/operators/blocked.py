@@ -30,16 +30,18 @@ def running(
     maxs: Mapping[str, Column] | None = None,
     mins: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
+    leads: Mapping[str, Column] | None = None,
     exclusive: bool = False,
 ) -> DataFrame:
-    """Add running sums, maxima, minima and previous-row values in ``order`` within each group.
+    """Add running sums, maxima, minima, previous-row and next-row values in ``order`` within each group.
 
     ``order`` must be a total order inside the group and ``block`` non-decreasing along it.
-    With ``exclusive`` the current row is left out of sums, maxima and minima.
+    With ``exclusive`` the current row is left out of sums, maxima and minima. ``df`` is read twice, so
+    checkpoint it before calling this several times in a row.
     """
     by = list(by)
-    sums, maxs, mins, lags = (dict(m or {}) for m in (sums, maxs, mins, lags))
-    inputs = {**sums, **maxs, **mins, **lags}
+    sums, maxs, mins, lags, leads = (dict(m or {}) for m in (sums, maxs, mins, lags, leads))
+    inputs = {**sums, **maxs, **mins, **lags, **leads}
     names = {k: f"_in{i}" for i, k in enumerate(inputs)}
     work = df.select("*", block.alias("_block"), *[inputs[k].alias(names[k]) for k in inputs])
 
@@ -53,6 +55,7 @@ def running(
     totals += [F.max(names[k]).alias(names[k]) for k in maxs]
     totals += [F.min(names[k]).alias(names[k]) for k in mins]
     totals += [F.max_by(F.struct(names[k]), key).alias(names[k]) for k in lags]
+    totals += [F.min_by(F.struct(names[k]), key).alias(names[k]) for k in leads]
     carry = work.groupBy(*by, "_block").agg(*totals)
     carry = carry.select(
         *by,
@@ -61,6 +64,7 @@ def running(
         *[F.max(names[k]).over(earlier).alias("_c" + names[k]) for k in maxs],
         *[F.min(names[k]).over(earlier).alias("_c" + names[k]) for k in mins],
         *[F.lag(names[k]).over(blocks).alias("_c" + names[k]) for k in lags],
+        *[F.lead(names[k]).over(blocks).alias("_c" + names[k]) for k in leads],
     )
 
     local = work.select(
@@ -69,6 +73,7 @@ def running(
         *[F.max(names[k]).over(frame).alias("_l" + names[k]) for k in maxs],
         *[F.min(names[k]).over(frame).alias("_l" + names[k]) for k in mins],
         *[F.lag(F.struct(names[k])).over(ordered).alias("_l" + names[k]) for k in lags],
+        *[F.lead(F.struct(names[k])).over(ordered).alias("_l" + names[k]) for k in leads],
     )
     both = local.join(carry, [*by, "_block"])
 
@@ -81,7 +86,7 @@ def running(
         out.append(F.when(a.isNull() & c.isNull(), F.lit(None)).otherwise(_zero(a) + _zero(c)).alias(k))
     out += [F.greatest(*pair(k)).alias(k) for k in maxs]
     out += [F.least(*pair(k)).alias(k) for k in mins]
-    out += [F.coalesce(*pair(k)).getField(names[k]).alias(k) for k in lags]
+    out += [F.coalesce(*pair(k)).getField(names[k]).alias(k) for k in [*lags, *leads]]
     return both.select(*df.columns, *out)
 
 

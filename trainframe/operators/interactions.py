@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trainframe.operators.blocked import running, step_block
 from trainframe.operators.position import seeded_draw
+from trainframe.session import checkpointed
 
 
 def distinct_interactions(df: DataFrame) -> DataFrame:
@@ -27,6 +28,7 @@ def negatives(features: DataFrame, positives: DataFrame, item_num: Column, num_n
     over positives and draws merged in value order, cut in blocks, so no user's items are gathered
     in one place and no draw is repeated. A user who has every item gets no rows.
     """
+    positives = checkpointed(positives)  # read several times below
     ranked = running(positives, ["user"], ["item"], step_block("item"), sums={"_rank": F.lit(1)}, exclusive=True)
     gaps = ranked.select("user", (F.col("item") - F.coalesce("_rank", F.lit(0))).alias("_v"), F.lit(0).alias("_draw"),
                          "item", F.lit(0).alias("ng_no"))

@@ -7,7 +7,9 @@ from trainframe.operators import answers as N
 from trainframe.operators import features as X
 from trainframe.session import table
 
-CENTS = F.round(F.col("value") * 100).cast("bigint")
+def _cents():
+    return F.round(F.col("value") * 100).cast("bigint")
+
 
 
 def _log(spark, sf):
@@ -20,7 +22,7 @@ def _log(spark, sf):
         F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "signup", "clear").otherwise("add").alias("op"),
         F.col("event_type").alias("key"),
-        CENTS.alias("delta"),
+        _cents().alias("delta"),
     )
 
 
@@ -97,7 +99,7 @@ def argmax_accuracy(spark, sf):
 
 def replica_mean(spark, sf):
     per = table(spark, sf, "events").groupBy(F.dayofmonth("ts").alias("epoch"), (F.col("event_id") % 4).alias("replica")).agg(
-        (F.sum(CENTS) / F.count("*")).alias("loss")
+        (F.sum(_cents()) / F.count("*")).alias("loss")
     )
     return A.replica_mean(per, ["epoch"], F.col("loss")).select("epoch", F.round("mean", 6).alias("mean"))
 
@@ -117,7 +119,7 @@ def loss_over_batches(spark, sf):
 
 
 def logging_windows(spark, sf):
-    e = table(spark, sf, "events").select((F.col("event_id") % 4).alias("run"), F.floor(F.col("event_id") / 4).alias("i"), CENTS.alias("c"))
+    e = table(spark, sf, "events").select((F.col("event_id") % 4).alias("run"), F.floor(F.col("event_id") / 4).alias("i"), _cents().alias("c"))
     out = A.logging_windows(e, ["run"], "i", 50, {"loss": F.col("c"), "seconds": F.col("c") % 17})
     return out.select("run", "log_window", F.round("loss", 6).alias("loss"), F.round("seconds", 6).alias("seconds"))
 
@@ -155,15 +157,29 @@ def _answers(spark, sf):
     return N.with_references(pred, refs, ["conv_id", "turn"])
 
 
+def _part_names(spark, sf):
+    """Each part's name is predicted by its neighbours' names, written another way."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    pred = p.select("p_partkey", F.col("p_name").alias("prediction"))
+    refs = p.select(
+        F.explode(F.array(
+            F.struct((F.col("p_partkey") - 1).alias("p_partkey"), F.concat(F.lit("The "), "p_name", F.lit("!")).alias("answer")),
+            F.struct((F.col("p_partkey") + 1).alias("p_partkey"), F.upper("p_name").alias("answer")),
+        )).alias("r")
+    ).select("r.*")
+    return N.with_references(pred, refs, ["p_partkey"])
+
+
 def exact_match(spark, sf):
-    pairs = _answers(spark, sf)
-    first = F.regexp_extract("prediction", "^[^ .]*", 0)
-    pairs = pairs.withColumn("prediction", first).withColumn("answer", F.regexp_extract("answer", "^[^ .]*", 0))
-    return N.exact_match_each(pairs, ["conv_id", "turn"])
+    return N.exact_match_each(_part_names(spark, sf), ["p_partkey"])
 
 
 def exact_match_score(spark, sf):
-    return N.exact_match(_answers(spark, sf), ["conv_id", "turn"]).select("questions", F.round("exact_match", 6).alias("exact_match"))
+    return N.exact_match(_part_names(spark, sf), ["p_partkey"]).select("questions", F.round("exact_match", 6).alias("exact_match"))
+
+
+def answers_match(spark, sf):
+    return N.exact_match_each(_answers(spark, sf), ["conv_id", "turn"])
 
 
 def normalized_answers(spark, sf):
@@ -217,6 +233,10 @@ ANSWERS = """
 a AS (SELECT p.conv_id, p.turn, CASE WHEN u.turn = p.turn - 1 THEN 0 ELSE 1 END AS ref_no, p.text AS prediction, u.text AS answer
       FROM conversations p JOIN conversations u ON p.conv_id = u.conv_id AND abs(p.turn - u.turn) = 1 WHERE p.role = 'assistant' AND u.role = 'user')"""
 
+PARTS = f"""WITH a AS (SELECT p.p_partkey, p.p_name AS prediction, CASE WHEN r.p_partkey > p.p_partkey THEN 'The ' || r.p_name || '!' ELSE upper(r.p_name) END AS answer
+          FROM part p JOIN part r ON r.p_partkey = p.p_partkey + 1 OR r.p_partkey = p.p_partkey - 1),
+e AS (SELECT p_partkey, max(({norm_sql('prediction')} = {norm_sql('answer')})::INT) AS em FROM a GROUP BY 1)"""
+
 F1 = f"""WITH {ANSWERS},
 w AS (SELECT conv_id, turn, ref_no, list_filter(string_split_regex(prediction, '[ \\n]+'), lambda t: t <> '') AS p,
              list_filter(string_split_regex(answer, '[ \\n]+'), lambda t: t <> '') AS r FROM a),
@@ -322,15 +342,11 @@ QUERIES = {
            SELECT grp, trial, value, trials, 'max' AS mode FROM r WHERE hi = 1 UNION ALL SELECT grp, trial, value, trials, 'min' FROM r WHERE lo = 1""",
     ),
     "normalized_answers": (normalized_answers, f"SELECT conv_id, turn, {norm_sql('text')} AS norm FROM conversations"),
-    "exact_match": (
-        exact_match,
-        f"""WITH {ANSWERS}, s AS (SELECT conv_id, turn, regexp_extract(prediction, '^[^ .]*') AS p, regexp_extract(answer, '^[^ .]*') AS r FROM a)
-            SELECT conv_id, turn, max(({norm_sql('p')} = {norm_sql('r')})::INT) AS em FROM s GROUP BY 1, 2""",
-    ),
-    "exact_match_score": (
-        exact_match_score,
-        f"""WITH {ANSWERS}, e AS (SELECT conv_id, turn, max(({norm_sql('prediction')} = {norm_sql('answer')})::INT) AS em FROM a GROUP BY 1, 2)
-            SELECT count(*) AS questions, round(100 * avg(em), 6) AS exact_match FROM e""",
+    "exact_match": (exact_match, f"{PARTS} SELECT p_partkey, em FROM e"),
+    "exact_match_score": (exact_match_score, f"{PARTS} SELECT count(*) AS questions, round(100 * avg(em), 6) AS exact_match FROM e"),
+    "answers_match": (
+        answers_match,
+        f"WITH {ANSWERS} SELECT conv_id, turn, max(({norm_sql('prediction')} = {norm_sql('answer')})::INT) AS em FROM a GROUP BY 1, 2",
     ),
     "token_f1": (token_f1, f"{F1} SELECT conv_id, turn, round(f1, 9) AS f1 FROM f"),
     "token_f1_score": (token_f1_score, f"{F1} SELECT count(*) AS questions, round(100 * avg(f1), 6) AS f1 FROM f"),
