@@ -34,10 +34,12 @@ def log_optim_time(p: Column, accum: Column, network: Column) -> Column:
     return F.ln(F.pow(accum, p["gamma"]) + F.pow(network, p["gamma"])) / p["gamma"]
 
 
-def throughput(p: Column, nodes: Column, replicas: Column, local_bsz: Column, accum_steps: Column) -> Column:
-    """Rows per second."""
+def throughput(
+    p: Column, nodes: Column, replicas: Column, local_bsz: Column, accum_steps: Column, network: Column | None = None
+) -> Column:
+    """Rows per second. ``network`` may hold the precomputed network time."""
     accum = accum_time(p, local_bsz)
-    optim = F.exp(log_optim_time(p, accum, network_time(p, nodes, replicas)))
+    optim = F.exp(log_optim_time(p, accum, network_time(p, nodes, replicas) if network is None else network))
     return replicas * local_bsz * (accum_steps + 1) / (accum_steps * accum + optim)
 
 
@@ -49,11 +51,12 @@ def efficiency(grad: Column, init_batch: Column, batch: Column) -> Column:
 
 
 def goodput(
-    p: Column, grad: Column, init_batch: Column, nodes: Column, replicas: Column, local_bsz: Column, accum_steps: Column
+    p: Column, grad: Column, init_batch: Column, nodes: Column, replicas: Column, local_bsz: Column, accum_steps: Column,
+    network: Column | None = None,
 ) -> Column:
     """Throughput times efficiency."""
     batch = replicas * local_bsz * (accum_steps + 1)
-    return throughput(p, nodes, replicas, local_bsz, accum_steps) * efficiency(grad, init_batch, batch)
+    return throughput(p, nodes, replicas, local_bsz, accum_steps, network) * efficiency(grad, init_batch, batch)
 
 
 def geometric_point(low: Column, high: Column, i: Column, points: int = GRID) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainframe.functions import perf
+from trainframe.session import for_compute
 
 # Rounding slack, gain needed to change the batch, share of single-worker speedup each
 # node must bring, gain needed to resize, and resize distance below which the size is kept.
@@ -16,39 +17,51 @@ RESIZE_GAIN = 1.05
 RESIZE_MARGIN = 0.15
 
 
-def best_config(nodes: Column, replicas: Column) -> Column:
-    """Struct (goodput, local_bsz, accum_steps) of the best of 50 geometric total batch sizes.
+INPUTS = ("params", "grad", "init_batch", "max_batch", "min_local", "max_local", "accumulation")
 
-    Reads the row's params, grad, init_batch, max_batch, min_local, max_local and accumulation columns.
-    Candidates live in an array inside the row, so the search needs no shuffle; ties go to the smaller
+
+def with_best(df: DataFrame, nodes: Column, replicas: Column, out: str = "_best") -> DataFrame:
+    """Add struct ``out`` (goodput, local_bsz, accum_steps): the best of 50 geometric total batch sizes.
+
+    Reads the columns named in INPUTS. Candidates live in an array inside the row, so the search needs
+    no shuffle; what does not depend on the candidate is computed once per row. Ties go to the smaller
     grid index.
     """
-    init, lo, hi = F.col("init_batch"), F.coalesce("min_local", F.lit(1)), F.coalesce("max_local", "max_batch", "init_batch")
-    top = F.coalesce("max_batch", "init_batch")
-    first = F.greatest(init, lo * replicas)
+    init, top = F.col("init_batch"), F.coalesce("max_batch", "init_batch")
+    prepared = (
+        df.withColumn("_lo", F.coalesce("min_local", F.lit(1)))
+        .withColumn("_hi", F.coalesce("max_local", "max_batch", "init_batch"))
+        .withColumn("_first", F.greatest(init, F.col("_lo") * replicas).cast("double"))
+        .withColumn("_ratio", top / F.col("_first"))
+        .withColumn("_net", perf.network_time(F.col("params"), nodes, replicas))
+    )
+    lo, hi = F.col("_lo"), F.col("_hi")
 
     def candidate(i: Column) -> Column:
-        local = perf.geometric_point(first, top, i) / replicas
-        split = F.greatest(F.ceil(local / hi - EPS) - 1, F.when((replicas == 1) & (local > init + EPS), F.lit(1)).otherwise(F.lit(0)))
-        steps = F.when(F.col("accumulation"), split).otherwise(F.lit(0).cast("bigint"))
-        whole = F.when(F.col("accumulation"), F.ceil(local / (steps + 1) - EPS)).otherwise(
-            F.when(replicas == 1, init).otherwise(F.ceil(local - EPS))
-        )
-        bsz = F.least(hi, F.greatest(lo, whole))
-        return F.struct((-i).alias("order"), bsz.cast("bigint").alias("bsz"), steps.cast("bigint").alias("steps"))
+        local = F.when(i == perf.GRID - 1, top.cast("double")).otherwise(F.col("_first") * F.pow("_ratio", i / F.lit(perf.GRID - 1.0))) / replicas
+        least = F.when((replicas == 1) & (local > init + EPS), F.lit(1)).otherwise(F.lit(0))
+        steps = F.when(F.col("accumulation"), F.greatest(F.ceil(local / hi - EPS) - 1, least)).otherwise(F.lit(0))
+        return F.struct((-i).alias("order"), local.alias("local"), steps.cast("bigint").alias("steps"))
+
+    def sized(c: Column) -> Column:
+        whole = F.when(~F.col("accumulation") & (replicas == 1), init).otherwise(F.ceil(c["local"] / (c["steps"] + 1) - EPS))
+        return F.struct(c["order"].alias("order"), F.least(hi, F.greatest(lo, whole)).cast("bigint").alias("bsz"), c["steps"].alias("steps"))
 
     def scored(c: Column) -> Column:
-        value = perf.goodput(F.col("params"), F.col("grad"), init, nodes, replicas, c["bsz"], c["steps"])
+        value = perf.goodput(F.col("params"), F.col("grad"), init, nodes, replicas, c["bsz"], c["steps"], F.col("_net"))
         return F.struct(value.alias("goodput"), c["order"].alias("order"), c["bsz"].alias("local_bsz"), c["steps"].alias("accum_steps"))
 
-    grid = F.transform(F.sequence(F.lit(0), F.lit(perf.GRID - 1)), candidate)
-    best = F.array_max(F.transform(grid, scored))
-    return F.struct(best["goodput"].alias("goodput"), best["local_bsz"].alias("local_bsz"), best["accum_steps"].alias("accum_steps"))
+    grid = F.sequence(F.lit(0), F.lit(perf.GRID - 1))
+    for step in (candidate, sized, scored):
+        grid = F.transform(grid, step)
+    found = prepared.withColumn("_top", F.array_max(grid))
+    best = F.struct("_top.goodput", "_top.local_bsz", "_top.accum_steps")
+    return found.withColumn(out, best).drop("_lo", "_hi", "_first", "_ratio", "_net", "_top")
 
 
 def search(df: DataFrame) -> DataFrame:
     """Best configuration for each row's nodes and replicas."""
-    found = df.withColumn("_best", best_config(F.col("nodes"), F.col("replicas")))
+    found = with_best(for_compute(df), F.col("nodes"), F.col("replicas"))
     return found.select("*", "_best.*").drop("_best")
 
 
@@ -79,9 +92,11 @@ def speedups(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     Distinct requests are searched once. The base is searched once per job.
     """
     asked = requests.select("job_id", "nodes", "replicas").distinct()
-    base = jobs.withColumn("_base", best_config(F.lit(1), F.lit(1))["goodput"])
-    found = asked.join(base, "job_id").withColumn("_g", best_config(F.col("nodes"), F.col("replicas"))["goodput"])
-    ratio = F.when(F.col("replicas") == 0, F.lit(0.0)).otherwise(F.col("_g") / F.col("_base"))
+    one = F.lit(1)
+    base = with_best(for_compute(jobs, "job_id"), one, one).select("*", F.col("_best.goodput").alias("_base")).drop("_best")
+    rows = for_compute(asked.join(base, "job_id"), "job_id", "nodes", "replicas")
+    found = with_best(rows, F.col("nodes"), F.col("replicas"))
+    ratio = F.when(F.col("replicas") == 0, F.lit(0.0)).otherwise(F.col("_best.goodput") / F.col("_base"))
     return found.select("job_id", "nodes", "replicas", ratio.alias("speedup"))
 
 
@@ -92,7 +107,7 @@ def batch_change(df: DataFrame) -> DataFrame:
     is more than 5 % better.
     """
     n, r = F.col("nodes"), F.col("replicas")
-    found = df.withColumn("_best", best_config(n, r))
+    found = with_best(for_compute(df), n, r)
     now = perf.goodput(F.col("params"), F.col("grad"), F.col("init_batch"), n, r, F.col("current_bsz"), F.col("current_accum"))
     ratio = F.col("_best.goodput") / F.greatest(now, F.lit(EPS))
     fixed = ~F.col("autoscale")
@@ -121,11 +136,11 @@ def recommend_workers(jobs: DataFrame, slots: DataFrame) -> DataFrame:
     The current count stays when the gain is below 5 % or the new count is within 15 % of it. A job
     without a model gets one worker. ``jobs`` holds cluster, current and the search columns.
     """
-    rows = jobs.join(packed_workers(slots), "cluster")
-    base = F.col("_base")
-    rows = rows.filter(F.col("params").isNotNull())
-    rows = rows.withColumn("_base", best_config(F.lit(1), F.lit(1))["goodput"])
-    rows = rows.withColumn("speedup", best_config(F.col("worker"), F.col("worker"))["goodput"] / base)
+    one, w = F.lit(1), F.col("worker")
+    base = with_best(for_compute(jobs.filter(F.col("params").isNotNull()), "job_id"), one, one)
+    base = base.withColumn("_base", F.col("_best.goodput")).drop("_best")
+    rows = with_best(for_compute(base.join(packed_workers(slots), "cluster"), "job_id", "worker"), w, w)
+    rows = rows.withColumn("speedup", F.col("_best.goodput") / F.col("_base"))
     ok = F.col("speedup") / F.col("nodes_used") >= NODE_SHARE
     per = rows.groupBy("job_id", "current").agg(
         F.max(F.when(ok, F.struct("worker", "speedup"))).alias("b"),

@@ -54,3 +54,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def for_compute(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread small rows that each cost much time evenly, so adaptive execution does not merge them by size."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
