@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["ranking", "sampling", "text", "metrics", "telemetry", "fleet"]
+MODULES = ["ranking", "sampling", "text", "metrics", "telemetry", "fleet", "flows"]
 
 
 class Query(NamedTuple):

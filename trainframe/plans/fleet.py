@@ -366,7 +366,7 @@ def restarts(spark, sf):
 
 
 def phase_times(spark, sf):
-    return J.phase_times(_job_events(spark, sf), F.unix_date(F.to_date("ts"))).withColumn("seconds", F.round("seconds", 5))
+    return J.phase_times(_job_events(spark, sf), F.unix_date(F.to_date("ts"))).withColumn("seconds", F.round("seconds", 6))
 
 
 def trial_names(spark, sf):
@@ -569,7 +569,7 @@ QUERIES = {
     "phase_times": (
         phase_times,
         """WITH h AS (SELECT user_id AS job, CASE WHEN event_type = 'signup' THEN 'Starting' ELSE event_type END AS phase, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
-           SELECT job, phase, count(*) AS times, round(coalesce(sum(epoch_us(nxt) - epoch_us(ts)), 0) / 1e6::DOUBLE, 5) AS seconds FROM h GROUP BY 1, 2""",
+           SELECT job, phase, count(*) AS times, round(coalesce(sum(epoch_us(nxt) - epoch_us(ts)), 0) / 1e6::DOUBLE, 6) AS seconds FROM h GROUP BY 1, 2""",
     ),
     "trial_names": (
         trial_names,
