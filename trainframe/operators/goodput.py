@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trainframe.functions import perf
+from trainframe.operators.blocked import running, step_block
 from trainframe.session import for_compute
 
 # Rounding slack, gain needed to change the batch, share of single-worker speedup each
@@ -123,8 +124,10 @@ def batch_change(df: DataFrame) -> DataFrame:
 
 def packed_workers(slots: DataFrame) -> DataFrame:
     """(cluster, worker, nodes_used): workers filled into nodes in order, from (cluster, node_order, capacity)."""
-    upto = Window.partitionBy("cluster").orderBy("node_order").rowsBetween(Window.unboundedPreceding, 0)
-    live = slots.filter("capacity > 0").withColumn("_end", F.sum("capacity").over(upto)).withColumn("nodes_used", F.count(F.lit(1)).over(upto))
+    live = running(
+        slots.filter("capacity > 0"), ["cluster"], ["node_order"], step_block("node_order"),
+        sums={"_end": F.col("capacity"), "nodes_used": F.lit(1)},
+    )
     return live.select(
         "cluster", F.explode(F.sequence(F.col("_end") - F.col("capacity") + 1, F.col("_end"))).alias("worker"), "nodes_used"
     )

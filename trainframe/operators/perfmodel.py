@@ -130,17 +130,18 @@ def fit_error(means: DataFrame, params: DataFrame) -> DataFrame:
     return per.select("job_id", (F.sqrt("_a") + F.sqrt("_o") + GAMMA_WEIGHT * F.pow(p["gamma"] - 1, 2) + GROWTH_WEIGHT * growth).alias("loss"))
 
 
-def reduce_custom(df: DataFrame, by: Sequence[str], rank: str, value: str, fn: Callable, block: int = 1024) -> DataFrame:
-    """Fold ``value`` in rank order with any associative function: first inside blocks of ranks, then over blocks.
+def reduce_custom(df: DataFrame, by: Sequence[str], rank: str, value: str, fn: Callable, block: int = 1024, levels: int = 2) -> DataFrame:
+    """Fold ``value`` in rank order with any associative function: inside blocks of ranks, then over blocks of blocks.
 
-    Needs no commutativity. A task holds one block of ranks, or the partial results of one group.
+    Needs no commutativity. A task folds ``block`` neighbours at each level; the last fold of a group
+    takes one value per block**levels ranks.
     """
     dtype = df.schema[value].dataType.simpleString()
     keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
 
-    def folded(order: str, keep: list[str]):
+    def fold(keep: list[str]):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            values = iter(pdf.sort_values(order)[value])
+            values = iter(pdf.sort_values("_at")[value])
             total = next(values)
             for v in values:
                 total = fn(total, v)
@@ -150,9 +151,12 @@ def reduce_custom(df: DataFrame, by: Sequence[str], rank: str, value: str, fn: C
 
         return run
 
-    parts = df.select(*by, rank, value).withColumn("_block", F.floor(F.col(rank) / block))
-    parts = parts.groupBy(*by, "_block").applyInPandas(folded(rank, [*by, "_block"]), f"{keys}, _block bigint, {value} {dtype}")
-    return parts.groupBy(*by).applyInPandas(folded("_block", list(by)), f"{keys}, {value} {dtype}")
+    parts = df.select(*by, F.col(rank).cast("bigint").alias("_at"), value)
+    for _ in range(levels):
+        parts = parts.withColumn("_block", F.floor(F.col("_at") / block))
+        parts = parts.groupBy(*by, "_block").applyInPandas(fold([*by, "_block"]), f"{keys}, _block bigint, {value} {dtype}")
+        parts = parts.withColumnRenamed("_block", "_at")
+    return parts.groupBy(*by).applyInPandas(fold(list(by)), f"{keys}, {value} {dtype}")
 
 
 def collate(batches: DataFrame, by: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

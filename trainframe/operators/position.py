@@ -18,6 +18,20 @@ from trainframe.session import checkpointed
 MAX_BUCKETS = 65536
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_digits(df: DataFrame) -> int:
+    """Hex digits that give at least 16 hash buckets per shuffle partition, between 256 and 65536 in all."""
+    return next((d for d in (2, 3) if 16**d >= 16 * _partitions(df)), 4)
+
+
+def range_buckets(df: DataFrame) -> int:
+    """Eight range buckets per shuffle partition, between 64 and 16384 in all."""
+    return min(max(8 * _partitions(df), 64), 16384)
+
+
 def seeded_key(seed: object, *cols: Column | str) -> Column:
     """Deterministic shuffle key: md5 of the seed and the columns joined by '|'."""
     parts = [F.lit(str(seed))] + [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
@@ -45,15 +59,16 @@ def hash_position(
     key: Column,
     tie: Sequence[str],
     by: Sequence[str] = (),
-    digits: int = 3,
+    digits: int | None = None,
     out: str = "pos",
     total: str | None = None,
 ) -> DataFrame:
     """Position of each row in (key, tie) order, ``key`` being a hex digest; per group if ``by`` is given.
 
-    ``digits`` leading hex digits make 16**digits even buckets: 4096 by default, 65536 at most.
+    ``digits`` leading hex digits make 16**digits even buckets, by default as ``hash_digits`` says.
     ``total`` names a column for the number of rows.
     """
+    digits = digits or hash_digits(df)
     if not 1 <= digits <= 4:
         raise ValueError("digits must be 1..4")
     by, keyed = list(by), df.withColumn("_key", key)
@@ -70,16 +85,17 @@ def hash_position(
     return placed.drop("_key", "_bucket", "_row", "_before", "_total")
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int = 1024, out: str = "_bucket") -> DataFrame:
+def range_bucket(df: DataFrame, key: str, buckets: int | None = None, out: str = "_bucket") -> DataFrame:
     """Add an order-preserving bucket number of a numeric key, cut at approximate quantiles.
 
     Quantiles only balance the buckets; the cuts become literals of the plan, so a row's bucket never
     depends on partitioning. Equal keys always share a bucket.
     """
+    buckets = buckets or range_buckets(df)
     if not 2 <= buckets <= MAX_BUCKETS:
         raise ValueError("buckets out of range")
     num = df.withColumn("_num", F.col(key).cast("double"))
-    cuts = num.select("_num").approxQuantile("_num", [i / buckets for i in range(1, buckets)], 0.25 / buckets)
+    cuts = num.select("_num").approxQuantile("_num", [i / buckets for i in range(1, buckets)], 0.5 / buckets)
     cuts = sorted(set(cuts))
     if not cuts:
         return df.withColumn(out, F.lit(0.0))
@@ -88,7 +104,7 @@ def range_bucket(df: DataFrame, key: str, buckets: int = 1024, out: str = "_buck
 
 
 def prefix_sum(
-    df: DataFrame, key: str, value: Column | None = None, buckets: int = 1024, out: str = "pos", total: str | None = None
+    df: DataFrame, key: str, value: Column | None = None, buckets: int | None = None, out: str = "pos", total: str | None = None
 ) -> DataFrame:
     """Sum of ``value`` over all rows with a smaller unique numeric ``key``. Without a value: the position."""
     value = F.lit(1).cast("bigint") if value is None else value

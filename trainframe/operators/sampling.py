@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trainframe.operators.blocked import running, step_block
 from trainframe.operators.position import hash_position, prefix_sum, seeded_key
 
 
@@ -27,7 +28,7 @@ def local_batch(batch: Column | int, replicas: Column | int) -> Column:
 
 
 def epoch_shuffle(
-    df: DataFrame, id_col: str, seed: int = 0, epoch: int = 0, pass_no: int = 0, digits: int = 3
+    df: DataFrame, id_col: str, seed: int = 0, epoch: int = 0, pass_no: int = 0, digits: int | None = None
 ) -> DataFrame:
     """Order of one pass of one epoch: adds ``pos`` and the row count ``n``."""
     key = seeded_key(seed, F.lit(epoch), F.lit(pass_no), id_col)
@@ -91,10 +92,8 @@ def resume_plan(segments: DataFrame, n: Column, batch: int) -> DataFrame:
     rows; the pass ends at ``n``.
     """
     used = F.col("batches") * F.col("replicas") * local_batch(batch, F.col("replicas"))
-    upto = Window.partitionBy("run").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(used).over(upto)
-    plan = segments.withColumn("_end", end).withColumn("_used", used)
-    return plan.select(
+    rows = running(segments.withColumn("_used", used), ["run"], ["seg"], step_block("seg"), sums={"_end": F.col("_used")})
+    return rows.select(
         *segments.columns,
         F.least(F.col("_end") - F.col("_used"), n).alias("start"),
         F.least(F.col("_end"), n).alias("end"),
@@ -147,7 +146,5 @@ def skip_finished(planned: DataFrame, log: DataFrame) -> DataFrame:
 
 def committed_steps(steps: DataFrame, by: Sequence[str], order: str, block: Column) -> DataFrame:
     """Drop the first batch of every loop and all batches of loops that do not train."""
-    from trainframe.operators.blocked import running
-
     ranked = running(steps, by, [order], block, sums={"_idx": F.lit(1)}, exclusive=True)
     return ranked.filter(F.col("is_training") & (F.coalesce("_idx", F.lit(0)) >= 1)).drop("_idx")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from trainframe.operators import perfmodel as M
 from trainframe.operators import profiles as P
 from trainframe.operators import sampling as S
-from trainframe.plans.fleet import _job_events
 from trainframe.plans.ranking import BOUGHT, _bought, draws_sql
 from trainframe.plans.sampling import PADDED, _order
 from trainframe.plans.telemetry import MODEL, REPORT, STEPS, _jobs, _progress, _steps
@@ -154,8 +153,8 @@ def stream_phases(spark, sf):
         F.when(F.col("event_type") == "signup", "Starting").otherwise(F.col("event_type")).alias("phase"),
     )
     path = scratch(spark, "phases")
-    _finish(T.run_append(T.phase_timeline(e), path, scratch(spark, "cp")))
-    return spark.read.schema(T.PHASES).parquet(path)
+    _finish(T.run_phases(e, path, K.Snapshots(spark, scratch(spark, "states")), scratch(spark, "cp")))
+    return spark.read.schema(T.PHASES).parquet(path).select("job", "phase", "from_ts", "to_ts")
 
 
 def stream_new_jobs(spark, sf):

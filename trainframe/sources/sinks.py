@@ -32,7 +32,7 @@ def write_scalars(rows: DataFrame, path: str) -> None:
 
 
 class Snapshots:
-    """Named tables kept in versions under one folder. A version is complete once its commit marker exists."""
+    """Named tables kept in versions under one folder. A version exists once its commit row is written."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.names = spark, root, set()
@@ -42,25 +42,23 @@ class Snapshots:
             raise ValueError(f"state exists: {name}")
         self.names.add(name)
 
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
     def save(self, name: str, df: DataFrame, version: int) -> None:
-        """Write one version; writing it again replaces it."""
-        df.write.mode("overwrite").parquet(f"{self._path(name)}/snapshot={version}")
+        """Write one version, data first and commit row after; writing it again replaces it."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/snapshot={version}")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/{name}.commits/snapshot={version}")
 
     def versions(self, name: str) -> list[int]:
         """Committed versions, oldest first."""
         try:
-            marks = self.spark.read.format("binaryFile").load(f"{self._path(name)}/snapshot=*/_SUCCESS").select("path")
+            commits = self.spark.read.parquet(f"{self.root}/{name}.commits")
         except AnalysisException:
             return []
-        return sorted(int(r[0]) for r in marks.select(F.regexp_extract("path", "snapshot=(\\d+)", 1)).distinct().collect())
+        return sorted(r[0] for r in commits.select("snapshot").distinct().collect())  # one row per version
 
     def latest(self, name: str, below: int | None = None) -> DataFrame | None:
         """Newest version, or the newest before ``below``; None when there is none."""
         found = [v for v in self.versions(name) if below is None or v < below]
-        return self.spark.read.parquet(f"{self._path(name)}/snapshot={found[-1]}") if found else None
+        return self.spark.read.parquet(f"{self.root}/{name}/snapshot={found[-1]}") if found else None
 
     def kept(self, name: str, keep: int = 1) -> list[int]:
         """Versions a retention of ``keep`` would leave."""

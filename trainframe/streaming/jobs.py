@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trainframe.operators.blocked import running
 from trainframe.operators.profiles import CONFIG, step_profile
 from trainframe.sources.sinks import Snapshots
 
@@ -77,21 +74,25 @@ def new_jobs(events: DataFrame) -> DataFrame:
 PHASES = "job bigint, phase string, from_ts bigint, to_ts bigint"
 
 
-def phase_timeline(events: DataFrame) -> DataFrame:
-    """Closed phases (job, phase, from_ts, to_ts) from (job, micros, seq, phase) events; the open phase is state."""
+def run_phases(events: DataFrame, path: str, store: Snapshots, checkpoint: str, name: str = "open_phase", every: str | None = None):
+    """Closed phases (job, phase, from_ts, to_ts) from (job, micros, seq, phase) events.
 
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["micros", "seq"])
-        phase, since = state.get if state.exists else (None, None)
-        closed = []
-        for name, at in zip(rows["phase"], rows["micros"]):
-            if phase is not None:
-                closed.append((key[0], phase, since, int(at)))
-            phase, since = name, int(at)
-        state.update((phase, since))
-        yield pd.DataFrame(closed, columns=["job", "phase", "from_ts", "to_ts"])
+    The open phase of each job is a snapshot. A micro-batch is put in order with it through blocked
+    windows on the hour, so a job with many events in a batch is no problem. Batch n writes
+    its own folder and snapshot n, which makes a repeated batch harmless.
+    """
+    cols = ["job", "micros", "seq", "phase"]
 
-    return events.groupBy("job").applyInPandasWithState(advance, PHASES, "phase string, since bigint", "append", GroupStateTimeout.NoTimeout)
+    def advance(batch: DataFrame, batch_id: int) -> None:
+        before = store.latest(name, below=batch_id)
+        rows = batch.select(*cols) if before is None else batch.select(*cols).unionByName(before.select(*cols))
+        hour = F.floor(F.col("micros") / 3600000000)
+        closed = running(rows, ["job"], ["micros", "seq"], hour, leads={"to_ts": F.col("micros")}).filter("to_ts is not null")
+        closed.select("job", "phase", F.col("micros").alias("from_ts"), "to_ts").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        last = rows.groupBy("job").agg(F.max_by(F.struct(*cols[1:]), F.struct("micros", "seq")).alias("r"))
+        store.save(name, last.select("job", "r.*"), batch_id)
+
+    return _start(events, checkpoint, "append", advance, every)
 
 
 def run_append(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
