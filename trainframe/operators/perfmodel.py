@@ -95,7 +95,7 @@ def fit_params(nodes, replicas, bsz, accum, optim) -> np.ndarray:
     to_log = lambda p: np.concatenate([np.log(p[..., :6]), p[..., 6:]], -1)
     to_params = lambda z: np.concatenate([np.exp(z[..., :6]), z[..., 6:]], -1)
     loss = lambda z: fit_loss(to_params(z), nodes, replicas, bsz, accum, optim)
-    out = to_params(_minimize(loss, to_log(x), to_log(lo), to_log(hi)))
+    out = np.clip(to_params(_minimize(loss, to_log(x), to_log(lo), to_log(hi))), lo, hi)
     if not across:
         out[2], out[3] = max(out[2], ACROSS_NODES * out[4]), max(out[3], ACROSS_NODES * out[5])
     return out

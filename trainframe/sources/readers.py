@@ -35,7 +35,9 @@ def ranking_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def corpus_lines(spark: SparkSession, glob: str) -> DataFrame:
     """(path, text) of trimmed lines; bytes that are not UTF-8 are dropped."""
-    lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("�"), F.lit("")).alias("text"))
+    lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    cleaned = F.replace(F.make_valid_utf8("text"), F.lit("\ufffd"), F.lit(""))
+    lines = lines.withColumn("text", F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(cleaned))
     return lines.withColumn("text", F.regexp_replace("text", "(?U)^\\s+|\\s+$", ""))
 
 
