@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trainframe.operators.blocked import running, step_block
 from trainframe.operators.position import seeded_draw
-from trainframe.session import checkpointed
+from trainframe.session import checkpointed, for_compute
 
 
 def distinct_interactions(df: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def negatives(features: DataFrame, positives: DataFrame, item_num: Column, num_n
     owned = positives.groupBy("user").agg(F.count(F.lit(1)).alias("_owned"))
     free = features.select("user", "item").join(owned, "user", "left")
     free = free.withColumn("_free", item_num - F.coalesce("_owned", F.lit(0))).filter("_free > 0")
-    drawn = free.withColumn("ng_no", F.explode(F.sequence(F.lit(1), F.lit(num_ng))))
+    drawn = for_compute(free, "user", "item").withColumn("ng_no", F.explode(F.sequence(F.lit(1), F.lit(num_ng))))
     drawn = drawn.select("user", (seeded_draw(seed, "user", "item", "ng_no") % F.col("_free")).alias("_v"), F.lit(1).alias("_draw"),
                          "item", "ng_no")
     merged = running(

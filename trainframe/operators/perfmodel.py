@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trainframe.functions import perf
+from trainframe.session import for_compute
 
 # Start, lower and upper bounds in parameter order, penalty weights, and the factor by which
 # network parameters across nodes exceed those within a node when only the latter were seen.
@@ -35,7 +36,7 @@ def fit_loss(p: np.ndarray, nodes, replicas, bsz, accum, optim) -> np.ndarray:
     return err + GAMMA_WEIGHT * (g[..., 0] - 1) ** 2 + GROWTH_WEIGHT * growth[..., 0]
 
 
-def _minimize(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = 400) -> np.ndarray:
+def _minimize(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Projected BFGS inside a box; ``f`` takes many points at once. Gradients are central differences."""
     move = hi > lo
     steps = np.diag(np.where(move, 1e-6, 0.0))[move]
@@ -71,9 +72,9 @@ def _minimize(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, lo: np.ndarr
             r = 1 / (s @ y)
             v = np.eye(len(x)) - r * np.outer(s, y)
             h = v @ h @ v.T + r * np.outer(s, s)
-        quiet = quiet + 1 if fx - values[i] < 1e-10 else 0
+        quiet = quiet + 1 if fx - values[i] < 1e-7 * (1e-3 + fx) else 0
         x, fx, g = new, values[i], gn
-        if quiet > 5:
+        if quiet > 2:
             break
     return x
 
@@ -113,7 +114,7 @@ def fit_jobs(means: DataFrame) -> DataFrame:
         p = fit_params(*data)
         return pd.DataFrame([[int(pdf["job_id"].iloc[0]), *p, float(fit_loss(p, *data))]], columns=["job_id", *perf.PARAMS, "loss"])
 
-    return means.groupBy("job_id").applyInPandas(fit, FIT_SCHEMA)
+    return for_compute(means, "job_id").groupBy("job_id").applyInPandas(fit, FIT_SCHEMA)
 
 
 def fit_error(means: DataFrame, params: DataFrame) -> DataFrame:
@@ -161,4 +162,4 @@ def reduce_custom(df: DataFrame, by: Sequence[str], rank: str, value: str, fn: C
 
 def collate(batches: DataFrame, by: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply a user's function to each batch; a batch has the bounded size it was cut to."""
-    return batches.groupBy(*by).applyInPandas(fn, schema)
+    return for_compute(batches, *by).groupBy(*by).applyInPandas(fn, schema)

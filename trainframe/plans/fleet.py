@@ -7,7 +7,7 @@ from trainframe.operators import jobs as J
 from trainframe.operators import placement as L
 from trainframe.operators import resources as R
 from trainframe.operators.blocked import step_block
-from trainframe.session import table
+from trainframe.session import spread, table
 
 
 def _map(*pairs):
@@ -45,7 +45,9 @@ def _pods(spark, sf):
         no_map.alias("limits"),
     )
     phase = F.when(F.col("l_returnflag") == "R", "Succeeded").when(F.col("l_returnflag") == "A", "Running").otherwise("Pending")
-    return table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("node"), phase.alias("phase"), F.array(main, side).alias("containers"))
+    cols = ["l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"]
+    rows = spread(table(spark, sf, "lineitem").select(*cols), "l_orderkey", "l_linenumber")
+    return rows.select("l_orderkey", F.col("l_suppkey").alias("node"), phase.alias("phase"), F.array(main, side).alias("containers"))
 
 
 def _nodes(spark, sf):
@@ -388,7 +390,8 @@ def hint_fields(spark, sf):
             F.when(F.col("event_id") % 2 == 0, F.struct(v.alias("norm"), (v * 2).alias("var"))).alias("gradParams"), F.struct(v.alias("gamma")).alias("perfParams"),
         )
     )
-    h = table(spark, sf, "events").select("event_id", C.rename_hints(C.parse_hints(body)).alias("h"))
+    e = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), "event_id")
+    h = e.select("event_id", C.rename_hints(C.parse_hints(body)).alias("h"))
     return h.select(
         "event_id", F.col("h.init_batch_size").alias("init_batch_size"), F.col("h.local_bsz_bounds")[1].alias("upper"), F.coalesce("h.max_batch_size", F.lit(-1)).alias("max_batch_size"),
         F.round("h.grad_params.sqr", 6).alias("sqr"), F.round("h.grad_params.var", 6).alias("var"), F.round("h.perf_params.gamma", 6).alias("gamma"),
