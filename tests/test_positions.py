@@ -71,3 +71,9 @@ def test_decayed_average_over_many_anchors(spark, scale):
         b, u = t * b + (1 - t) * v, t * u + (1 - t)
         want.append(b / u)
     assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_null_group_key_fails_instead_of_vanishing(spark):
+    df = spark.createDataFrame([(1, 1), (None, 2)], "g int, t int")
+    with pytest.raises(Exception, match="null group or order key"):
+        running(df, ["g"], ["t"], step_block("t"), sums={"s": F.col("t")}).collect()

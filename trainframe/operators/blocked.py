@@ -2,12 +2,15 @@
 
 A group may hold a large part of all rows, so the window runs inside (group, block), where the block
 is a monotone function of the order key, and a small table with one row per (group, block) carries
-what earlier blocks contribute. Group keys must not be null.
+what earlier blocks contribute. Group and order keys must not be null; a row with one fails the job
+instead of going missing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +46,9 @@ def running(
     sums, maxs, mins, lags, leads = (dict(m or {}) for m in (sums, maxs, mins, lags, leads))
     inputs = {**sums, **maxs, **mins, **lags, **leads}
     names = {k: f"_in{i}" for i, k in enumerate(inputs)}
-    work = df.select("*", block.alias("_block"), *[inputs[k].alias(names[k]) for k in inputs])
+    absent = reduce(or_, [F.col(c).isNull() for c in by], block.isNull())
+    guarded = F.when(absent, F.raise_error("null group or order key").cast("bigint")).otherwise(block.cast("bigint"))
+    work = df.select("*", guarded.alias("_block"), *[inputs[k].alias(names[k]) for k in inputs])
 
     ordered = Window.partitionBy(*by, "_block").orderBy(*order)
     frame = ordered.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
@@ -75,7 +80,7 @@ def running(
         *[F.lag(F.struct(names[k])).over(ordered).alias("_l" + names[k]) for k in lags],
         *[F.lead(F.struct(names[k])).over(ordered).alias("_l" + names[k]) for k in leads],
     )
-    both = local.join(carry, [*by, "_block"])
+    both = local.join(carry, [*by, "_block"], "left")  # every block has its carry row
 
     def pair(k: str) -> tuple[Column, Column]:
         return F.col("_l" + names[k]), F.col("_c" + names[k])
