@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainframe.llm import huffman, mixing, packing, warc
+from trainframe.llm import bwt, forest, huffman, mixing, packing, warc
 from trainframe.session import table
 
 
@@ -20,6 +20,14 @@ def op1_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_blocks(spark, folder, lengths)
 
 
+def op3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.removal(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), bpe_path(), end_id=0))
 
@@ -44,6 +52,8 @@ from d left join f on d.h = f.h and d.n >= 100
 
 QUERIES = {
     "op1_huffman": (op1_huffman, None),
+    "op3_forest": (op3_forest, None),
+    "op4_passages": (op4_passages, None),
     "op5_packing": (op5_packing, None),
     "op6_mixing": (op6_mixing, None),
     "op7_warc": (op7_warc, WARC_SQL),
