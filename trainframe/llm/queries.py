@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainframe.llm import bwt, forest, huffman, mixing, packing, warc
+from trainframe.llm import bwt, forest, huffman, mixing, packing, pq, template, warc
 from trainframe.session import table
 
 
@@ -20,6 +20,10 @@ def op1_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_blocks(spark, folder, lengths)
 
 
+def op2_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -40,6 +44,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.vector_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 WARC_SQL = """
 with p as (select page_id, encode(coalesce(html, '')) as body from pages),
 d as (select page_id, octet_length(body) as n, sha256(body) as h from p),
@@ -52,9 +60,11 @@ from d left join f on d.h = f.h and d.n >= 100
 
 QUERIES = {
     "op1_huffman": (op1_huffman, None),
+    "op2_template": (op2_template, None),
     "op3_forest": (op3_forest, None),
     "op4_passages": (op4_passages, None),
     "op5_packing": (op5_packing, None),
     "op6_mixing": (op6_mixing, None),
     "op7_warc": (op7_warc, WARC_SQL),
+    "op8_quantised": (op8_quantised, None),
 }
