@@ -362,3 +362,29 @@ def removal(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> D
 
     joined = table.join(copies, ["chunk", "part"], "left").select("ids", "sizes", "data", "got")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)
+
+
+def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with their columns, texts without what ``removal`` takes away and n_chars to match.
+
+    A character of which some bytes went goes whole. Rows of equal doc_id and equal text get equal results.
+    """
+    names = docs.columns
+    cut = removal(docs, length, with_text=True).where("n_removed > 0")
+    cut = cut.groupBy("doc_id", "n_bytes").agg(F.min(F.struct("kept_sha256", "kept_bytes")).alias("_kept")).select(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n"), F.col("_kept.kept_bytes").alias("_kept"))
+    got = docs["doc_id"].cast("long").eqNullSafe(cut["_id"]) & (F.octet_length(docs["text"]) == cut["_n"])
+    joined = docs.join(cut, got, "left").select(*[docs[c] for c in names], "_kept")
+    at = names.index("text")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(i) for i in range(len(names))]
+            kept = batch.column(len(names))
+            texts = [k.decode("utf-8", "ignore") if k is not None else t for k, t in zip(kept.to_pylist(), cols[at].to_pylist(), strict=True)]
+            cols[at] = pa.array(texts, pa.string())
+            if "n_chars" in names:
+                i = names.index("n_chars")
+                cols[i] = pa.array([len(t) if k else n for t, k, n in zip(texts, kept.is_valid().to_pylist(), cols[i].to_pylist(), strict=True)], cols[i].type)
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return joined.mapInArrow(put, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainframe.llm import bwt, forest, huffman, mixing, packing, pq, template, warc
+from trainframe.llm import bwt, crf, forest, huffman, langid, mixing, packing, pq, template, warc
 from trainframe.session import table
 
 
@@ -48,6 +48,16 @@ def op8_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.vector_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return crf.rules(docs, crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
 WARC_SQL = """
 with p as (select page_id, encode(coalesce(html, '')) as body from pages),
 d as (select page_id, octet_length(body) as n, sha256(body) as h from p),
@@ -67,4 +77,6 @@ QUERIES = {
     "op6_mixing": (op6_mixing, None),
     "op7_warc": (op7_warc, WARC_SQL),
     "op8_quantised": (op8_quantised, None),
+    "op9_language": (op9_language, None),
+    "op10_quality": (op10_quality, None),
 }
