@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = stored(folded.select(F.col("rep").alias("doc_id"), "n_shingles", "sig", "f1", "f2", "last"), "reps")
     pairs = likely(candidates(reps), reps)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id"), "texts")
+    # a merge at every size: the list of ids grows with the documents, so the plan must not lean on its being small
+    texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id"), "texts")
 
     links, left, tree = None, pairs, None
     for most in (1, 3, None):  # the best candidate of each document, then a few, then all that still join components
