@@ -28,7 +28,7 @@ from trainframe.llm import textscan as T
 from trainframe.llm.store import shuffle_partitions, stored
 from trainframe.session import scratch
 
-LENGTH, GRAM = 50, 22
+LENGTH, GRAM = 50, 16
 CHUNK_BYTES = 4 << 20
 GROUP_BYTES = 4 << 20
 LAST = 2**63 - 1
@@ -159,11 +159,11 @@ def _pack_runs(values: np.ndarray) -> tuple[bytes, bytes]:
     """Run-length form of an int64 array: values and counts."""
     if not len(values):
         return b"", b""
-    at = np.flatnonzero(np.diff(values, prepend=values[0] - 1 if values[0] > -LAST else 0))
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
     return values[at].astype("<i8").tobytes(), np.diff(np.append(at, len(values))).astype("<u4").tobytes()
 
 
-def chunks(docs: DataFrame) -> tuple[DataFrame, str, int, int]:
+def chunks(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """Documents packed in chunks, bucketed by chunk so that later joins do not move the texts again."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -171,157 +171,217 @@ def chunks(docs: DataFrame) -> tuple[DataFrame, str, int, int]:
     count = max(2 * parts, int(total // CHUNK_BYTES) + 1)
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("chunk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, ids, texts, size = None, [], [], 0
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents of one chunk travel together and compressed."""
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            at = np.flatnonzero(np.diff(chunk[order], prepend=-1))
+            out = []
+            for x, y in zip(at, np.append(at[1:], len(order)), strict=True):
+                take = pa.array(order[x:y])
+                data, offs = T.flat(batch.column("text").take(take))
+                out.append((int(chunk[order[x]]), batch.column("doc_id").take(take).to_numpy().astype("<i8").tobytes(), np.diff(offs).astype("<i8").tobytes(), _squeezed(data)))
+            if out:
+                yield _rows(out)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = None, [], 0
 
         def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([ids[0]], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array([len(t) for t in texts], "<i8").tobytes()], pa.binary()), pa.array([b"".join(texts)], pa.binary())], ["chunk", "head", "docs", "ids", "sizes", "data"])
+            return _rows([(chunk, b"".join(h[0] for h in held), b"".join(h[1] for h in held), _squeezed(np.concatenate([h[2] for h in held])))])
 
         for batch in batches:
-            for c, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if ids and (c != chunk or size > 4 * CHUNK_BYTES):
+            for i in range(batch.num_rows):
+                c, ids, sizes, data = (batch.column(k)[i].as_py() for k in range(4))
+                if held and (c != chunk or size > 4 * CHUNK_BYTES):
                     yield full()
-                    ids, texts, size = [], [], 0
+                    held, size = [], 0
                 chunk = c
-                ids.append(d)
-                texts.append(t.as_py().encode())
-                size += len(texts[-1])
-        if ids:
+                held.append((ids, sizes, _opened({"ids": ids, "sizes": sizes, "data": data})[2]))
+                size += len(held[-1][2])
+        if held:
             yield full()
 
-    packed = rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "doc_id").mapInArrow(run, "chunk int, head long, docs int, ids binary, sizes binary, data binary")
+    schema = "chunk int, ids binary, sizes binary, data binary"
+    packed = rows.mapInArrow(squeeze, schema).repartition(parts, "chunk").sortWithinPartitions("chunk", "ids").mapInArrow(merge, schema)
     name = f"chunks_{uuid.uuid4().hex}"
-    packed.withColumn("part", F.monotonically_increasing_id()).write.option("path", scratch(spark, "chunks")).option("compression", "zstd").format("parquet").bucketBy(parts, "chunk").saveAsTable(name)
+    packed.withColumn("part", F.monotonically_increasing_id()).write.option("path", scratch(spark, "chunks")).option("compression", "uncompressed").format("parquet").bucketBy(parts, "chunk").saveAsTable(name)
     groups = max(2 * parts, int(5 * total // GROUP_BYTES) + 1)
-    return spark.table(name), name, parts, groups
+    return spark.table(name), parts, groups
+
+
+def _rows(rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], ["chunk", "ids", "sizes", "data"])
+
+
+def _squeezed(data: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(data), "zstd", asbytes=True) if len(data) else b""
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, ends and bytes of the documents of a chunk."""
     ids, sizes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["sizes"], "<i8")
-    return ids, np.cumsum(sizes), np.frombuffer(row["data"], np.uint8)
+    ends = np.cumsum(sizes)
+    size = int(ends[-1]) if len(ends) else 0
+    return ids, ends, np.frombuffer(pa.decompress(row["data"], size, "zstd", asbytes=True) if size else b"", np.uint8)
+
+
+def _keys(m: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each minimizer and the five bytes that tell it from others there."""
+    return (m % np.uint64(buckets)).astype(np.int64), (m // np.uint64(buckets)) & np.uint64((1 << 40) - 1)
+
+
+def _five(q: np.ndarray) -> bytes:
+    return np.ascontiguousarray(q.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _from_five(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
 
 def shared_minimizers(table: DataFrame, buckets: int, length: int) -> DataFrame:
-    """chunk, part and the packed minimizers of the part that more than one document has."""
+    """chunk and, by part and bucket, the minimizers that more than one document has."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 _, ends, data = _opened(row)
                 _, _, m, doc = runs(data, ends, length)
-                order = np.lexsort((doc, m))
-                m, doc = m[order], doc[order]
-                new = np.concatenate([[True], m[1:] != m[:-1]])[: len(m)]
+                bucket, q = _keys(m, buckets)
+                order = np.lexsort((doc, q, bucket))
+                bucket, q, doc = bucket[order], q[order], doc[order]
+                new = np.concatenate([[True], (q[1:] != q[:-1]) | (bucket[1:] != bucket[:-1])])[: len(q)]
                 at = np.flatnonzero(new)
-                last = np.append(at[1:], len(m)) - 1
-                many = doc[at] != doc[last]
-                m = m[at]
-                bucket = (m % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                m, many, bucket = m[order], many[order], bucket[order]
+                many = doc[at] != doc[np.append(at[1:], len(q)) - 1]
+                bucket, q = bucket[at], q[at]
                 at = np.flatnonzero(np.diff(bucket, prepend=-1))
-                to = np.append(at[1:], len(m))
+                to = np.append(at[1:], len(q))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[at], pa.int32()), pa.array(np.full(len(at), row["chunk"]), pa.int32()), pa.array(np.full(len(at), row["part"]), pa.int64()), pa.array([(m[a:b] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()), pa.array([np.packbits(many[a:b]).tobytes() for a, b in zip(at, to, strict=True)], pa.binary())],
-                    ["bucket", "chunk", "part", "m", "many"],
+                    [pa.array(bucket[at], pa.int32()), pa.array(np.full(len(at), row["chunk"]), pa.int32()), pa.array(np.full(len(at), row["part"]), pa.int64()), pa.array([_five(q[a:b]) for a, b in zip(at, to, strict=True)], pa.binary()), pa.array([np.packbits(many[a:b]).tobytes() for a, b in zip(at, to, strict=True)], pa.binary())],
+                    ["bucket", "chunk", "part", "q", "many"],
                 )
 
     def answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for batch in batches:
             for row in batch.to_pylist():
-                raw = np.frombuffer(row["m"], np.uint8).reshape(-1, 7)
-                m = np.zeros((len(raw), 8), np.uint8)
-                m[:, :7] = raw
-                keep.append((row["bucket"], row["chunk"], row["part"], m.view("<u8").ravel(), np.unpackbits(np.frombuffer(row["many"], np.uint8))[: len(raw)].astype(bool)))
-        every = np.concatenate([k[3] for k in keep])
-        many = np.concatenate([k[4] for k in keep])
+                q = _from_five(row["q"])
+                keep.append((row["chunk"], row["part"], q, np.unpackbits(np.frombuffer(row["many"], np.uint8))[: len(q)].astype(bool)))
+        every = np.concatenate([k[2] for k in keep])
         order = np.argsort(every, kind="stable")
         value = every[order]
-        twice = many[order].copy()
         same = value[1:] == value[:-1]
+        twice = np.zeros(len(every), bool)
         twice[1:] |= same
         twice[:-1] |= same
         flag = np.empty(len(every), bool)
         flag[order] = twice
-        at = 0
-        for bucket, chunk, part, m, own in keep:
-            got = m[flag[at : at + len(m)] | own] * np.uint64(buckets) + np.uint64(bucket)
-            at += len(m)
+        at, out = 0, []
+        for chunk, part, q, own in keep:
+            got = q[flag[at : at + len(q)] | own]
+            at += len(q)
             if len(got):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part], pa.int64()), pa.array([got.astype("<u8").tobytes()], pa.binary())], ["chunk", "part", "m"])
+                out.append((chunk, part, key[0].as_py(), _five(got)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["chunk", "part", "bucket", "q"])
 
-    asked = table.mapInArrow(ask, "bucket int, chunk int, part long, m binary, many binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "chunk int, part long, m binary").groupBy("chunk", "part").agg(F.collect_list("m").alias("m"))
+    asked = table.mapInArrow(ask, "bucket int, chunk int, part long, q binary, many binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "chunk int, part long, bucket int, q binary").groupBy("chunk").agg(F.collect_list(F.struct("part", "bucket", "q")).alias("shared"))
 
 
-def earlier_copies(table: DataFrame, shared: DataFrame, groups: int, length: int) -> DataFrame:
-    """chunk, part and, per group, the runs of the part with the smallest doc_id of each of their strings."""
+def earlier_copies(table: DataFrame, shared: DataFrame, buckets: int, groups: int, length: int) -> DataFrame:
+    """chunk and, by part and group, the runs of the part that lose bytes, with the smallest doc_id of each of their strings."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, ends, data = _opened(row)
-                wanted = np.sort(np.frombuffer(b"".join(row["m"]), "<u8"))
+                mine = [w for w in row["shared"] if w["part"] == row["part"]]
+                if not mine:
+                    continue
+                wanted = np.sort(np.concatenate([_from_five(w["q"]) | np.uint64(w["bucket"] << 40) for w in mine]))
                 first, count, m, doc = runs(data, ends, length)
-                at = np.minimum(np.searchsorted(wanted, m), len(wanted) - 1)
-                hit = wanted[at] == m
+                bucket, q = _keys(m, buckets)
+                own = q | (bucket.astype(np.uint64) << np.uint64(40))
+                hit = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
                 first, count, m, doc = first[hit], count[hit], m[hit], doc[hit]
                 size = count + length - 1
                 h = T.span_hash(data, first, first + size)
                 order = np.lexsort((ids[doc], h))
                 new = np.concatenate([[True], h[order][1:] != h[order][:-1]])[: len(h)]
                 one = order[new]  # equal runs of a part once, with its smallest doc_id
+                last = order[np.append(np.flatnonzero(new)[1:], len(order)) - 1] if len(order) else order
+                more = ids[doc[last]] > ids[doc[one]]
                 group = (T.mix(m[one]) % np.uint64(groups)).astype(np.int64)
                 by = np.argsort(group, kind="stable")
-                one, group = one[by], group[by]
+                one, more, group = one[by], more[by], group[by]
                 at = np.flatnonzero(np.diff(group, prepend=-1))
-                raw = data.tobytes()
+                raw, out = data.tobytes(), []
                 for a, b in zip(at, np.append(at[1:], len(one)), strict=True):
                     mine = one[a:b]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(group[a])], pa.int32()), pa.array([row["chunk"]], pa.int32()), pa.array([row["part"]], pa.int64()), pa.array([h[mine].astype("<u8").tobytes()], pa.binary()), pa.array([ids[doc[mine]].astype("<i8").tobytes()], pa.binary()), pa.array([size[mine].astype("<u4").tobytes()], pa.binary()), pa.array([b"".join(raw[x : x + k] for x, k in zip(first[mine].tolist(), size[mine].tolist(), strict=True))], pa.binary())],
-                        ["group", "chunk", "part", "keys", "ids", "sizes", "data"],
-                    )
+                    out.append((int(group[a]), row["chunk"], row["part"], np.packbits(more[a:b]).tobytes(), ids[doc[mine]].astype("<i8").tobytes(), size[mine].astype("<u2").tobytes() if size.max() < 65536 else b"", size[mine].astype("<u4").tobytes() if size.max() >= 65536 else b"", b"".join(raw[x : x + k] for x, k in zip(first[mine].tolist(), size[mine].tolist(), strict=True))))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), *(pa.binary(),) * 5))], ["group", "chunk", "part", "more", "ids", "short", "long", "data"])
 
     def expand(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
-        keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
+        sizes = [(np.frombuffer(r["short"], "<u2") if r["short"] else np.frombuffer(r["long"], "<u4")).astype(np.int64) for r in rows]
         ids = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in rows])
-        size = np.concatenate([np.frombuffer(r["sizes"], "<u4") for r in rows]).astype(np.int64)
+        more = np.concatenate([np.unpackbits(np.frombuffer(r["more"], np.uint8))[: len(k)].astype(bool) for r, k in zip(rows, sizes, strict=True)])
+        size = np.concatenate(sizes)
         data = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8)
-        # equal runs of different chunks enter the transform once, with the smallest doc_id
+        begin = np.cumsum(size) - size
+        keys = T.span_hash(data, begin, begin + size)
+        # equal runs of different chunks count once, with the smallest doc_id
         order = np.lexsort((ids, keys))
         new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
         which = np.empty(len(keys), np.int64)
         which[order] = np.cumsum(new) - 1
         one = order[new]
-        begin = np.cumsum(size) - size
-        own = np.repeat(begin[one] - (np.cumsum(size[one]) - size[one]), size[one]) + np.arange(int(size[one].sum()))
-        least = smallest(data[own], size[one], ids[one], length)
         count = size[one] - length + 1
         to = np.cumsum(count)
-        at = 0
-        for r in rows:
-            n = len(r["keys"]) // 8
-            mine = which[at : at + n]
-            at += n
-            k = count[mine]
-            pos = np.repeat(to[mine] - k - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-            values, times = _pack_runs(least[pos])
-            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int32()), pa.array([r["part"]], pa.int64()), pa.array([r["keys"]], pa.binary()), pa.array([k.astype("<u4").tobytes()], pa.binary()), pa.array([values], pa.binary()), pa.array([times], pa.binary())], ["chunk", "part", "keys", "counts", "least", "times"])
-
-    sent = table.join(shared, ["chunk", "part"]).select(*table.columns, "m").mapInArrow(send, "group int, chunk int, part long, keys binary, ids binary, sizes binary, data binary")
+        least = np.repeat(ids[one], count)
+        # a minimizer with a single run has no other strings; the runs of all others enter the transform
+        m = np.concatenate([[np.uint64(0)], minimizers(data, length)])[np.minimum(begin[one] + 1, max(len(data) - length + 1, 0))]
+        by = np.argsort(m, kind="stable")
+        lone = np.ones(len(one), bool)
+        same = m[by][1:] == m[by][:-1]
+        lone[by[1:][same]] = False
+        lone[by[:-1][same]] = False
+        mixed = np.flatnonzero(~lone)
+        if len(mixed):
+            pick = one[mixed]
+            own = np.repeat(begin[pick] - (np.cumsum(size[pick]) - size[pick]), size[pick]) + np.arange(int(size[pick].sum()))
+            k = count[mixed]
+            pos = np.repeat(to[mixed] - k - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            least[pos] = smallest(data[own], size[pick], ids[pick], length)
+        early = np.minimum.reduceat(least, to - count)[which] < ids
+        at, out = 0, []
+        for r, k in zip(rows, sizes, strict=True):
+            mine = at + np.flatnonzero((early | more)[at : at + len(k)])
+            at += len(k)
+            if len(mine):
+                w = which[mine]
+                k = count[w]
+                pos = np.repeat(to[w] - k - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+                values, times = _pack_runs(least[pos])
+                out.append((r["chunk"], r["part"], keys[mine].astype("<u8").tobytes(), k.astype("<u4").tobytes(), values, times))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), *(pa.binary(),) * 4))], ["chunk", "part", "keys", "counts", "least", "times"])
+
+    sent = table.join(shared.hint("merge"), "chunk").select(*table.columns, "shared").mapInArrow(send, "group int, chunk int, part long, more binary, ids binary, short binary, long binary, data binary")
     got = sent.groupBy("group").applyInArrow(expand, "chunk int, part long, keys binary, counts binary, least binary, times binary")
-    return got.groupBy("chunk", "part").agg(F.collect_list(F.struct("keys", "counts", "least", "times")).alias("got"))
+    return got.groupBy("chunk").agg(F.collect_list(F.struct("part", "keys", "counts", "least", "times")).alias("got"))
 
 
 def removal(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept, of every row."""
-    spark = docs.sparkSession
-    table, name, parts, groups = chunks(docs)
+    table, parts, groups = chunks(docs)
     shared = stored(shared_minimizers(table, parts, length), "minimizers")
-    copies = stored(earlier_copies(table, shared, groups, length), "copies")
+    copies = stored(earlier_copies(table, shared, parts, groups, length), "copies")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"][: 6 if with_text else 5]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,10 +390,11 @@ def removal(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> D
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 ids, ends, data = _opened(row)
                 gone = np.zeros(len(data) + 1, np.int32)
-                if row["got"]:
-                    keys = np.concatenate([np.frombuffer(g["keys"], "<u8") for g in row["got"]])
-                    count = np.concatenate([np.frombuffer(g["counts"], "<u4") for g in row["got"]]).astype(np.int64)
-                    least = np.concatenate([np.repeat(np.frombuffer(g["least"], "<i8"), np.frombuffer(g["times"], "<u4")) for g in row["got"]])
+                mine = [g for g in row["got"] or () if g["part"] == row["part"]]
+                if mine:
+                    keys = np.concatenate([np.frombuffer(g["keys"], "<u8") for g in mine])
+                    count = np.concatenate([np.frombuffer(g["counts"], "<u4") for g in mine]).astype(np.int64)
+                    least = np.concatenate([np.repeat(np.frombuffer(g["least"], "<i8"), np.frombuffer(g["times"], "<u4")) for g in mine])
                     base = np.cumsum(count) - count
                     order = np.argsort(keys)
                     first, n, _, doc = runs(data, ends, length)
@@ -360,7 +421,7 @@ def removal(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> D
                     cols.append(pa.array(rest, pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    joined = table.join(copies, ["chunk", "part"], "left").select("ids", "sizes", "data", "got")
+    joined = table.join(copies.hint("merge"), "chunk", "left").select("part", "ids", "sizes", "data", "got")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)
 
 
