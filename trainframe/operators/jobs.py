@@ -80,16 +80,16 @@ def pod_counts(pods: DataFrame) -> DataFrame:
 def job_outcome(pods: DataFrame) -> DataFrame:
     """(job, outcome, pod): Succeeded, Failed with its first fatal pod in name order, or null while undecided.
 
-    Succeeded needs as many pods as replicas, all succeeded. A failed pod is not fatal after an admission
+    Succeeded needs as many pods as replicas, all succeeded; a pod without a phase has not. A failed pod is not fatal after an admission
     error, when resources ran out, or when a preemptible job's pod was deleted or told to stop.
     """
     reason = F.coalesce("reason", F.lit("None"))
     stopped = F.col("deleted").isNotNull() | F.coalesce(F.array_contains("exit_codes", STOPPED), F.lit(False))
-    mild = (reason == "UnexpectedAdmissionError") | F.startswith(reason, F.lit("Outof")) | (F.col("preemptible") & stopped)
+    mild = (reason == "UnexpectedAdmissionError") | F.startswith(reason, F.lit("Outof")) | (F.coalesce("preemptible", F.lit(False)) & stopped)
     fatal = F.col("phase").isin("Failed", "Unknown") & ~mild
     per = pods.groupBy("job").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.bool_and(F.col("phase") == "Succeeded").alias("_all"),
+        F.bool_and(F.col("phase").eqNullSafe("Succeeded")).alias("_all"),
         F.min("replicas").alias("_lo"),
         F.max("replicas").alias("_hi"),
         F.min(F.when(fatal, F.col("pod"))).alias("_fatal"),

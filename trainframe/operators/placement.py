@@ -131,7 +131,7 @@ def cluster_utility(states: DataFrame, job_resources: DataFrame, node_resources:
     """(candidate, utility): per resource the sum over jobs of speedup / replicas times share of active nodes; then the maximum.
 
     ``states`` is (candidate, job, node, replicas); resources are (job or node, resource, amount) rows;
-    speedups are (candidate, job, speedup).
+    speedups are (candidate, job, speedup). A candidate that places nothing has utility 0.
     """
     used = states.filter("replicas > 0")
     active = used.select("candidate", "node").distinct().join(node_resources, "node")
@@ -140,7 +140,8 @@ def cluster_utility(states: DataFrame, job_resources: DataFrame, node_resources:
     asks = jobs.join(job_resources.filter("amount > 0"), "job").join(total, ["candidate", "resource"])
     share = F.col("_r") * F.col("amount") / F.col("_total")
     per = asks.groupBy("candidate", "resource").agg(F.sum(F.col("speedup") / F.col("_r") * share).alias("_u"))
-    return per.groupBy("candidate").agg(F.max("_u").alias("utility"))
+    best = per.groupBy("candidate").agg(F.max("_u").alias("_best"))
+    return states.select("candidate").distinct().join(best, "candidate", "left").select("candidate", F.coalesce("_best", F.lit(0.0)).alias("utility"))
 
 
 def dominant_share(job_resources: DataFrame, node_resources: DataFrame) -> DataFrame:
@@ -165,13 +166,14 @@ def changed_jobs(states: DataFrame, base: DataFrame) -> DataFrame:
 def candidate_objective(
     states: DataFrame, base: DataFrame, job_resources: DataFrame, node_resources: DataFrame, speedups: DataFrame, node_index: DataFrame
 ) -> DataFrame:
-    """(candidate, value, size): minus the summed scaled speedups, jobs that would restart at 0.9, and highest used node + 1."""
+    """(candidate, value, size): minus the summed scaled speedups, jobs that would restart at 0.9, and highest used node + 1; both 0 if nothing is placed."""
     nodes = node_index.agg(F.count(F.lit(1)).alias("n")).scalar()
     jobs = speedups.join(dominant_share(job_resources, node_resources), "job").join(changed_jobs(states, base), ["candidate", "job"])
     gain = F.col("speedup") * F.col("share") * nodes * F.when(F.col("changed"), RESTART_FACTOR).otherwise(1.0)
     value = jobs.groupBy("candidate").agg((-F.sum(gain)).alias("value"))
     size = states.filter("replicas > 0").join(node_index, "node").groupBy("candidate").agg((F.max("node_index") + 1).alias("size"))
-    return value.join(size, "candidate")
+    every = states.select("candidate").distinct().join(value, "candidate", "left").join(size, "candidate", "left")
+    return every.select("candidate", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("size", F.lit(0)).alias("size"))
 
 
 def pareto_front(df: DataFrame, by: Sequence[str], block: Column | None = None) -> DataFrame:

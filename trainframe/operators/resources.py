@@ -65,8 +65,8 @@ def node_capacity(nodes: DataFrame) -> DataFrame:
 
 
 def node_free(nodes: DataFrame, pods: DataFrame) -> DataFrame:
-    """(node, resource, amount) left after requests of unfinished pods; only resources the node has, positive only."""
-    live = pods.filter(~F.col("phase").isin(*FINISHED))
+    """(node, resource, amount) left after requests of unfinished pods; only resources the node has, positive only. A pod without a phase is unfinished."""
+    live = pods.filter(~F.coalesce("phase", F.lit("")).isin(*FINISHED))
     used = request_rows(live, ["node"]).groupBy("node", "resource").agg(F.sum("amount").alias("_used"))
     free = node_capacity(nodes).join(used, ["node", "resource"], "left")
     return positive(free.select("node", "resource", (F.col("amount") - F.coalesce("_used", F.lit(0))).alias("amount")))
@@ -83,9 +83,10 @@ def resource_types(jobs: DataFrame) -> DataFrame:
 
 
 def allowed_nodes(nodes: DataFrame, taint_key: str, taint_value: str) -> DataFrame:
-    """Nodes without taints, or whose only taint is the given one."""
-    one = (F.size("taints") == 1) & (F.col("taints")[0]["key"] == taint_key) & (F.col("taints")[0]["value"] == taint_value)
-    return nodes.filter((F.size("taints") == 0) | F.when(F.size("taints") == 1, one).otherwise(False))
+    """Nodes without taints (none or null), or whose only taint is the given one."""
+    count = F.coalesce(F.size("taints"), F.lit(0))
+    one = (F.col("taints")[0]["key"] == taint_key) & (F.col("taints")[0]["value"] == taint_value)
+    return nodes.filter((count <= 0) | F.when(count == 1, one).otherwise(False))
 
 
 def bundle_usage(groups: DataFrame) -> DataFrame:
