@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from trainframe.llm.components import components
 from trainframe.llm.store import stored
 
-SAMPLE, PARTS, CODES, PER_LIST, MOST_LISTS = 16384, 8, 64, 64, 1024
+SAMPLE, PARTS, CODES, PER_LIST, MOST_LISTS = 16384, 8, 64, 512, 1024
 BLOCK = 2048
 #: Against the distance of two unit vectors at a cosine of 0.9, 0.447. A partner's offset has no preferred direction,
 #: so its share across one border is small; the recall measured with this margin is in the README.
@@ -48,12 +48,20 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([((c * c).sum(1) - 2 * x[i : i + 4096] @ c.T).argmin(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
-def unit(column: pa.Array, d: int) -> np.ndarray:
-    """Unit vectors in double precision, short ones continued by zeros."""
+def padded(column: pa.Array, d: int) -> np.ndarray:
+    """Vectors as rows, short ones continued by zeros."""
     sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.zeros((len(column), d))
     out[np.repeat(np.arange(len(column)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = column.flatten().to_numpy(zero_copy_only=False)
-    return out / np.sqrt((out / np.abs(out).max(1, keepdims=True)) ** 2 @ np.ones(d))[:, None] / np.abs(out).max(1, keepdims=True) if len(out) else out
+    return out
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one in double precision; large and small values neither overflow nor vanish."""
+    if not len(rows):
+        return rows
+    rows = rows / np.abs(rows).max(1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
 def _codes(residual: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -115,15 +123,17 @@ def vector_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     if not head["n"]:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     d = -(-head["d"] // PARTS) * PARTS
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"  # as exact as the input
     sample = reps.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()
-    centres, books = fit(unit(sample.column(0).combine_chunks(), d), max(1, min(MOST_LISTS, head["n"] // PER_LIST)))
+    centres, books = fit(unit(padded(sample.column(0).combine_chunks(), d)), max(1, min(MOST_LISTS, head["n"] // PER_LIST)))
     gaps = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(2) if len(centres) <= 256 else (centres**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * centres @ centres.T, 1e-12))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x = unit(part.column("embedding"), d)
+                raw = padded(part.column("embedding"), d)
+                x = unit(raw)
                 own = nearest(x, centres)
                 residual = x - centres[own]
                 codes = _codes(residual, books)
@@ -132,7 +142,7 @@ def vector_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
                 beyond = (far - far[np.arange(len(x)), own][:, None]) / (2 * gaps[own])
                 beyond[np.arange(len(x)), own] = 0
                 probes = [np.flatnonzero(b).tolist() for b in beyond <= MARGIN]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))], ["id", "copies", "vec", "list", "code", "error", "probes"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), pa.array([v.tobytes() for v in raw.astype(kind)], pa.binary()), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))], ["id", "copies", "vec", "list", "code", "error", "probes"])
 
     indexed = stored(reps.mapInArrow(index, "id long, copies long, vec binary, list int, code binary, error double, probes array<int>"), "index")
     members = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}
@@ -148,7 +158,7 @@ def vector_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         none = pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         if not mine.num_rows or not theirs.num_rows:
             return none
-        x, y = (np.frombuffer(b"".join(t.column("vec").to_pylist())).reshape(-1, d) for t in (theirs, mine))
+        x, y = (unit(np.frombuffer(b"".join(t.column("vec").to_pylist()), kind).astype(np.float64).reshape(-1, d)) for t in (theirs, mine))
         codes = np.frombuffer(b"".join(mine.column("code").to_pylist()), np.uint8).reshape(-1, PARTS)
         linked = links_of(x, y, codes, mine.column("error").to_numpy(), centres[block.column("list")[0].as_py()], books, least)
         q_ids, m_ids = theirs.column("id").to_numpy(), mine.column("id").to_numpy()
