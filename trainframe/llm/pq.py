@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from trainframe.llm.components import components
 from trainframe.llm.store import stored
 
-SAMPLE, PARTS, CODES, PER_LIST, MOST_LISTS = 16384, 8, 64, 512, 1024
+SAMPLE, PARTS, CODES, PER_LIST, MOST_LISTS = 16384, 8, 64, 256, 1024
 BLOCK = 2048
 #: Against the distance of two unit vectors at a cosine of 0.9, 0.447. A partner's offset has no preferred direction,
 #: so its share across one border is small; the recall measured with this margin is in the README.
-MARGIN = 0.25
+MARGIN = 0.15
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
