@@ -258,6 +258,10 @@ def test_warc(spark):
     one = warc.read_records(index.where("page_id = 6"), folder, with_payload=True).collect()
     assert [r["html"] for r in one] == [pages[-1][2]]
     assert warc.round_trip(df.limit(0)).count() == 0
+    other = "<i>" + "x" * 200
+    twice = spark.createDataFrame([(1, "a", long), (1, "a", other), (5, "b", long), (5, "b", other), (5, "b", long), (None, "c", long)], "page_id long, url string, html string")
+    got = collections.Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(twice).collect())
+    assert got == {(1, 403, "response", None): 1, (1, 203, "response", None): 1, (5, 403, "revisit", 1): 2, (5, 203, "revisit", 1): 1, (None, 403, "response", None): 1}
     assert warc.coalesced([0, 10, 500], [10, 5, 20], gap=100) == [(0, 15), (500, 520)]
 
 

@@ -8,7 +8,8 @@ selected records are sorted by file and offset, neighbours closer than ``GAP`` b
 
 Archives are opened through pyarrow's file systems, so the folder may be local and shared, HDFS, S3 or the like.
 Null html is an empty payload, a null URL an empty field, line breaks in URLs are percent-encoded. Rows with equal
-page_id keep their records; of these, one is the response. Rows with a null page_id are written as responses.
+page_id keep one record each; where they have equal payloads too, all are responses or all revisit the same page.
+Rows with a null page_id are written as responses.
 """
 
 from __future__ import annotations
@@ -68,8 +69,9 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
     again = revisits(pages)
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")
-    rows = rows.join(again.withColumnRenamed("page_id", "_id"), F.col("page_id") == F.col("_id"), "left").select("page_id", "url", "html", "digest", "refers_to")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("own"))
+    same = (F.col("page_id") == F.col("_id")) & (F.col("own") == F.col("digest"))
+    rows = rows.join(again.withColumnRenamed("page_id", "_id"), same, "left").select("page_id", "url", "html", "own", "refers_to")
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,9 +81,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
             for batch in batches:
                 index = []
                 for page, url, html, digest, refers in zip(*(batch.column(i) for i in range(5)), strict=True):
-                    payload = (html.as_py() or "").encode()
-                    own = hashlib.sha256(payload).hexdigest()
-                    to = refers.as_py() if digest.as_py() == own else None
+                    payload, own, to = (html.as_py() or "").encode(), digest.as_py(), refers.as_py()
                     record = gzip.compress(head(page.as_py(), url.as_py(), own, len(payload), to) + (payload if to is None else b"") + b"\r\n\r\n", 4, mtime=0)
                     if out is None or at > ROLL_BYTES:
                         if out is not None:
