@@ -295,6 +295,31 @@ def test_language(spark, docs, none, rows):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(none)).collect()} == {"und"} and langid.identify(none, model).count() == 0
 
 
+def test_language_of_a_text_does_not_depend_on_its_neighbours(rows, monkeypatch):
+    texts = [t for _, t, *_ in rows]
+    weights = np.random.default_rng(4).normal(size=(langid.FEATURES, 3)).astype(np.float32)
+
+    def brute(t):
+        c = [32 if b < 128 and not chr(b).isalpha() else b for b in (t or "").translate(LOWER).encode()]
+        total = np.zeros(3)
+        for i in range(len(c)):
+            for n in langid.ORDERS:
+                h = n
+                for b in (c[i : i + n] + [32] * n)[:n]:
+                    h = h * 0x01000193 % 2**32 ^ b
+                total += weights[(h * 0x9E3779B1 % 2**32) >> (33 - langid.FEATURES.bit_length())]
+        return total / max(len(c) * len(langid.ORDERS), 1)
+
+    want = np.stack([brute(t) for t in texts])
+    assert np.allclose(langid._scores(*textscan.flat(pa.array(texts)), weights), want, atol=1e-4)
+    shares = np.stack(list(langid._shares(pa.array(texts))))
+    assert np.allclose(shares @ weights, want, atol=1e-4)
+    monkeypatch.setattr(langid, "PIECE_BYTES", 1000)
+    together = langid._scores(*textscan.flat(pa.array(texts)), weights)
+    alone = np.concatenate([langid._scores(*textscan.flat(pa.array([t], pa.string())), weights) for t in texts])
+    assert np.allclose(together, alone, atol=1e-6)
+
+
 def test_quality(spark, docs, none, rows):
     labels = spark.createDataFrame([(i, None if i % 9 == 0 else int(i % 3 > 0), 0) for i, *_ in rows] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     for field in (crf.fit(docs, labels), crf.fit(docs, labels.limit(0))):

@@ -22,41 +22,56 @@ from pyspark.sql import functions as F
 
 from trainframe.llm import textscan as T
 
-PER_LANGUAGE, FEATURES, ORDERS = 300, 1 << 13, (1, 2, 3)
+PER_LANGUAGE, FEATURES, ORDERS, PIECE_BYTES = 300, 1 << 13, (1, 2, 3), 1 << 20
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 
 
-def grams(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Feature numbers of all n-grams of each order, aligned with the byte they begin at. Texts must be parted by a blank."""
-    c = _FOLD[data].astype(np.uint32)
+def grams(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
+    """Feature numbers of all n-grams of each order, aligned with the byte they begin at. Behind its end a text goes on with blanks."""
+    gap = max(ORDERS) - 1
+    at = np.arange(len(data)) + gap * np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    c = np.full(len(data) + gap * (len(offs) - 1), 32, np.uint32)
+    c[at] = _FOLD[data]
     for n in ORDERS:
-        h = np.full(len(c), n, np.uint32)
+        h = np.full(len(at), n, np.uint32)
         for j in range(n):
-            h = h * np.uint32(0x01000193) ^ np.concatenate([c[j:], np.full(min(j, len(c)), 32, np.uint32)])
+            h = h * np.uint32(0x01000193) ^ c[at + j]
         yield (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - FEATURES.bit_length() + 1)
 
 
+def _cut(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of rows (first, end, bytes, offsets) of bounded size; a longer text comes in pieces of ``PIECE_BYTES``, counted from its start."""
+    row = 0
+    while row < len(offs) - 1:
+        to = max(row + 1, int(np.searchsorted(offs, offs[row] + PIECE_BYTES, "right")) - 1)
+        for lo in range(int(offs[row]), max(int(offs[to]), int(offs[row]) + 1), PIECE_BYTES):
+            hi = min(int(offs[to]), lo + PIECE_BYTES)
+            yield row, to, data[lo:hi], offs[row : to + 1] - lo if to > row + 1 else np.array([0, hi - lo])
+        row = to
+
+
 def _scores(data: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Mean weight over the n-grams of each text, for every machine."""
     out = np.zeros((len(offs) - 1, weights.shape[1]))
-    filled = np.flatnonzero(np.diff(offs))
-    if len(filled):
-        for h in grams(data):
-            out[filled] += np.add.reduceat(weights[h], offs[:-1][filled], axis=0)
-        out[filled] /= (len(ORDERS) * np.diff(offs)[filled])[:, None]
-    return out
+    for row, to, part, at in _cut(data, offs):
+        filled = np.flatnonzero(np.diff(at))
+        if len(filled):
+            for h in grams(part, at):
+                out[row:to][filled] += np.add.reduceat(weights[h], at[:-1][filled], axis=0)
+    return out / np.maximum(len(ORDERS) * np.diff(offs), 1)[:, None]
 
 
-def _shares(texts: pa.Array) -> np.ndarray:
-    data, offs = T.flat(texts)
-    out = np.zeros((len(offs) - 1, FEATURES), np.float32)
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    for h in grams(data):
-        np.add.at(out, (row, h), 1)
-    return out / np.maximum(out.sum(1, keepdims=True), 1)
+def _shares(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Share of every feature, text by text."""
+    for text in texts:
+        counts = np.zeros(FEATURES)
+        for _, _, part, at in _cut(*T.flat(pa.array([text.as_py()], texts.type))):
+            for h in grams(part, at):
+                counts += np.bincount(h, minlength=FEATURES)
+        yield counts / max(counts.sum(), 1)
 
 
 def machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> np.ndarray:
@@ -145,8 +160,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text", 1 << 20):
-                x = _shares(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([np.flatnonzero(r).astype("<u2").tobytes() for r in x], pa.binary()), pa.array([r[r > 0].astype("<f4").tobytes() for r in x], pa.binary())], ["lang", "at", "share"])
+                got = [(np.flatnonzero(r).astype("<u2").tobytes(), r[r > 0].astype("<f4").tobytes()) for r in _shares(part.column("text"))]
+                at, share = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(at, pa.binary()), pa.array(share, pa.binary())], ["lang", "at", "share"])
 
     got = rows.join(rates, "lang").where(drawn).where(F.col("text").rlike("\\p{L}")).select("lang", "text").mapInArrow(shares, "lang string, at binary, share binary").collect()
     got = sorted(got, key=lambda r: (r["lang"], bytes(r["share"])))
