@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from trainframe.llm import textscan as T
 
 PER_LANGUAGE, FEATURES, ORDERS, PIECE_BYTES = 300, 1 << 13, (1, 2, 3), 1 << 20
+MOST_BROADCAST = 10_000  # languages; their number is known before the join
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -155,6 +156,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     if not counts:
         return Model(np.zeros((0, FEATURES)), [])
     rates = docs.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "lang string, rate double")
+    rates = F.broadcast(rates) if len(counts) <= MOST_BROADCAST else rates
     drawn = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
