@@ -26,15 +26,39 @@ def test_order_changes_with_epoch_and_pass(spark):
 
 
 def test_elastic_resume_positions(spark):
-    """100 rows, batch 10: 2 batches on 1 replica, 5 on 4, 2 on 2 give local sizes 10, 3, 5 and ends 20, 80, 100."""
-    segs = spark.createDataFrame([(0, 0, 1, 2), (0, 1, 4, 5), (0, 2, 2, 2)], "run int, seg int, replicas int, batches int")
+    """100 rows, batch 10: 2 batches on 1 replica, 5 on 4, the rest on 2 give local sizes 10, 3, 5 and ends 20, 80, 100."""
+    segs = spark.createDataFrame([(0, 0, 1, 2), (0, 1, 4, 5), (0, 2, 2, None)], "run int, seg int, replicas int, batches int")
     plan = S.resume_plan(segs, F.lit(100), 10)
-    assert [r["end"] for r in plan.orderBy("seg").collect()] == [20, 80, 100]
-    rows = S.elastic_resume(S.epoch_shuffle(spark.range(100), "id").drop("n"), plan, 10).toPandas()
+    assert [(r["end"], r["batches"]) for r in plan.orderBy("seg").collect()] == [(20, 2), (80, 5), (100, 2)]
+    parts = S.resume_passes(plan)
+    rows = S.elastic_resume(S.passes_shuffle(spark.range(100), "id", parts), parts).toPandas()
     assert sorted(rows["id"]) == list(range(100))
     assert [rows[rows["seg"] == s].groupby(["batch_no", "rank"]).size().max() for s in range(3)] == [10, 3, 5]
 
 
+def test_elastic_resume_goes_on_into_later_passes(spark):
+    """Step by step: every batch moves the index by its size, the end of a pass rounds it up to a multiple of n."""
+    n, segs = 23, [(run, seg, (seg * 2 + run) % 5 + 1, (seg * 5 + run) % 9) for run in range(3) for seg in range(6)]
+    want, ends = [], {}
+    for run in range(3):
+        index = 0
+        for _, seg, replicas, count in (s for s in segs if s[0] == run):
+            local = -(-4 // replicas)
+            for b in range(count):
+                size, base = replicas * local, index % n
+                want += [(run, seg, index // n, b, off % replicas, off // replicas, base + off) for off in range(min(size, n - base))]
+                index += size
+                if base + size >= n:
+                    index -= index % -n
+            ends[run, seg] = index
+    plan = S.resume_plan(spark.createDataFrame(segs, "run int, seg int, replicas int, batches int"), F.lit(n), 4)
+    assert {(r["run"], r["seg"]): r["end"] for r in plan.collect()} == ends
+    parts = S.resume_passes(plan)
+    rows = S.elastic_resume(S.passes_shuffle(spark.range(n), "id", parts), parts)
+    assert sorted(tuple(r) for r in rows.select("run", "seg", "pass_no", "batch_no", "rank", "slot", "pos").collect()) == sorted(want)
+    assert S.resume_plan(plan.select("run", "seg", "replicas", "batches"), F.lit(0), 4).where("batches > 0 or end > 0").count() == 0
+
+
 def test_drop_last_keeps_whole_batches(spark):
     b = S.batches(S.padded_shards(S.epoch_shuffle(spark.range(103), "id"), 4), 10, 4, drop_last=True).toPandas()
     assert (b.groupby(["rank", "batch_id"]).size() == 3).all()

@@ -6,8 +6,9 @@ the input is partitioned, so a restart with another number of workers sees the s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,36 +86,88 @@ def batches(shards: DataFrame, batch: int, replicas: int, drop_last: bool = Fals
     return out.filter((F.col("batch_id") + 1) * local <= F.col("length")) if drop_last else out
 
 
+def passes_shuffle(df: DataFrame, id_col: str, passes: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """Orders of all passes that ``passes`` names in ``pass_no``: adds ``pass_no`` and ``pos``. One row per id and pass."""
+    named = passes.agg(F.array_sort(F.collect_set("pass_no")).alias("p")).scalar()
+    each = df.withColumn("pass_no", F.explode(named))
+    return hash_position(each, seeded_key(seed, F.lit(epoch), "pass_no", id_col), [id_col], by=["pass_no"])
+
+
+def _segment(index: int, n: int, size: int, batches: int | None) -> tuple[int, int]:
+    """Batches of a segment that starts at ``index``, and the index behind it."""
+    if not n:
+        return 0, index
+    first, whole = -(-(n - index % n) // size), -(-n // size)
+    count = first if batches is None else batches
+    if count < first:
+        return count, index + count * size
+    passes, more = divmod(count - first, whole)
+    top = -(-(index + first * size) // n) * n
+    return count, top + passes * -(-whole * size // n) * n + more * size
+
+
 def resume_plan(segments: DataFrame, n: Column, batch: int) -> DataFrame:
     """Start and end index of each segment of a run that is restarted with other replica counts.
 
-    ``segments`` holds (run, seg, replicas, batches). A batch consumes replicas * ceil(batch / replicas)
-    rows; the pass ends at ``n``.
+    ``segments`` holds (run, seg, replicas, batches); null ``batches`` run to the end of the pass. A batch moves the
+    index by size = replicas * ceil(batch / replicas), a short one at the end of a pass too. Behind that the index
+    is rounded up to a multiple of ``n``, and pass number index // n begins in an order of its own. Where a segment
+    starts depends on all before it, so each run is folded in order, with one number carried along.
     """
-    used = F.col("batches") * F.col("replicas") * local_batch(batch, F.col("replicas"))
-    rows = running(segments.withColumn("_used", used), ["run"], ["seg"], step_block("seg"), sums={"_end": F.col("_used")})
-    return rows.select(
-        *segments.columns,
-        F.least(F.col("_end") - F.col("_used"), n).alias("start"),
-        F.least(F.col("_end"), n).alias("end"),
+    rows = (
+        segments.withColumns({"batches": F.col("batches").cast("bigint"), "n": n})
+        .withColumn("size", (F.col("replicas") * local_batch(batch, F.col("replicas"))).cast("bigint"))
+        .withColumns({"start": F.lit(0).cast("bigint"), "end": F.lit(0).cast("bigint")})
     )
 
-
-def elastic_resume(order: DataFrame, plan: DataFrame, batch: int) -> DataFrame:
-    """Rows each (run, seg, batch, rank, slot) reads: plan rows are expanded and joined to the order on ``pos``."""
-    local = local_batch(batch, F.col("replicas"))
-    size = F.col("replicas") * local
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, index = object(), 0
+        for part in parts:
+            made = []
+            for r, total, size, batches in zip(*(part.column(c).to_pylist() for c in ("run", "n", "size", "batches")), strict=True):
+                start = index if r == run else 0
+                run, (count, index) = r, _segment(start, total, size, batches)
+                made.append((count, start, index))
+            new = dict(zip(("batches", "start", "end"), zip(*made, strict=True), strict=True)) if made else {}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(new[c], pa.int64()) if c in new else part.column(c) for c in part.schema.names], part.schema.names
+            )
+
+    return rows.repartition("run").sortWithinPartitions("run", "seg").mapInArrow(fold, rows.schema)
+
+
+def resume_passes(plan: DataFrame) -> DataFrame:
+    """Parts of segments by pass: adds pass_no, base (place in the pass), first_batch and n_batches."""
+    n, size, start = F.col("n"), F.col("size"), F.col("start")
+    first, whole = F.ceil((n - start % n) / size), F.ceil(n / size)
+    later = F.ceil(F.greatest(F.col("batches") - first, F.lit(0)) / whole)
+    rows = plan.filter("n > 0 and batches > 0").withColumns({"_first": first, "_whole": whole})
+    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), later)))
+    begins = F.col("_first") + (F.col("_j") - 1) * F.col("_whole")
+    top = round_up(start + F.col("_first") * size, n) + (F.col("_j") - 1) * round_up(F.col("_whole") * size, n)
+    is_first = F.col("_j") == 0
+    out = rows.withColumns({
+        "pass_no": F.floor(F.when(is_first, start).otherwise(top) / n),
+        "base": F.when(is_first, start % n).otherwise(0),
+        "first_batch": F.when(is_first, 0).otherwise(begins).cast("bigint"),
+    })
+    most = F.when(is_first, F.col("_first")).otherwise(F.col("_whole"))
+    return out.withColumn("n_batches", F.least(most, F.col("batches") - F.col("first_batch"))).drop("_first", "_whole", "_j")
+
+
+def elastic_resume(orders: DataFrame, passes: DataFrame) -> DataFrame:
+    """Rows each (run, seg, batch, rank, slot) reads: parts of passes are expanded and joined to their orders on (pass_no, pos)."""
+    size = F.col("size")
     rows = (
-        plan.filter("end > start")
-        .withColumn("_count", F.ceil((F.col("end") - F.col("start")) / size))
-        .withColumn("batch_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_count") - 1)))
-        .withColumn("_from", F.col("start") + F.col("batch_no") * size)
-        .withColumn("pos", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + size, F.col("end")) - 1)))
+        passes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_batches") - 1)))
+        .withColumn("batch_no", F.col("first_batch") + F.col("_b"))
+        .withColumn("_from", F.col("base") + F.col("_b") * size)
+        .withColumn("pos", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + size, F.col("n")) - 1)))
         .withColumn("_off", F.col("pos") - F.col("_from"))
         .withColumn("rank", F.col("_off") % F.col("replicas"))
         .withColumn("slot", F.floor(F.col("_off") / F.col("replicas")))
     )
-    return rows.select("run", "seg", "replicas", "batch_no", "rank", "slot", "pos").join(order, "pos")
+    return rows.select("run", "seg", "replicas", "pass_no", "batch_no", "rank", "slot", "pos").join(orders, ["pass_no", "pos"])
 
 
 def split_files(df: DataFrame, id_col: str, seed: int = 1000) -> DataFrame:

@@ -57,27 +57,45 @@ def batches_drop_last(spark, sf):
 def _segments(spark, sf):
     n = table(spark, sf, "orders").agg(F.count("*").alias("n")).scalar()
     r = F.col("r_regionkey").cast("bigint")
-    segs = table(spark, sf, "region").select(
-        F.lit(0).alias("run"), r.alias("seg"), (1 + 2 * r).alias("replicas"), F.floor(n * 3 / 1280).alias("batches")
-    )
+    runs = table(spark, sf, "region").withColumn("run", F.explode(F.array(F.lit(0), F.lit(1))))
+    short = F.when(r < 4, F.floor(n * 3 / 1280))
+    segs = runs.select("run", r.alias("seg"), (1 + 2 * r).alias("replicas"), F.when(F.col("run") == 0, short).otherwise(F.floor(n / 50) + r).alias("batches"))
     return S.resume_plan(segs, n, 64)
 
 
 def resume_plan(spark, sf):
-    return _segments(spark, sf).select("seg", "replicas", "batches", "start", "end")
+    return _segments(spark, sf).select("run", "seg", "replicas", "batches", "start", "end")
 
 
 def elastic_resume(spark, sf):
-    out = S.elastic_resume(_order(spark, sf).drop("n"), _segments(spark, sf), 64)
-    return out.select("seg", "batch_no", "rank", "slot", "pos", "o_orderkey")
+    parts = S.resume_passes(_segments(spark, sf))
+    orders = S.passes_shuffle(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", parts, seed=7, epoch=2)
+    return S.elastic_resume(orders, parts).select("run", "seg", "pass_no", "batch_no", "rank", "slot", "pos", "o_orderkey")
 
 
+# Run 0 ends with its first pass, run 1 goes through several. w: batches to the end of the pass, v: batches of a whole pass.
 RESUME = """
 c AS (SELECT count(*) AS n FROM orders),
-g AS (SELECT CAST(r_regionkey AS BIGINT) AS seg, 1 + 2 * CAST(r_regionkey AS BIGINT) AS replicas, n * 3 // 1280 AS batches, n FROM region, c),
-h AS (SELECT *, (64 + replicas - 1) // replicas AS local FROM g),
-e AS (SELECT *, CAST(sum(batches * replicas * local) OVER (ORDER BY seg) AS BIGINT) AS upto FROM h),
-p AS (SELECT seg, replicas, batches, local, least(upto - batches * replicas * local, n) AS "start", least(upto, n) AS "end" FROM e)"""
+g AS (SELECT run, CAST(r_regionkey AS BIGINT) AS seg, 1 + 2 * CAST(r_regionkey AS BIGINT) AS replicas,
+             CASE WHEN run = 1 THEN n // 50 + r_regionkey WHEN r_regionkey < 4 THEN n * 3 // 1280 END AS asked, n
+      FROM region, c, (VALUES (0), (1)) AS r(run)),
+h AS (SELECT *, replicas * ((64 + replicas - 1) // replicas) AS size, (n + replicas * ((64 + replicas - 1) // replicas) - 1) // (replicas * ((64 + replicas - 1) // replicas)) AS v FROM g),
+e AS (SELECT run, -1::BIGINT AS seg, 0::BIGINT AS replicas, 0::BIGINT AS batches, 0::BIGINT AS w, 0::BIGINT AS v, 1::BIGINT AS size, 1::BIGINT AS n, 0::BIGINT AS "start", 0::BIGINT AS "end" FROM (VALUES (0), (1)) AS r(run)
+      UNION ALL
+      SELECT run, seg, replicas, b, w, v, size, n, s,
+             CAST(CASE WHEN b < w THEN s + b * size
+                       ELSE (s + w * size + n - 1) // n * n + (b - w) // v * ((v * size + n - 1) // n * n) + (b - w) % v * size END AS BIGINT)
+      FROM (SELECT *, coalesce(asked, w) AS b
+            FROM (SELECT h.*, e."end" AS s, (h.n - e."end" % h.n + h.size - 1) // h.size AS w FROM e JOIN h ON h.run = e.run AND h.seg = e.seg + 1))),
+p AS (SELECT * FROM e WHERE seg >= 0),
+q AS (SELECT *, CASE WHEN j = 0 THEN "start" ELSE ("start" + w * size + n - 1) // n * n + (j - 1) * ((v * size + n - 1) // n * n) END AS here,
+             CASE WHEN j = 0 THEN 0 ELSE w + (j - 1) * v END AS b0
+      FROM (SELECT *, unnest(range(1 + greatest(batches - w + v - 1, 0) // v)) AS j FROM p)),
+t AS (SELECT run, seg, replicas, here // n AS pass_no, here % n AS base, b0, least(n, here % n + (batches - b0) * size) AS upto, size FROM q)"""
+
+PASSES = """
+o AS (SELECT pass_no, o_orderkey, row_number() OVER (PARTITION BY pass_no ORDER BY md5('7|2|' || pass_no || '|' || o_orderkey), o_orderkey) - 1 AS pos
+      FROM orders, (SELECT DISTINCT pass_no FROM t))"""
 
 
 def split_files(spark, sf):
@@ -136,13 +154,13 @@ QUERIES = {
         f"""{PADDED} SELECT rank, k // 15 AS batch_id, count(*) AS n_rows, min(o_orderkey) AS lo, max(o_orderkey) AS hi
             FROM s WHERE (k // 15 + 1) * 15 <= (m + 6) // 7 GROUP BY 1, 2""",
     ),
-    "resume_plan": (resume_plan, f'WITH {RESUME} SELECT seg, replicas, batches, "start", "end" FROM p'),
+    "resume_plan": (resume_plan, f'WITH RECURSIVE {RESUME} SELECT run, seg, replicas, batches, "start", "end" FROM p'),
     "elastic_resume": (
         elastic_resume,
-        f"""WITH {SHUFFLED}, {RESUME}
-            SELECT seg, (pos - "start") // (replicas * local) AS batch_no, (pos - "start") % (replicas * local) % replicas AS rank,
-                   (pos - "start") % (replicas * local) // replicas AS slot, pos, o_orderkey
-            FROM o JOIN p ON pos >= "start" AND pos < "end" """,
+        f"""WITH RECURSIVE {RESUME}, {PASSES}
+            SELECT run, seg, pass_no, b0 + (pos - base) // size AS batch_no, (pos - base) % size % replicas AS rank,
+                   (pos - base) % size // replicas AS slot, pos, o_orderkey
+            FROM o JOIN t USING (pass_no) WHERE pos >= base AND pos < upto""",
     ),
     "split_files": (
         split_files,
