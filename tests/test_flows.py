@@ -73,13 +73,41 @@ def test_phases_go_on_after_restart(spark, tmp_path):
     def run():
         stream = spark.readStream.schema("job bigint, micros bigint, seq bigint, phase string").parquet(src)
         T.run_phases(stream, out, store, str(tmp_path / "cp")).awaitTermination()
-        return sorted(tuple(r)[:4] for r in spark.read.schema(T.PHASES).parquet(out).collect())
+        return sorted(tuple(r) for r in T.current_phases(spark, out).select("job", "phase", "from_ts", "to_ts").collect())
 
     _events(spark, src, [(1, 10, 0, "Pending"), (1, 30, 1, "Starting"), (2, 5, 0, "Pending")], 0)
     assert run() == [(1, "Pending", 10, 30)]
     _events(spark, src, [(1, 70, 2, "Running"), (2, 5_000_000_000_000, 1, "Failed")], 1)
     want = [(1, "Pending", 10, 30), (1, "Starting", 30, 70), (2, "Pending", 5, 5_000_000_000_000)]
     assert run() == want and run() == want
+    _events(spark, src, [(1, 50, 9, "Late"), (1, 30, 1, "Starting"), (3, 1, 0, "Pending")], 2)  # late, repeated and new
+    want = [(1, "Late", 50, 70), (1, "Pending", 10, 30), (1, "Starting", 30, 50), (2, "Pending", 5, 5_000_000_000_000)]
+    assert run() == want
+    _events(spark, src, [(1, 80, 10, "Succeeded"), (3, 0, 1, "Early")], 3)
+    assert run() == sorted([*want, (1, "Running", 70, 80), (3, "Early", 0, 1)])
+
+
+def test_totals_count_late_and_repeated_updates_once(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+
+    def run(*rows):
+        df = spark.createDataFrame(rows, "ts string, update_id long, run long, key string, delta long").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        T.run_totals(spark.readStream.schema(df.schema).parquet(src), out, str(tmp_path / "cp")).awaitTermination()
+        return {(r["run"], r["key"]): r["total"] for r in T.current_totals(spark, out).collect()}
+
+    assert run(("2024-05-01", 1, 7, "a", 10), ("2024-05-01", 1, 7, "a", 10), ("2024-05-02", 2, 7, "a", 5)) == {(7, "a"): 15}
+    assert run(("2024-05-02", 2, 7, "a", 5), ("2020-01-01", 3, 7, "a", 1), (None, 4, 8, "b", 2)) == {(7, "a"): 16, (8, "b"): 2}
+    assert run((None, 4, 8, "b", 2), ("2020-01-01", 3, 7, "a", 1), ("2024-05-01", 5, 7, "a", 100)) == {(7, "a"): 116, (8, "b"): 2}
+
+
+def test_snapshots_keep_the_newest(spark, tmp_path):
+    s = K.Snapshots(spark, str(tmp_path), keep=2)
+    for v in range(4):
+        s.save("a", spark.range(v + 1), v)
+    s.save("a", spark.range(9), 3)
+    assert s.versions("a") == [2, 3] and s.latest("a").count() == 9
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["snapshot=2", "snapshot=3"]
 
 
 def test_new_jobs_filter(spark):

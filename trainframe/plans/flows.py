@@ -16,8 +16,12 @@ from trainframe.streaming import jobs as T
 
 
 def _event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """Events as a stream of three micro-batches, each with events of all times, so that most are late."""
+    e = table(spark, sf, "events")
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+    path = scratch(spark, "events")
+    e.repartition(3 * files, "event_id").write.parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _finish(query):
@@ -126,12 +130,12 @@ def stream_profile(spark, sf):
 
 
 def stream_totals(spark, sf):
-    """Every update is delivered twice and counted once."""
+    """Every update is delivered twice, most of them days late, and counted once."""
     e = _event_stream(spark, sf).select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("update_id"), F.col("user_id").alias("run"), F.col("event_type").alias("key"), F.round(F.col("value") * 100).cast("bigint").alias("delta")
     )
     path = scratch(spark, "totals")
-    _finish(T.run_totals(e.union(e), path, scratch(spark, "cp"), delay="60 days"))
+    _finish(T.run_totals(e.union(e), path, scratch(spark, "cp")))
     return T.current_totals(spark, path)
 
 
@@ -153,8 +157,8 @@ def stream_phases(spark, sf):
         F.when(F.col("event_type") == "signup", "Starting").otherwise(F.col("event_type")).alias("phase"),
     )
     path = scratch(spark, "phases")
-    _finish(T.run_phases(e, path, K.Snapshots(spark, scratch(spark, "states")), scratch(spark, "cp")))
-    return spark.read.schema(T.PHASES).parquet(path).select("job", "phase", "from_ts", "to_ts")
+    _finish(T.run_phases(e, path, K.Snapshots(spark, scratch(spark, "states"), keep=2), scratch(spark, "cp")))
+    return T.current_phases(spark, path).select("job", "phase", "from_ts", "to_ts")
 
 
 def stream_new_jobs(spark, sf):

@@ -32,10 +32,17 @@ def write_scalars(rows: DataFrame, path: str) -> None:
 
 
 class Snapshots:
-    """Named tables kept in versions under one folder. A version exists once its commit row is written."""
+    """Named tables kept in versions under one folder. A version exists once its commit row is written.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.names = spark, root, set()
+    With ``keep``, older versions than the newest ``keep`` are removed after each save.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keep: int | None = None):
+        self.spark, self.root, self.names, self.keep = spark, root, set(), keep
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def register(self, name: str) -> None:
         if name in self.names:
@@ -43,9 +50,14 @@ class Snapshots:
         self.names.add(name)
 
     def save(self, name: str, df: DataFrame, version: int) -> None:
-        """Write one version, data first and commit row after; writing it again replaces it."""
+        """Write one version, data first and commit row after; writing it again takes the commit row away before."""
+        self._remove(f"{self.root}/{name}.commits/snapshot={version}")
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/snapshot={version}")
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/{name}.commits/snapshot={version}")
+        if self.keep:
+            for old in self.versions(name)[: -self.keep]:
+                self._remove(f"{self.root}/{name}.commits/snapshot={old}")
+                self._remove(f"{self.root}/{name}/snapshot={old}")
 
     def versions(self, name: str) -> list[int]:
         """Committed versions, oldest first."""

@@ -36,22 +36,32 @@ def current_profile(spark, path: str) -> DataFrame:
     return newest.select(*CONFIG, "r.*")
 
 
-def run_totals(updates: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", every: str | None = None):
-    """Sum (run, key, delta) updates once per update_id, within the watermark on ts.
+def run_totals(updates: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """Sum (run, key, delta) updates once per (non-null) update_id, however late they come.
 
-    Duplicates are dropped by state; each batch adds one file set of partial sums.
+    ``path/ids`` keeps the update ids that counted, by batch and day of ``ts``. A repeated update has the ts of its first
+    delivery, so a batch meets the ids of its own days only. Nothing is dropped for being late; days that can no longer
+    be repeated may be deleted there. ``path/sums`` gets one file set of partial sums per batch.
     """
-    once = updates.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["update_id"])
+    spark = updates.sparkSession
+    day = F.coalesce(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        sums = batch.groupBy("run", "key").agg(F.sum("delta").alias("delta"))
-        sums.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        once = batch.withColumn("day", day).dropDuplicates(["update_id"])
+        if batch_id > 0:
+            seen = spark.read.schema(once.select("update_id", "day").withColumn("batch", F.lit(0).cast("bigint")).schema).parquet(f"{path}/ids")
+            seen = seen.filter(F.col("batch") < batch_id).join(once.select("day").distinct(), "day", "left_semi")
+            once = once.join(seen.select("update_id", "day"), ["update_id", "day"], "left_anti")
+        once.select("update_id", "run", "key", "delta", "day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/ids/batch={batch_id}")
+        counted = spark.read.schema(once.select("update_id", "run", "key", "delta", "day").schema).parquet(f"{path}/ids/batch={batch_id}")
+        sums = counted.groupBy("run", "key").agg(F.sum("delta").alias("delta"))
+        sums.write.mode("overwrite").parquet(f"{path}/sums/batch={batch_id}")
 
-    return _start(once, checkpoint, "append", write, every)
+    return _start(updates, checkpoint, "append", write, every)
 
 
 def current_totals(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("run", "key").agg(F.sum("delta").alias("total"))
+    return spark.read.parquet(f"{path}/sums").groupBy("run", "key").agg(F.sum("delta").alias("total"))
 
 
 def run_latest_hints(feed: DataFrame, store: Snapshots, checkpoint: str, name: str = "hints", every: str | None = None):
@@ -71,30 +81,49 @@ def new_jobs(events: DataFrame) -> DataFrame:
     return events.filter((F.col("type") == "ADDED") & F.coalesce("preemptible", F.lit(True)))
 
 
-PHASES = "job bigint, phase string, from_ts bigint, to_ts bigint"
+PHASES = "job bigint, phase string, from_ts bigint, seq bigint, to_ts bigint"
 
 
 def run_phases(events: DataFrame, path: str, store: Snapshots, checkpoint: str, name: str = "open_phase", every: str | None = None):
-    """Closed phases (job, phase, from_ts, to_ts) from (job, micros, seq, phase) events.
+    """Closed phases (job, phase, from_ts, seq, to_ts) from (job, micros, seq, phase) events.
 
     The open phase of each job is a snapshot. A micro-batch is put in order with it through blocked
-    windows on the hour, so a job with many events in a batch is no problem. Batch n writes
-    its own folder and snapshot n, which makes a repeated batch harmless.
+    windows on the hour, so a job with many events in a batch is no problem. An event before its job's open phase is
+    late: the phases of such jobs are read again and written anew, cut by it, and the newest writing counts.
+    Events with equal (job, micros, seq) are one. Batch n writes its own folder and snapshot n, which makes a repeated
+    batch harmless.
     """
     cols = ["job", "micros", "seq", "phase"]
+    spark = events.sparkSession
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         before = store.latest(name, below=batch_id)
-        rows = batch.select(*cols) if before is None else batch.select(*cols).unionByName(before.select(*cols))
+        rows = batch.select(*cols)
+        if before is not None:
+            opened = before.select("job", F.struct("micros", "seq").alias("_open"))
+            late = rows.join(opened, "job").filter(F.struct("micros", "seq") < F.col("_open")).select("job").distinct()
+            if not late.isEmpty():
+                written = spark.read.schema(f"{PHASES}, batch bigint").parquet(path).filter(F.col("batch") < batch_id)
+                past = written.join(late, "job", "left_semi").select("job", F.col("from_ts").alias("micros"), "seq", "phase")
+                rows = rows.unionByName(past)
+            rows = rows.unionByName(before.select(*cols))
+        rows = rows.dropDuplicates(["job", "micros", "seq"])
         hour = F.floor(F.col("micros") / 3600000000)
         closed = running(rows, ["job"], ["micros", "seq"], hour, leads={"to_ts": F.col("micros")}).filter("to_ts is not null")
-        closed.select("job", "phase", F.col("micros").alias("from_ts"), "to_ts").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        closed.select("job", "phase", F.col("micros").alias("from_ts"), "seq", "to_ts").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         last = rows.groupBy("job").agg(F.max_by(F.struct(*cols[1:]), F.struct("micros", "seq")).alias("r"))
         store.save(name, last.select("job", "r.*"), batch_id)
 
     return _start(events, checkpoint, "append", advance, every)
 
 
+def current_phases(spark, path: str) -> DataFrame:
+    """Closed phases as last written."""
+    rows = spark.read.schema(f"{PHASES}, batch bigint").parquet(path)
+    newest = rows.groupBy("job", "from_ts", "seq").agg(F.max_by(F.struct("phase", "to_ts"), "batch").alias("r"))
+    return newest.select("job", "r.phase", "from_ts", "seq", "r.to_ts")
+
+
 def run_append(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
     """Append rows to parquet; the checkpoint makes a restarted query go on where it stopped."""
     w = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
