@@ -83,20 +83,21 @@ def masked_batches(
     drawn = F.array_sort(F.transform(rows, lambda r: F.struct(seeded_key(seed, F.col("batch_id"), r).alias("h"), r.alias("r"))))
     picked = F.slice(F.transform(drawn, lambda x: x["r"]), 1, chosen)
     line = F.transform(F.sequence(F.lit(0), F.lit(bptt - 1)), lambda c: F.element_at("flat", (c * batch_size + F.col("_r") + 1).cast("int")))
-    plain = batches.withColumn("_picked", picked).withColumn("_r", F.explode(rows))
-    plain = plain.select("batch_id", (F.col("_r") + 1).alias("row"), line.alias("target"), F.array_contains("_picked", F.col("_r")).alias("masked"))
-    body = plain.select(
+    # Row -1 of the explode becomes the class row, so that the batches are built once.
+    each = F.sequence(F.lit(-1), F.lit(batch_size - 1))
+    plain = batches.withColumn("_picked", picked).withColumn("_r", F.explode(each))
+    cls = F.col("_r") < 0
+    plain = plain.select(
+        "batch_id", (F.col("_r") + 1).alias("row"), F.when(~cls, line).alias("target"), F.array_contains("_picked", F.col("_r")).alias("masked")
+    )
+    same = [F.array_repeat(F.lit(i).cast("bigint"), bptt) for i in (cls_id, mask_id)]
+    return plain.select(
         "batch_id",
         "row",
-        F.when(F.col("masked"), F.array_repeat(F.lit(mask_id).cast("bigint"), bptt)).otherwise(F.col("target")).alias("ids"),
+        F.when(F.col("row") == 0, same[0]).when(F.col("masked"), same[1]).otherwise(F.col("target")).alias("ids"),
         "masked",
         F.when(F.col("masked"), F.col("target")).alias("target"),
     )
-    first = F.array_repeat(F.lit(cls_id).cast("bigint"), bptt)
-    head = body.filter("row = 1").select(
-        "batch_id", F.lit(0).alias("row"), first.alias("ids"), F.lit(False).alias("masked"), F.lit(None).cast("array<bigint>").alias("target")
-    )
-    return head.unionByName(body)
 
 
 def sentence_halves(df: DataFrame, key: list[str], ids: str = "ids", seed: int = 0) -> DataFrame:

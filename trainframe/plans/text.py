@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trainframe.functions.text import tokenize
 from trainframe.operators import sequences as Q
 from trainframe.operators import vocabulary as V
-from trainframe.session import spread, table
+from trainframe.session import spread, table, written
 
 
 def tokens_sql(text: str) -> str:
@@ -35,12 +35,18 @@ def _docs(spark, sf):
     return docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
 
 
-def _vocab(spark, sf):
-    return V.build_vocabulary(V.each_token(_docs(spark, sf)))
+def _docs_once(spark, sf):
+    """Tokens for plans that read them several times: for the vocabulary, for places and for both sides of the lookup."""
+    return written(_docs(spark, sf), "tokens")
+
+
+def _vocab(docs):
+    return V.build_vocabulary(V.each_token(docs))
 
 
 def _stream(spark, sf):
-    return V.lookup_ids(Q.token_stream(_docs(spark, sf), "doc_id"), _vocab(spark, sf))
+    docs = _docs_once(spark, sf)
+    return V.lookup_ids(Q.token_stream(docs, "doc_id"), _vocab(docs))
 
 
 def tokens_per_document(spark, sf):
@@ -52,12 +58,12 @@ def long_documents(spark, sf):
 
 
 def vocabulary(spark, sf):
-    return _vocab(spark, sf)
+    return _vocab(_docs(spark, sf))
 
 
 def token_ids(spark, sf):
-    t = V.each_token(_docs(spark, sf), "tokens", "doc_id")
-    return V.lookup_ids(t, _vocab(spark, sf)).groupBy("doc_id").agg(
+    docs = _docs_once(spark, sf)
+    return V.lookup_ids(V.each_token(docs, "tokens", "doc_id"), _vocab(docs)).groupBy("doc_id").agg(
         F.count("*").alias("n_tokens"), F.sum("token_id").alias("sum_ids"), F.sum(F.col("token_id") * F.col("i")).alias("weighted")
     )
 
@@ -83,7 +89,7 @@ def masked_targets(spark, sf):
 
 def _halves(spark, sf):
     rows = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
-    rows = rows.select("conv_id", "turn", tokenize(F.col("text")).alias("tokens"))
+    rows = written(rows.select("conv_id", "turn", tokenize(F.col("text")).alias("tokens")), "turns")
     vocab = V.build_vocabulary(V.each_token(rows))
     ids = V.lookup_ids(V.each_token(rows, "tokens", "conv_id", "turn"), vocab)
     ids = ids.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("i", "token_id")))["token_id"].alias("ids"))
