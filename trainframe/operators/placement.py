@@ -43,33 +43,40 @@ def node_chunks(ranked_nodes: DataFrame, by: Sequence[str]) -> DataFrame:
     return cells.groupBy(*by, "_chunk").agg(F.sort_array(F.collect_list(F.struct("rank", "node", F.map_entries("free").alias("free")))).alias("_nodes"))
 
 
-def _replicas_that_fit(resources: str, free: Column) -> Column:
+def _replicas_that_fit(shape: str, free: Column) -> Column:
     """Whole replicas that fit into a node: the scarcest resource decides."""
     have = F.map_from_entries(free)
-    parts = F.transform(F.map_entries(resources), lambda e: F.floor(F.coalesce(have[e["key"]], F.lit(0)) / e["value"]))
-    return F.array_min(parts)
+    return F.array_min(F.transform(shape, lambda e: F.floor(F.coalesce(have[e["key"]], F.lit(0)) / e["value"])))
+
+
+def _shape() -> Column:
+    """A job's resources as a sorted array, which can be a key."""
+    return F.array_sort(F.map_entries("resources"))
 
 
 def first_fit(jobs: DataFrame, ranked_nodes: DataFrame) -> DataFrame:
     """(cluster, job, allocation): the first node by rank that holds max(min_replicas, 1) replicas, repeated; [] if none.
 
-    Jobs meet arrays of nodes, not single nodes, so a job and node pair is never a row.
+    Each distinct request of a cluster is answered once, so nodes meet requests, not jobs; they come as arrays, not rows.
     """
-    need = F.greatest("min_replicas", F.lit(1))
-    meets = jobs.join(node_chunks(ranked_nodes, ["cluster"]), "cluster", "left")
-    hit = F.filter("_nodes", lambda n: _replicas_that_fit("resources", n["free"]) >= need)
+    asked = jobs.withColumns({"_shape": _shape(), "_need": F.greatest("min_replicas", F.lit(1))})
+    key = ["cluster", "_shape", "_need"]
+    meets = asked.select(*key).distinct().join(node_chunks(ranked_nodes, ["cluster"]), "cluster")
+    hit = F.filter("_nodes", lambda n: _replicas_that_fit("_shape", n["free"]) >= F.col("_need"))
     found = meets.withColumn("_hit", F.when(F.size(hit) > 0, F.struct(hit[0]["rank"].alias("r"), hit[0]["node"].alias("n"))))
-    best = found.groupBy("cluster", "job", "min_replicas").agg(F.min("_hit").alias("_b"))
+    best = found.groupBy(*key).agg(F.min("_hit").alias("_b"))
     empty = F.array().cast("array<string>")
-    return best.select("cluster", "job", F.when(F.col("_b").isNull(), empty).otherwise(F.array_repeat(F.col("_b.n"), need.cast("int"))).alias("allocation"))
+    allocation = F.when(F.col("_b").isNull(), empty).otherwise(F.array_repeat(F.col("_b.n"), F.col("_need").cast("int")))
+    return asked.join(best, key, "left").select("cluster", "job", allocation.alias("allocation"))
 
 
 def schedulable(jobs: DataFrame, ranked_nodes: DataFrame) -> DataFrame:
-    """Jobs for which some node has every requested amount, in the same chunked way."""
-    meets = jobs.join(node_chunks(ranked_nodes, ["cluster"]), "cluster")
-    ok = F.exists("_nodes", lambda n: _replicas_that_fit("resources", n["free"]) >= 1)
-    kept = meets.filter(ok).select("cluster", "job").distinct()
-    return jobs.join(kept, ["cluster", "job"], "left_semi")
+    """Jobs for which some node has every requested amount, answered once per distinct request in the same way."""
+    asked = jobs.withColumn("_shape", _shape())
+    meets = asked.select("cluster", "_shape").distinct().join(node_chunks(ranked_nodes, ["cluster"]), "cluster")
+    ok = F.exists("_nodes", lambda n: _replicas_that_fit("_shape", n["free"]) >= 1)
+    kept = meets.filter(ok).select("cluster", "_shape").distinct()
+    return asked.join(kept, ["cluster", "_shape"], "left_semi").drop("_shape")
 
 
 def allocation_diff(old: DataFrame, new: DataFrame) -> DataFrame:
