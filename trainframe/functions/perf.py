@@ -57,9 +57,3 @@ def goodput(
     """Throughput times efficiency."""
     batch = replicas * local_bsz * (accum_steps + 1)
     return throughput(p, nodes, replicas, local_bsz, accum_steps, network) * efficiency(grad, init_batch, batch)
-
-
-def geometric_point(low: Column, high: Column, i: Column, points: int = GRID) -> Column:
-    """Point i of a geometric grid that holds both ends exactly."""
-    inner = low * F.pow(high / low, i / F.lit(points - 1.0))
-    return F.when(i == 0, low.cast("double")).when(i == points - 1, high.cast("double")).otherwise(inner)

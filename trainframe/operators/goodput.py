@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,43 +23,56 @@ RESIZE_MARGIN = 0.15
 INPUTS = ("params", "grad", "init_batch", "max_batch", "min_local", "max_local", "accumulation")
 
 
+SEARCH_ROWS = 2048
+
+
+def _best_of_grid(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Goodput, local batch and accumulation steps of the best grid point of each row of _search_inputs."""
+    nodes, replicas, init, top, lo, hi, accumulation, ac, bc, an, bn, ar, br, gamma, sqr, var = (c[:, None] for c in x.T)
+    i = np.arange(perf.GRID)
+    first = np.maximum(init, lo * replicas)
+    local = np.where(i == perf.GRID - 1, top, first * (top / first) ** (i / (perf.GRID - 1.0))) / replicas
+    least = (replicas == 1) & (local > init + EPS)
+    steps = np.where(accumulation > 0, np.maximum(np.ceil(local / hi - EPS) - 1, least), 0)
+    whole = np.where((accumulation == 0) & (replicas == 1), init, np.ceil(local / (steps + 1) - EPS))
+    bsz = np.minimum(hi, np.maximum(lo, whole))
+    extra = np.maximum(replicas - 2, perf.TINY)
+    net = np.where(nodes > 1, an + bn * extra, np.where(replicas > 1, ar + br * extra, perf.TINY + perf.TINY * extra))
+    compute = ac + bc * bsz
+    batch = replicas * bsz * (steps + 1)
+    scale = batch / init
+    below = var / scale + sqr
+    throughput = batch / (steps * compute + (compute**gamma + net**gamma) ** (1 / gamma))
+    value = throughput * np.where(below > 0, (var + sqr) / below, 1.0) / scale
+    at = value.argmax(1)
+    row = np.arange(len(x))
+    return value[row, at], bsz[row, at], steps[row, at]
+
+
+def _search(*columns: pd.Series) -> pd.DataFrame:
+    x = np.stack([c.to_numpy(float) for c in columns], 1)
+    fine = ~np.isnan(x).any(1) & (x[:, 1] > 0)
+    parts = np.array_split(x[fine], max(1, -(-int(fine.sum()) // SEARCH_ROWS)))
+    with np.errstate(all="ignore"):
+        found = [np.concatenate(v) for v in zip(*map(_best_of_grid, parts), strict=True)]
+    out = pd.DataFrame({"goodput": np.nan, "local_bsz": pd.array([None] * len(x), "Int64"), "accum_steps": pd.array([None] * len(x), "Int64")})
+    out.loc[fine, "goodput"] = found[0]
+    out.loc[fine, "local_bsz"], out.loc[fine, "accum_steps"] = found[1].astype(np.int64), found[2].astype(np.int64)
+    return out
+
+
 def with_best(df: DataFrame, nodes: Column, replicas: Column, out: str = "_best") -> DataFrame:
     """Add struct ``out`` (goodput, local_bsz, accum_steps): the best of 50 geometric total batch sizes.
 
-    Reads the columns named in INPUTS. Candidates live in an array inside the row, so the search needs
-    no shuffle; what does not depend on the candidate is computed once per row. Ties go to the smaller
-    grid index.
+    Reads the columns named in INPUTS. Each Arrow batch is searched as one block of (rows, candidates), so the
+    search needs no shuffle and a row goes in and out once. Ties go to the smaller grid index. A row without a
+    model, statistics or replicas has a null result.
     """
-    init, top = F.col("init_batch"), F.coalesce("max_batch", "init_batch")
-    prepared = (
-        df.withColumn("_lo", F.coalesce("min_local", F.lit(1)))
-        .withColumn("_hi", F.coalesce("max_local", "max_batch", "init_batch"))
-        .withColumn("_first", F.greatest(init, F.col("_lo") * replicas).cast("double"))
-        .withColumn("_ratio", top / F.col("_first"))
-        .withColumn("_net", perf.network_time(F.col("params"), nodes, replicas))
-    )
-    lo, hi = F.col("_lo"), F.col("_hi")
-
-    def candidate(i: Column) -> Column:
-        local = F.when(i == perf.GRID - 1, top.cast("double")).otherwise(F.col("_first") * F.pow("_ratio", i / F.lit(perf.GRID - 1.0))) / replicas
-        least = F.when((replicas == 1) & (local > init + EPS), F.lit(1)).otherwise(F.lit(0))
-        steps = F.when(F.col("accumulation"), F.greatest(F.ceil(local / hi - EPS) - 1, least)).otherwise(F.lit(0))
-        return F.struct((-i).alias("order"), local.alias("local"), steps.cast("bigint").alias("steps"))
-
-    def sized(c: Column) -> Column:
-        whole = F.when(~F.col("accumulation") & (replicas == 1), init).otherwise(F.ceil(c["local"] / (c["steps"] + 1) - EPS))
-        return F.struct(c["order"].alias("order"), F.least(hi, F.greatest(lo, whole)).cast("bigint").alias("bsz"), c["steps"].alias("steps"))
-
-    def scored(c: Column) -> Column:
-        value = perf.goodput(F.col("params"), F.col("grad"), init, nodes, replicas, c["bsz"], c["steps"], F.col("_net"))
-        return F.struct(value.alias("goodput"), c["order"].alias("order"), c["bsz"].alias("local_bsz"), c["steps"].alias("accum_steps"))
-
-    grid = F.sequence(F.lit(0), F.lit(perf.GRID - 1))
-    for step in (candidate, sized, scored):
-        grid = F.transform(grid, step)
-    found = prepared.withColumn("_top", F.array_max(grid))
-    best = F.struct("_top.goodput", "_top.local_bsz", "_top.accum_steps")
-    return found.withColumn(out, best).drop("_lo", "_hi", "_first", "_ratio", "_net", "_top")
+    top = F.coalesce("max_batch", "init_batch")
+    inputs = [nodes, replicas, F.col("init_batch"), top, F.coalesce("min_local", F.lit(1)), F.coalesce("max_local", top), F.col("accumulation").cast("int")]
+    inputs += [F.col("params")[p] for p in perf.PARAMS] + [F.col("grad")["sqr"], F.col("grad")["var"]]
+    search = F.pandas_udf(_search, "goodput double, local_bsz bigint, accum_steps bigint")
+    return df.withColumn(out, search(*[c.cast("double") for c in inputs]))
 
 
 def search(df: DataFrame) -> DataFrame:
