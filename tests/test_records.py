@@ -27,15 +27,15 @@ CONTAINERS = "array<struct<name: string, requests: map<string,string>, limits: m
 
 def test_pod_requests_and_defaults(spark):
     pod = [
-        ("main", {"cpu": "10", "memory": "300"}, {"cpu": "12", "cows": "3"}),
-        ("side", {"cpu": "4", "memory": "170", "cows": "9"}, {"cows": "4", "memory": "999"}),
+        ("train", {"cpu": "6", "memory": "2k"}, {"cpu": "8", "fpga": "5"}),
+        ("logger", {"cpu": "250m", "memory": "40", "fpga": "9"}, {"fpga": "1", "memory": "999"}),
         ("bare", None, None),
     ]
     df = spark.createDataFrame([("p", pod)], f"pod string, containers {CONTAINERS}")
     got = {r["resource"]: r["amount"] for r in R.pod_requests(df, ["pod"]).collect()}
-    assert got == {"pods": 1, "cpu": 14000, "memory": 470, "cows": 7}
+    assert got == {"pods": 1, "cpu": 6250, "memory": 2040, "fpga": 6}
     filled = df.select("pod", R.default_resources(F.col("containers"), {"cpu": "1", "gpu": "2"}, None).alias("containers")).first()["containers"]
-    assert filled[0]["requests"] == {"cpu": "10", "memory": "300", "gpu": "2"} and filled[0]["limits"] == pod[0][2] and filled[1]["requests"] == pod[1][1]
+    assert filled[0]["requests"] == {"cpu": "6", "memory": "2k", "gpu": "2"} and filled[0]["limits"] == pod[0][2] and filled[1]["requests"] == pod[1][1]
     bare = spark.createDataFrame([("p", [("m", None, None)])], f"pod string, containers {CONTAINERS}")
     got = bare.select(R.default_resources(F.col("containers"), {"cpu": "1"}, None).alias("c")).first()["c"][0]
     assert got["requests"] == {"cpu": "1"} and got["limits"] is None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trainframe.operators.blocked import running, step_block
 from trainframe.operators.position import seeded_draw
-from trainframe.session import checkpointed, for_compute
+from trainframe.session import for_compute, written
 
 
 def distinct_interactions(df: DataFrame) -> DataFrame:
@@ -26,9 +26,9 @@ def negatives(features: DataFrame, positives: DataFrame, item_num: Column, num_n
     A draw r is uniform over the user's missing items, and the r-th missing item is r plus the number of
     positives whose item less its rank among the positives is at most r. That count is a running sum
     over positives and draws merged in value order, cut in blocks, so no user's items are gathered
-    in one place and no draw is repeated. A user who has every item gets no rows.
+    in one place and no draw is repeated. A user who has every item gets no rows. ``features`` and ``positives``
+    are read several times, so hand over stored tables; the draws are made once and stored.
     """
-    positives = checkpointed(positives)  # read several times below
     ranked = running(positives, ["user"], ["item"], step_block("item"), sums={"_rank": F.lit(1)}, exclusive=True)
     gaps = ranked.select("user", (F.col("item") - F.coalesce("_rank", F.lit(0))).alias("_v"), F.lit(0).alias("_draw"),
                          "item", F.lit(0).alias("ng_no"))
@@ -39,7 +39,7 @@ def negatives(features: DataFrame, positives: DataFrame, item_num: Column, num_n
     drawn = drawn.select("user", (seeded_draw(seed, "user", "item", "ng_no") % F.col("_free")).alias("_v"), F.lit(1).alias("_draw"),
                          "item", "ng_no")
     merged = running(
-        gaps.unionByName(drawn), ["user"], ["_v", "_draw", "item", "ng_no"], step_block("_v"),
+        written(gaps.unionByName(drawn), "draws"), ["user"], ["_v", "_draw", "item", "ng_no"], step_block("_v"),
         sums={"_passed": F.lit(1) - F.col("_draw")},
     )
     return merged.filter("_draw = 1").select("user", "item", "ng_no", (F.col("_v") + F.col("_passed")).alias("neg"))

@@ -16,11 +16,12 @@ from trainframe.session import for_compute
 # network parameters across nodes exceed those within a node when only the latter were seen.
 START = np.array([0.1, 0.01, 0.1, 0.01, 0.1, 0.01, 1.001])
 LOWER = np.array([1e-8] * 6 + [1.0])
-UPPER = np.array([1e9] * 6 + [10.0])
+UPPER = np.array([np.inf] * 6 + [10.0])
 GAMMA_WEIGHT, GROWTH_WEIGHT = 1e-3, 1e-2
 ACROSS_NODES = 1.1
 
-FIT_SCHEMA = "job_id bigint, " + ", ".join(f"{p} double" for p in perf.PARAMS) + ", loss double"
+FIT_SCHEMA = "job_id bigint, " + ", ".join(f"{p} double" for p in perf.PARAMS) + ", loss double, settled boolean"
+ROUNDS = 1000
 
 
 def fit_loss(p: np.ndarray, nodes, replicas, bsz, accum, optim) -> np.ndarray:
@@ -36,8 +37,11 @@ def fit_loss(p: np.ndarray, nodes, replicas, bsz, accum, optim) -> np.ndarray:
     return err + GAMMA_WEIGHT * (g[..., 0] - 1) ** 2 + GROWTH_WEIGHT * growth[..., 0]
 
 
-def _minimize(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Projected BFGS inside a box; ``f`` takes many points at once. Gradients are central differences."""
+def _minimize(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, bool]:
+    """Projected BFGS inside a box; ``f`` takes many points at once. Gradients are central differences.
+
+    Returns the best point and whether it settled (no step gains more than a part in 100,000) before the rounds ran out.
+    """
     move = hi > lo
     steps = np.diag(np.where(move, 1e-6, 0.0))[move]
 
@@ -48,9 +52,11 @@ def _minimize(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, lo: np.ndarr
         return out
 
     fx, g, h, quiet = f(x), gradient(x), np.eye(len(x)), 0
+    settled = False
     for _ in range(rounds):
         free = move & ~((x <= lo) & (g > 0)) & ~((x >= hi) & (g < 0))
         if np.max(np.abs(g[free]), initial=0.0) < 1e-9:
+            settled = True
             break
         d = np.where(free, -(np.where(free[:, None] & free[None, :], h, 0.0) @ np.where(free, g, 0.0)), 0.0)
         if d @ g >= 0:
@@ -61,6 +67,7 @@ def _minimize(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, lo: np.ndarr
         good = values < fx + 1e-4 * (tries - x) @ g
         if not good.any():
             if np.array_equal(h, np.eye(len(x))):
+                settled = True
                 break
             h = np.eye(len(x))
             continue
@@ -72,15 +79,21 @@ def _minimize(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, lo: np.ndarr
             r = 1 / (s @ y)
             v = np.eye(len(x)) - r * np.outer(s, y)
             h = v @ h @ v.T + r * np.outer(s, s)
-        quiet = quiet + 1 if fx - values[i] < 1e-7 * (1e-3 + fx) else 0
+        quiet = quiet + 1 if fx - values[i] < 1e-5 * (1e-3 + fx) else 0
         x, fx, g = new, values[i], gn
         if quiet > 2:
+            settled = True
             break
-    return x
+    return x, settled
 
 
 def fit_params(nodes, replicas, bsz, accum, optim) -> np.ndarray:
     """Best parameters for measured mean times. What the rows say nothing about is held fixed."""
+    return fit_model(nodes, replicas, bsz, accum, optim)[0]
+
+
+def fit_model(nodes, replicas, bsz, accum, optim) -> tuple[np.ndarray, bool]:
+    """``fit_params`` and whether the search settled within ROUNDS rounds."""
     nodes, replicas, bsz, accum, optim = (np.asarray(a, float) for a in (nodes, replicas, bsz, accum, optim))
     x, lo, hi = START.copy(), LOWER.copy(), UPPER.copy()
 
@@ -96,23 +109,37 @@ def fit_params(nodes, replicas, bsz, accum, optim) -> np.ndarray:
     to_log = lambda p: np.concatenate([np.log(p[..., :6]), p[..., 6:]], -1)
     to_params = lambda z: np.concatenate([np.exp(z[..., :6]), z[..., 6:]], -1)
     loss = lambda z: fit_loss(to_params(z), nodes, replicas, bsz, accum, optim)
-    out = np.clip(to_params(_minimize(loss, to_log(x), to_log(lo), to_log(hi))), lo, hi)
+    best, settled = _minimize(loss, to_log(x), to_log(lo), to_log(hi))
+    out = np.clip(to_params(best), lo, hi)
     if not across:
         out[2], out[3] = max(out[2], ACROSS_NODES * out[4]), max(out[3], ACROSS_NODES * out[5])
-    return out
+    return out, settled
+
+
+def held(means: DataFrame) -> DataFrame:
+    """(job_id, configurations, one_size, no_across, no_within, no_growth): what each job's rows leave undetermined.
+
+    With one local batch size the constant compute time is held, without replicas across nodes, within a node, or
+    beyond two, the parameters of that part of the network.
+    """
+    n, r = F.col("nodes"), F.col("replicas")
+    return means.groupBy("job_id").agg(
+        F.count("*").alias("configurations"), (F.count_distinct("local_bsz") == 1).alias("one_size"), (~F.bool_or(n > 1)).alias("no_across"),
+        (~F.bool_or((n == 1) & (r > 1))).alias("no_within"), (~F.bool_or(r > 2)).alias("no_growth"),
+    )
 
 
 def fit_jobs(means: DataFrame) -> DataFrame:
     """One model per job from (job_id, nodes, replicas, local_bsz, accum_mean, optim_mean) rows.
 
     The input is the aggregated profile, so a group holds one row per distinct configuration of a job,
-    however many steps it ran.
+    however many steps it ran. ``settled`` is false where the search stopped at its limit of rounds.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         data = [pdf[c].to_numpy(float) for c in ("nodes", "replicas", "local_bsz", "accum_mean", "optim_mean")]
-        p = fit_params(*data)
-        return pd.DataFrame([[int(pdf["job_id"].iloc[0]), *p, float(fit_loss(p, *data))]], columns=["job_id", *perf.PARAMS, "loss"])
+        p, settled = fit_model(*data)
+        return pd.DataFrame([[int(pdf["job_id"].iloc[0]), *p, float(fit_loss(p, *data)), settled]], columns=["job_id", *perf.PARAMS, "loss", "settled"])
 
     return for_compute(means, "job_id").groupBy("job_id").applyInPandas(fit, FIT_SCHEMA)
 

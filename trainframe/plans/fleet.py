@@ -73,7 +73,7 @@ def pod_requests(spark, sf):
 
 
 def default_requests(spark, sf):
-    pods = _pods(spark, sf).withColumn("containers", R.default_resources(F.col("containers"), {"cpu": "2", "ephemeral-storage": "3k"}, {"gpu": "1", "cows": "2"}))
+    pods = _pods(spark, sf).withColumn("containers", R.default_resources(F.col("containers"), {"cpu": "2", "ephemeral-storage": "3k"}, {"gpu": "1", "fpga": "2"}))
     return R.pod_requests(pods, ["l_orderkey"])
 
 
@@ -410,7 +410,7 @@ QUERIES = {
     "pod_requests": (pod_requests, f"WITH {PODS} SELECT l_orderkey, resource, CAST(sum(amount) AS BIGINT) AS amount FROM r GROUP BY 1, 2 HAVING sum(amount) > 0"),
     "default_requests": (
         default_requests,
-        f"""WITH {PODS}, d AS (SELECT l_orderkey, resource, amount FROM r UNION ALL SELECT l_orderkey, 'ephemeral-storage', 3000 FROM lineitem UNION ALL SELECT l_orderkey, 'cows', 2 FROM lineitem)
+        f"""WITH {PODS}, d AS (SELECT l_orderkey, resource, amount FROM r UNION ALL SELECT l_orderkey, 'ephemeral-storage', 3000 FROM lineitem UNION ALL SELECT l_orderkey, 'fpga', 2 FROM lineitem)
             SELECT l_orderkey, resource, CAST(sum(amount) AS BIGINT) AS amount FROM d GROUP BY 1, 2 HAVING sum(amount) > 0""",
     ),
     "node_free": (node_free, f"WITH {PODS}, {CAPACITY} SELECT node, resource, amount FROM f WHERE amount > 0"),

@@ -3,15 +3,16 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from trainframe.functions import perf
 from trainframe.operators import perfmodel as M
 from trainframe.operators import profiles as P
 from trainframe.operators import sampling as S
-from trainframe.plans.ranking import BOUGHT, _bought, draws_sql
+from trainframe.plans.ranking import BOUGHT, _bought, _pairs, draws_sql
 from trainframe.plans.sampling import PADDED, _order
 from trainframe.plans.telemetry import MODEL, REPORT, STEPS, _jobs, _progress, _steps
 from trainframe.sources import readers as D
 from trainframe.sources import sinks as K
-from trainframe.session import scratch, table
+from trainframe.session import scratch, table, written
 from trainframe.streaming import jobs as T
 
 
@@ -28,8 +29,38 @@ def _finish(query):
     query.awaitTermination()
 
 
+def _planted(spark, sf):
+    """Steps whose times come from a known model of each job, with up to 4 % of noise by event, and that model."""
+    j, k = F.col("user_id"), F.get_json_object("props", "$.k").cast("int")
+    model = F.struct(
+        (0.04 + j % 7 * 0.02).alias("alpha_c"), (0.002 * (1 + j % 5)).alias("beta_c"), (0.05 + j % 3 * 0.03).alias("alpha_n"), (0.006 * (1 + j % 4)).alias("beta_n"),
+        (0.02 + j % 6 * 0.005).alias("alpha_r"), (0.002 * (1 + j % 3)).alias("beta_r"), (1 + j % 9 * 0.25).alias("gamma"),
+    )
+    rows = table(spark, sf, "events").select(
+        j.alias("job_id"), (1 + k % 2).alias("nodes"), (1 + k % 2 + k % 3).alias("replicas"), (8 * (1 + k % 4)).alias("local_bsz"), (F.col("event_type") == "view").alias("is_accum"),
+        (1 + (F.col("event_id") * 7919 % 11 - 5) * 0.008).alias("noise"), model.alias("params"),
+    )
+    p = F.col("params")
+    compute = perf.accum_time(p, F.col("local_bsz"))
+    both = F.exp(perf.log_optim_time(p, compute, perf.network_time(p, F.col("nodes"), F.col("replicas"))))
+    steps = rows.withColumn("step_time", F.when(F.col("is_accum"), compute).otherwise(both) * F.col("noise")).withColumn("sync_time", (both - compute) * F.col("noise"))
+    return steps, rows.select("job_id", "params").dropDuplicates(["job_id"])
+
+
 def fit_perf(spark, sf):
-    return M.fit_jobs(P.profile_means(P.step_profile(_steps(spark, sf))).filter("valid"))
+    """Per job: what its rows leave open, the loss of the planted model with that held, and whether the fit settled as low."""
+    steps, models = _planted(spark, sf)
+    means = written(P.profile_means(P.step_profile(steps)).filter("valid"), "means")
+    held = M.held(means)
+    p, tiny = F.col("params"), F.lit(perf.TINY)
+    known = held.join(models, "job_id").withColumn("ar", F.when(F.col("no_within"), tiny).otherwise(p["alpha_r"])).withColumn("br", F.when(F.col("no_within") | F.col("no_growth"), tiny).otherwise(p["beta_r"]))
+    known = known.withColumn("an", F.when(F.col("no_across"), F.col("ar") * M.ACROSS_NODES).otherwise(p["alpha_n"]))
+    known = known.withColumn("bn", F.when(F.col("no_across"), F.col("br") * M.ACROSS_NODES).when(F.col("no_growth"), tiny).otherwise(p["beta_n"]))
+    known = known.select("job_id", F.struct(p["alpha_c"].alias("alpha_c"), p["beta_c"].alias("beta_c"), F.col("an").alias("alpha_n"), F.col("bn").alias("beta_n"), F.col("ar").alias("alpha_r"), F.col("br").alias("beta_r"), p["gamma"].alias("gamma")).alias("params"))
+    truth = M.fit_error(means, known).withColumnRenamed("loss", "truth_loss")
+    out = M.fit_jobs(means).join(truth, "job_id").join(held, "job_id")
+    flags = [F.col(c).cast("int").alias(c) for c in ("one_size", "no_across", "no_within", "no_growth", "settled")]
+    return out.select("job_id", "configurations", *flags, (F.col("loss") <= 1.1 * F.col("truth_loss")).cast("int").alias("as_good"), F.round("truth_loss", 6).alias("truth_loss"))
 
 
 def fit_error(spark, sf):
@@ -71,9 +102,8 @@ def candidate_file(spark, sf):
     """Ranking candidates written as lines of pairs and negatives and read back."""
     from trainframe.operators import interactions as I
 
-    bought = _bought(spark, sf)
-    pos = I.distinct_interactions(bought)
-    truth = I.hold_out_last(bought, "o_orderdate")
+    pos = _pairs(spark, sf)
+    truth = written(I.hold_out_last(_bought(spark, sf), "o_orderdate"), "truth")
     negs = I.negatives(truth, pos, I.cardinality(pos).select("item_num").scalar(), 9, seed=9)
     lines = negs.groupBy("user", "item").agg(F.sort_array(F.collect_list(F.struct("ng_no", "neg")))["neg"].alias("n"))
     line = F.concat(F.lit("("), F.col("user").cast("string"), F.lit(","), F.col("item").cast("string"), F.lit(")\t"), F.array_join(F.col("n").cast("array<string>"), "\t"))
@@ -172,7 +202,24 @@ def stream_new_jobs(spark, sf):
 LAST = "l AS (SELECT u, arg_max(i, (d, i)) AS i FROM b GROUP BY u)"
 
 QUERIES = {
-    "fit_perf": (fit_perf, None),
+    "fit_perf": (
+        fit_perf,
+        """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, 1 + (event_id * 7919 % 11 - 5) * 0.008::DOUBLE AS noise FROM events),
+        t AS (SELECT user_id AS job_id, 1 + k % 2 AS n, 1 + k % 2 + k % 3 AS r, 8 * (1 + k % 4) AS b, event_type = 'view' AS acc, noise, greatest(r - 2, 1e-8::DOUBLE) AS x,
+                     0.04::DOUBLE + user_id % 7 * 0.02::DOUBLE + 0.002::DOUBLE * (1 + user_id % 5) * b AS ta, 0.05::DOUBLE + user_id % 3 * 0.03::DOUBLE AS an,
+                     0.006::DOUBLE * (1 + user_id % 4) AS bn, 0.02::DOUBLE + user_id % 6 * 0.005::DOUBLE AS ar, 0.002::DOUBLE * (1 + user_id % 3) AS br, 1 + user_id % 9 * 0.25::DOUBLE AS g,
+                     CASE WHEN n > 1 THEN an + bn * x WHEN r > 1 THEN ar + br * x ELSE 1e-8::DOUBLE * (1 + x) END AS tn, pow(pow(ta, g) + pow(tn, g), 1 / g) AS tt FROM e),
+        c AS (SELECT job_id, n, r, b, any_value(ta) AS ta, any_value(an) AS an, any_value(bn) AS bn, any_value(ar) AS ar, any_value(br) AS br, any_value(g) AS g, any_value(x) AS x,
+                     avg(noise * CASE WHEN acc THEN ta ELSE tt - (tt - ta) END) AS am, avg(noise * tt) FILTER (NOT acc) AS om FROM t GROUP BY 1, 2, 3, 4 HAVING count_if(NOT acc) > 0),
+        h AS (SELECT job_id, count(*) AS configurations, (count(DISTINCT b) = 1)::INT AS one_size, (max(n) = 1)::INT AS no_across, (count_if(n = 1 AND r > 1) = 0)::INT AS no_within,
+                     (max(r) <= 2)::INT AS no_growth, any_value(g) AS gamma, CASE WHEN no_within = 1 THEN 1e-8::DOUBLE ELSE any_value(ar) END AS har,
+                     CASE WHEN no_within = 1 OR no_growth = 1 THEN 1e-8::DOUBLE ELSE any_value(br) END AS hbr, CASE WHEN no_across = 1 THEN 1.1::DOUBLE * har ELSE any_value(an) END AS han,
+                     CASE WHEN no_across = 1 THEN 1.1::DOUBLE * hbr WHEN no_growth = 1 THEN 1e-8::DOUBLE ELSE any_value(bn) END AS hbn FROM c GROUP BY 1),
+        w AS (SELECT c.*, h.*, CASE WHEN n > 1 THEN han + hbn * x WHEN r > 1 THEN har + hbr * x ELSE 1e-8::DOUBLE * (1 + x) END AS net FROM c JOIN h USING (job_id))
+        SELECT job_id, configurations, one_size, no_across, no_within, no_growth, 1 AS settled, 1 AS as_good,
+               round(sqrt(avg(pow(ln(ta) - ln(am), 2))) + sqrt(avg(pow(ln(pow(ta, g) + pow(net, g)) / g - ln(om), 2))) + any_value(0.001::DOUBLE * pow(g - 1, 2) + 0.01::DOUBLE * (pow(hbn / han, 2) + pow(hbr / har, 2))), 6) AS truth_loss
+        FROM w GROUP BY ALL""",
+    ),
     "fit_error": (
         fit_error,
         f"""WITH {STEPS}, {MODEL}, w AS (SELECT p.*, alpha_c, beta_c, alpha_n, beta_n, alpha_r, beta_r, gamma, (accum_time + optim_time - sync_time) / (accum_count + optim_count) AS am, optim_time / optim_count AS om,

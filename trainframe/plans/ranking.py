@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trainframe.operators import interactions as I
 from trainframe.operators import ranking as R
 from trainframe.operators.position import seeded_draw
-from trainframe.session import table
+from trainframe.session import table, written
 
 
 def _bought(spark, sf):
@@ -18,6 +18,11 @@ def _item_num(df):
     return I.cardinality(df).select("item_num").scalar()
 
 
+def _pairs(spark, sf):
+    """Distinct pairs, stored once for the several reads of the sampling."""
+    return written(I.distinct_interactions(_bought(spark, sf)), "pairs")
+
+
 def distinct_interactions(spark, sf):
     return I.distinct_interactions(_bought(spark, sf))
 
@@ -27,7 +32,7 @@ def cardinality(spark, sf):
 
 
 def _negatives(spark, sf, num_ng):
-    pos = I.distinct_interactions(_bought(spark, sf))
+    pos = _pairs(spark, sf)
     return I.negatives(pos, pos, _item_num(pos), num_ng, seed=3)
 
 
@@ -37,22 +42,22 @@ def negatives(spark, sf):
 
 def negatives_are_new(spark, sf):
     """Drawn items that the user did interact with, counted per user: all zero."""
-    negs = _negatives(spark, sf, 4)
-    pos = I.distinct_interactions(_bought(spark, sf)).withColumnRenamed("item", "neg").withColumn("seen", F.lit(1))
-    return negs.join(pos, ["user", "neg"], "left").groupBy("user").agg(
+    pos = _pairs(spark, sf)
+    negs = I.negatives(pos, pos, _item_num(pos), 4, seed=3)
+    seen = pos.withColumnRenamed("item", "neg").withColumn("seen", F.lit(1))
+    return negs.join(seen, ["user", "neg"], "left").groupBy("user").agg(
         F.count("*").alias("drawn"), F.coalesce(F.sum("seen"), F.lit(0)).alias("clashes")
     )
 
 
 def train_triples(spark, sf):
-    pos = I.distinct_interactions(_bought(spark, sf))
+    pos = _pairs(spark, sf)
     return I.train_triples(pos, I.negatives(pos, pos, _item_num(pos), 4, seed=3))
 
 
 def _scored(spark, sf):
-    bought = _bought(spark, sf)
-    pos = I.distinct_interactions(bought)
-    truth = I.hold_out_last(bought, "o_orderdate")
+    pos = _pairs(spark, sf)
+    truth = written(I.hold_out_last(_bought(spark, sf), "o_orderdate"), "truth")
     negs = I.negatives(truth, pos, _item_num(pos), 99, seed=9)
     cand = I.candidates(truth, negs)
     a, b = (seeded_draw(s, "user", "item") / F.lit(float(2**60)) for s in ("a", "b"))
