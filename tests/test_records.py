@@ -75,6 +75,22 @@ def test_first_fit_does_not_depend_on_chunks(spark, monkeypatch, chunk):
     assert {r["job"] for r in L.schedulable(jobs, L.rank_nodes(nodes)).collect()} == set(range(1, 17))
 
 
+@pytest.mark.parametrize("width", [1, 3, 256])
+def test_serve_from_start_matches_a_loop(spark, width):
+    amounts = {"a": [2, 0, 5, 1, 4], "b": [3], "c": []}
+    caps = [("a", "j0", 0), ("a", "j1", 1), ("a", "j2", 7), ("a", "j3", 50), ("b", "j4", 3), ("b", "j5", 2), ("c", "j6", 4), ("a", "j7", None)]
+    supply = spark.createDataFrame([(g, i, n) for g, ns in amounts.items() for i, n in enumerate(ns)], "cluster string, rank long, amount long")
+    asks = spark.createDataFrame(caps, "cluster string, job string, cap long")
+    want = {}
+    for g, job, cap in caps:
+        for i, n in enumerate(amounts[g]):
+            given = max(0, min(n, (cap or 0) - sum(amounts[g][:i])))
+            if given:
+                want[job, i] = given
+    rows = L.serve_from_start(asks, supply, ["cluster"], "rank", "amount", "cap", width).collect()
+    assert {(r["job"], r["rank"]): r["given"] for r in rows} == want and len(rows) == len(want)
+
+
 def test_accumulator_story(spark):
     log = [(0, s, y, o, k, d) for s, (y, o, k, d) in enumerate([(0, "add", "a", 10.0), (0, "add", "a", 5.0), (1, "add", "a", 1.0), (1, "add", "b", 6.0), (2, "add", "b", -10.0), (2, "add", "c", -10.0), (3, "clear", None, None)])]
     df = spark.createDataFrame(log, "run int, seq int, sync_no int, op string, key string, delta double")

@@ -122,6 +122,20 @@ def quota_fill(df: DataFrame, by: Sequence[str], order: str, amount: str, cap: s
     return rows.withColumn("given", given).drop("_upto")
 
 
+def serve_from_start(asks: DataFrame, supply: DataFrame, by: Sequence[str], order: str, amount: str, cap: str, width: int = 256) -> DataFrame:
+    """Rows (columns of ``asks``, those of ``supply``, ``given``): each ask takes up to its cap from the supply rows of its group in order.
+
+    Amounts and caps are whole numbers; every ask meets the full supply. One running sum gives each supply row the
+    range of units it holds; ask and supply meet on steps of ``width`` units, so what is compared are the rows that
+    give something and at most one step more per ask, not all rows of a group. Rows that give nothing are left out.
+    """
+    rows = running(supply.filter(F.col(amount) > 0), by, [order], step_block(order), sums={"_end": F.col(amount)})
+    rows = rows.withColumn("_start", F.col("_end") - F.col(amount)).withColumn("_step", F.floor(F.col("_start") / width))
+    steps = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(cap) - 1) / width))
+    met = asks.filter(F.col(cap) > 0).withColumn("_step", F.explode(steps)).join(rows, [*by, "_step"]).filter(F.col("_start") < F.col(cap))
+    return met.withColumn("given", F.least(F.col(amount), F.col(cap) - F.col("_start"))).drop("_start", "_end", "_step")
+
+
 def first_holder(states: DataFrame) -> DataFrame:
     """Drop rows from the second distributed job on, per (candidate, node) in job order.
 

@@ -193,10 +193,10 @@ def quota_fill(spark, sf):
 
 
 def spread_minimum(spark, sf):
-    """Each job's minimum handed out over the nodes of its cluster in rank order."""
+    """Each job's minimum handed out over the nodes of its cluster in rank order; nodes that give nothing are left out."""
     n = _ranked_nodes(spark, sf).select("cluster", "node", "rank", (F.col("free")["cpu"] / 2000).cast("bigint").alias("amount"))
-    rows = _jobs(spark, sf).select("cluster", "job", (F.col("min_replicas") * 3).alias("cap")).join(n, "cluster")
-    return L.quota_fill(rows, ["job"], "rank", "amount", "cap").select("job", "node", "given")
+    asks = _jobs(spark, sf).select("cluster", "job", (F.col("min_replicas") * 3).alias("cap"))
+    return L.serve_from_start(asks, n, ["cluster"], "rank", "amount", "cap").select("job", "node", "given")
 
 
 def _states(spark, sf):
@@ -462,7 +462,7 @@ QUERIES = {
     "spread_minimum": (
         spread_minimum,
         f"""WITH {NODES}, r AS (SELECT job, n.node, n.cpu // 2000 AS a, lo * 3 AS cap, sum(n.cpu // 2000) OVER (PARTITION BY job ORDER BY rank) AS upto FROM j JOIN n ON j.cluster = n.cluster)
-            SELECT job, node, CAST(greatest(least(a, cap - (upto - a)), 0) AS BIGINT) AS given FROM r""",
+            SELECT job, node, CAST(least(a, cap - (upto - a)) AS BIGINT) AS given FROM r WHERE a > 0 AND cap - (upto - a) > 0""",
     ),
     "first_holder": (
         first_holder,
