@@ -120,3 +120,21 @@ def test_reduce_custom_keeps_rank_order(spark, block):
     df = spark.range(50).select((F.col("id") % 2).alias("g"), "id", F.char(F.col("id") + 48).alias("v"))
     got = {r["g"]: r["v"] for r in M.reduce_custom(df, ["g"], "id", "v", lambda a, b: a + b, block=block).collect()}
     assert got == {g: "".join(chr(i + 48) for i in range(g, 50, 2)) for g in (0, 1)}
+
+
+def test_nested_pod_and_node_records(spark, tmp_path):
+    pods = [
+        {"metadata": {"name": "p0", "namespace": "lab", "labels": {"team/job": "fit"}, "deletionTimestamp": "2024-03-01T10:00:00Z"},
+         "spec": {"nodeName": "n0", "containers": [{"name": "a", "resources": {"limits": {"cpu": "2"}}}, {"name": "b"}]},
+         "status": {"phase": "Failed", "reason": "Evicted", "conditions": [{"type": "Ready", "status": "True"}, {"type": "PodScheduled", "status": "True"}, {"type": "Ready", "status": "False"}],
+                    "containerStatuses": [{"ready": False, "state": {"terminated": {"exitCode": 143}}}, {"ready": True, "state": {"running": {}}}]}},
+        {"metadata": {"name": "p1"}, "unknown": 1},
+    ]
+    (tmp_path / "pods.json").write_text("\n".join(map(json.dumps, pods)))
+    full, bare = sorted(D.pods(spark, str(tmp_path / "pods.json"), "team/job").collect(), key=lambda r: r["pod"])
+    assert (full["job"], full["node"], full["phase"], full["reason"]) == ("lab/fit", "n0", "Failed", "Evicted") and full["deleted"] is not None
+    assert full["exit_codes"] == [143] and full["ready"] == [False, True] and full["conditions"] == {"Ready": "False", "PodScheduled": "True"}
+    assert [c["name"] for c in full["containers"]] == ["a", "b"] and full["containers"][0]["limits"] == {"cpu": "2"} and full["containers"][1]["requests"] is None
+    assert bare["node"] is None and bare["containers"] is None and bare["conditions"] is None
+    (tmp_path / "nodes.json").write_text(json.dumps({"metadata": {"name": "n0"}, "status": {"allocatable": {"cpu": "4"}}}))
+    assert [tuple(r) for r in D.nodes(spark, str(tmp_path / "nodes.json")).collect()] == [("n0", {"cpu": "4"}, None)]

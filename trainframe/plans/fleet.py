@@ -295,7 +295,7 @@ def batch_rules(spark, sf):
 
 def spec_changes(spark, sf):
     h = table(spark, sf, "orders").select(F.col("o_custkey").alias("job"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("spec"))
-    return J.spec_changes(h, F.year("ts")).select("job", "seq", "spec", "old_spec")
+    return J.spec_changes(h, F.unix_date(F.to_date("ts"))).select("job", "seq", "spec", "old_spec")
 
 
 def job_info(spark, sf):

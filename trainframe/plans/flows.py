@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from trainframe.functions import perf
 from trainframe.operators import perfmodel as M
 from trainframe.operators import profiles as P
+from trainframe.operators import resources as R
 from trainframe.operators import sampling as S
+from trainframe.plans.fleet import CAPACITY, PODS, _nodes, _pods
 from trainframe.plans.ranking import BOUGHT, _bought, _pairs, draws_sql
 from trainframe.plans.sampling import PADDED, _order
 from trainframe.plans.telemetry import MODEL, REPORT, STEPS, _jobs, _progress, _steps
@@ -136,6 +138,20 @@ def job_file(spark, sf):
     )
 
 
+def node_free_from_files(spark, sf):
+    """Pods and nodes written as nested JSON, read back flat, and the capacity that is left."""
+    box = lambda c: F.struct(c["name"].alias("name"), F.struct(c["requests"].alias("requests"), c["limits"].alias("limits")).alias("resources"))
+    pod = _pods(spark, sf).select(
+        F.struct(F.col("l_orderkey").cast("string").alias("name"), F.create_map(F.lit("job"), F.lit("j")).alias("labels")).alias("metadata"),
+        F.struct(F.col("node").cast("string").alias("nodeName"), F.transform("containers", box).alias("containers")).alias("spec"), F.struct("phase").alias("status"),
+    )
+    node = _nodes(spark, sf).select(F.struct(F.col("node").cast("string").alias("name")).alias("metadata"), F.struct("allocatable").alias("status"))
+    pod_path, node_path = scratch(spark, "pods"), scratch(spark, "nodes")
+    pod.write.json(pod_path)
+    node.write.json(node_path)
+    return R.node_free(D.nodes(spark, node_path), D.pods(spark, pod_path)).withColumn("node", F.col("node").cast("bigint"))
+
+
 def snapshot_latest(spark, sf):
     """Three versions of a table of totals; the newest one is read back."""
     store = K.Snapshots(spark, scratch(spark, "states"))
@@ -254,6 +270,7 @@ QUERIES = {
         """SELECT 'train/' || o_orderkey AS job, strftime(o_orderdate, '%Y-%m-%d') AS created, o_orderkey % 3 AS min_replicas,
                   CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 5 ELSE -1 END AS max_replicas, o_orderstatus AS phase, 2 AS replicas FROM orders""",
     ),
+    "node_free_from_files": (node_free_from_files, f"WITH {PODS}, {CAPACITY} SELECT node, resource, amount FROM f WHERE amount > 0"),
     "snapshot_latest": (snapshot_latest, "SELECT o_custkey, count(*) AS n, 10 AS version FROM orders GROUP BY 1"),
     "stream_profile": (
         stream_profile,

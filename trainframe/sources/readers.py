@@ -1,4 +1,4 @@
-"""Readers for ratings, ranking candidates, text corpora, job and pod records, and hint feeds."""
+"""Readers for ratings, ranking candidates, text corpora, job, pod and node records, and hint feeds."""
 
 from __future__ import annotations
 
@@ -11,8 +11,13 @@ JOB = """metadata struct<name: string, namespace: string, creationTimestamp: str
     spec struct<minReplicas: bigint, maxReplicas: bigint, preemptible: boolean, template: string>,
     status struct<phase: string, allocation: array<string>, train: string>"""
 
-POD = """job string, pod string, node string, phase string, reason string, deleted timestamp, exit_codes array<int>,
-    ready array<boolean>, conditions map<string,string>, annotations map<string,string>"""
+POD = """metadata struct<name: string, namespace: string, labels: map<string,string>, annotations: map<string,string>, deletionTimestamp: string>,
+    spec struct<nodeName: string, containers: array<struct<name: string, resources: struct<requests: map<string,string>, limits: map<string,string>>>>>,
+    status struct<phase: string, reason: string, conditions: array<struct<type: string, status: string>>,
+                  containerStatuses: array<struct<ready: boolean, state: struct<terminated: struct<exitCode: int>>>>>"""
+
+NODE = """metadata struct<name: string>, spec struct<taints: array<struct<key: string, value: string, effect: string>>>,
+    status struct<allocatable: map<string,string>>"""
 
 JOB_EVENT = "job string, ts timestamp, seq bigint, type string, phase string, allocation array<string>, preemptible boolean"
 
@@ -51,8 +56,26 @@ def jobs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def pods(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POD).json(path)
+def pods(spark: SparkSession, path: str, job_label: str = "job") -> DataFrame:
+    """Flat pod records from JSON lines; the pod's job is named by a label. Of a condition told twice the last counts."""
+    raw = spark.read.schema(POD).json(path)
+    told = F.filter("status.conditions", lambda c: c["type"].isNotNull())
+    kinds = F.array_distinct(F.transform(told, lambda c: c["type"]))
+    last = F.transform(kinds, lambda k: F.element_at(F.filter(told, lambda c: c["type"] == k), -1)["status"])
+    return raw.select(
+        F.concat_ws("/", "metadata.namespace", F.col("metadata.labels")[job_label]).alias("job"), F.col("metadata.name").alias("pod"), F.col("spec.nodeName").alias("node"),
+        F.col("status.phase").alias("phase"), F.col("status.reason").alias("reason"), F.to_timestamp("metadata.deletionTimestamp").alias("deleted"),
+        F.filter(F.transform("status.containerStatuses", lambda c: c["state"]["terminated"]["exitCode"]), lambda e: e.isNotNull()).alias("exit_codes"),
+        F.transform("status.containerStatuses", lambda c: c["ready"]).alias("ready"), F.map_from_arrays(kinds, last).alias("conditions"),
+        F.col("metadata.annotations").alias("annotations"),
+        F.transform("spec.containers", lambda c: F.struct(c["name"].alias("name"), c["resources"]["requests"].alias("requests"), c["resources"]["limits"].alias("limits"))).alias("containers"),
+    )
+
+
+def nodes(spark: SparkSession, path: str) -> DataFrame:
+    """Flat node records from JSON lines: node, allocatable quantities, taints (null if none are told)."""
+    raw = spark.read.schema(NODE).json(path)
+    return raw.select(F.col("metadata.name").alias("node"), F.col("status.allocatable").alias("allocatable"), F.col("spec.taints").alias("taints"))
 
 
 def hint_feed(spark: SparkSession, path: str) -> DataFrame:
