@@ -7,7 +7,9 @@ The forest has ``TREES`` orders of the signature columns; in each, all signature
 thin one short ones. A common region, however large, is a run of the sort and may spread over many tasks; the rows at
 the borders of tasks are paired in a step of their own. Candidates whose signatures agree in clearly too few columns
 are left out, the others are confirmed on full sets, best ones first; pairs inside a component found so far add nothing
-to it and are not confirmed again.
+to it and are not confirmed again. Then a second search goes through every region (documents of a tree with a common prefix of
+``LEAST_DEPTH`` columns) that is larger than the window and holds more than one component: in blocks, the members outside its
+most common component meet all its members, first for their ``BEST`` candidates in each block, then for all that are left.
 
 No words or a null text: an empty set, linked with nothing, kept. A null doc_id is linked with nothing and kept. Rows
 of equal doc_id are one node. Other columns pass through untouched.
@@ -27,6 +29,8 @@ from trainframe.llm.components import components
 from trainframe.llm.store import shuffle_partitions, stored
 
 COLUMNS, TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 128, 16, 16, 3, 2
+#: Rows on a side of a block in the second search, and candidates per document and block in its first pass.
+BLOCK, BEST = 1024, 4
 #: Share of equal signature columns below which a pair is not confirmed. At a similarity of 0.8 the share has a
 #: standard deviation of 0.035, so this is more than four deviations below.
 LIKELY = 0.65
@@ -142,6 +146,64 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.mapInArrow(run, "a long, b long, share double"), "likely")
 
 
+def _meet(block: pa.Table, best: int | None) -> pa.Table:
+    """Likely pairs of a block's queries with its members of other components, in the first tree that brings both together."""
+    side = block.column("side").to_numpy()
+    theirs, mine = block.filter(pa.array(side == 1)), block.filter(pa.array(side == 0))
+    a, b, share = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if theirs.num_rows and mine.num_rows:
+        x, y = (T.flat(t.column("sig").combine_chunks())[0].view(">u2").astype(np.uint16).reshape(-1, COLUMNS) for t in (theirs, mine))
+        (q, n, qc), (m, k, mc) = ([t.column(c).to_numpy() for c in ("doc_id", "n_shingles", "comp")] for t in (theirs, mine))
+        tree, main = block.column("key")[0].as_py()[0], block.column("main")[0].as_py()
+        heads = (np.arange(TREES)[:, None] * (COLUMNS // TREES) + np.arange(LEAST_DEPTH)) % COLUMNS
+        yt = np.ascontiguousarray(y.T)
+        for at in range(0, len(q), 128):
+            to = slice(at, at + 128)
+            same = np.zeros((len(q[to]), len(m)), np.uint8)
+            for c in range(COLUMNS):
+                same += x[to, c, None] == yt[c][None]
+            low, high = np.minimum(n[to, None], k[None]), np.maximum(n[to, None], k[None])
+            good = (same >= LIKELY * COLUMNS) & (qc[to, None] != mc[None]) & (100 * low >= 80 * high)
+            good &= (mc[None] == main) | (q[to, None] < m[None])  # two queries meet once
+            i, j = np.nonzero(good)
+            if tree and len(i):
+                met = np.zeros(len(i), bool)
+                for h in heads[:tree]:
+                    met |= (x[at + i][:, h] == y[j][:, h]).all(1)
+                i, j = i[~met], j[~met]
+            s = same[i, j] / COLUMNS
+            if best and len(i):
+                order = np.lexsort((m[j], -s, i))
+                i, j, s = i[order], j[order], s[order]
+                nth = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j, s = i[nth < best], j[nth < best], s[nth < best]
+            a.append(np.minimum(q[at + i], m[j]))
+            b.append(np.maximum(q[at + i], m[j]))
+            share.append(s)
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "share": np.concatenate(share)})
+
+
+def region_pairs(reps: DataFrame, tree: DataFrame | None, best: int | None) -> DataFrame:
+    """Likely pairs (a, b, share) across components in regions larger than the window; at most ``best`` per document and block, or all."""
+    comp = reps.select("doc_id", F.col("doc_id").alias("comp")) if tree is None else reps.select("doc_id").join(tree.toDF("doc_id", "root"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("comp"))
+    twice, step = F.concat("sig", "sig"), 2 * COLUMNS // TREES
+    keys = F.array(*[F.concat(F.lit(bytes([t])), F.substring(twice, t * step + 1, 2 * LEAST_DEPTH)) for t in range(TREES)])
+    nodes = stored(reps.select("doc_id", "n_shingles", "sig").join(comp, "doc_id"), "nodes")
+    rows = nodes.select("doc_id", "comp", F.explode(keys).alias("key"))
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    # in a region of up to NEIGHBOURS + 1 documents every pair was a candidate already
+    regions = per.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where((F.col("size") > NEIGHBOURS + 1) & (F.col("comps") > 1))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    regions = stored(regions.select("key", F.col("most.comp").alias("main"), blocks(F.col("size")).alias("mb"), blocks(F.col("size") - F.col("most.n")).alias("qb")), "regions")
+    # signatures meet the few rows of these regions, not those of all keys
+    inside = rows.select("doc_id", "key").join(regions.hint("merge"), "key").join(nodes.hint("merge"), "doc_id")
+    hashed, names = F.xxhash64("doc_id"), ["key", "main", "m", "q", "side", "doc_id", "comp", "n_shingles", "sig"]
+    members = inside.withColumn("m", F.pmod(hashed, "mb").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).withColumn("side", F.lit(0)).select(names)
+    queries = inside.where("comp != main").withColumn("q", F.pmod(hashed, "qb").cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).withColumn("side", F.lit(1)).select(names)
+    met = members.unionByName(queries).groupBy("key", "m", "q").applyInArrow(lambda block: _meet(block, best), "a long, b long, share double")
+    return stored(met, "met")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose full sets have at least the given similarity."""
     both = pairs.select("a", "b").join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
@@ -159,17 +221,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    sets = document_sets(docs, k)
-    folded = sets.where("doc_id is not null and sig is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("sig").alias("sig"))
-    reps = stored(folded.select(F.col("rep").alias("doc_id"), "n_shingles", "sig", "f1", "f2", "last"), "reps")
-    pairs = likely(candidates(reps), reps)
+def joined(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, tree: DataFrame | None, k: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links and components with those that the pairs add."""
+    if pairs.isEmpty():
+        return links, tree
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     # a merge at every size: the list of ids grows with the documents, so the plan must not lean on its being small
     texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id"), "texts")
-
-    links, left, tree = None, pairs, None
+    left = pairs
     for most in (1, 3, None):  # the best candidate of each document, then a few, then all that still join components
         if left.isEmpty():
             break
@@ -186,6 +245,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         for side in ("a", "b"):
             rest = rest.join(tree.toDF(side, f"_{side}"), side, "left")
         left = stored(rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "share"), "left")
+    return links, tree
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    sets = document_sets(docs, k)
+    folded = sets.where("doc_id is not null and sig is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("sig").alias("sig"))
+    reps = stored(folded.select(F.col("rep").alias("doc_id"), "n_shingles", "sig", "f1", "f2", "last"), "reps")
+    links, tree = None, None
+    for best in (0, BEST, None):  # neighbours in the sort, then in large regions the best and then all that still join components
+        pairs = region_pairs(reps, tree, best) if best != 0 else likely(candidates(reps), reps)
+        links, tree = joined(docs, pairs, links, tree, k, percent)
 
     copies = reps.where("last > doc_id").select(F.col("doc_id").alias("rep"), "n_shingles", "f1", "f2")
     out = sets.select("doc_id", "n_shingles", "f1", "f2").join(copies, ["f1", "f2", "n_shingles"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
