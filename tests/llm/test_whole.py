@@ -2,12 +2,10 @@
 
 import random
 
-import numpy as np
 import pyarrow as pa
-import pytest
 
 from tests.llm.test_operators import by_id, components_of
-from trainframe.llm import bwt, forest, pq, template, tokens
+from trainframe.llm import forest, tokens
 from trainframe.llm.queries import bpe_path
 
 
@@ -27,3 +25,13 @@ def test_forest_in_a_hot_group(spark):
     root = components_of(links, sets)
     got = by_id(forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=5))
     assert {i: r["component_id"] for i, r in got.items()} == root
+
+
+def test_texts_with_an_added_token():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe_path())
+    texts = ["hello <|endoftext|> world", "plain text", None, "<|endoftext|>", "é<|endoftext|><|endoftext|>x", "<|endoftext", "|>", "中 <|endoftext|>"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    ((_, ids, offs),) = tokens.encoded(batch, "text", bpe_path())
+    assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]

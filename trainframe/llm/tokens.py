@@ -2,8 +2,8 @@
 
 Byte-level BPE never merges across the pieces of its splitting pattern, so a piece has the same ids wherever it stands.
 Texts of plain letters are split here with array operations, and the library encodes each distinct piece once; its
-ids are kept in the worker for later batches. Any text with a character outside ASCII and Latin-1 letters goes through
-the library whole. Both ways give the library's own ids.
+ids are kept in the worker for later batches. Any text with a character outside ASCII and Latin-1 letters, or with an added
+token of the vocabulary, goes through the library whole. Both ways give the library's own ids.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ _CLASS[65:91] = _CLASS[97:123] = _LETTER
 _CLASS[48:58] = _DIGIT
 _CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
 _CLASS[0x80:0xC0] = _CLASS[0xC3] = _LETTER  # both bytes of U+00C0 to U+00FF
-_open: dict[str, "Encoder"] = {}
+_open: dict[tuple[str, bool], "Encoder"] = {}
 
 
-def encoder(path: str) -> "Encoder":
-    if path not in _open:
-        _open[path] = Encoder(path)
-    return _open[path]
+def encoder(path: str, added: bool = False) -> "Encoder":
+    if (path, added) not in _open:
+        _open[path, added] = Encoder(path, added)
+    return _open[path, added]
 
 
 def plain_rows(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -79,12 +79,16 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """The library on whole texts. ``added``: added tokens such as <|endoftext|> in a text get their own ids, as by the
+    library's default, which the operators use; otherwise they are text like any other."""
+
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = not added
+        self.added = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()] if added else []
         self.size = self.lib.get_vocab_size()
         self.newline = self.lib.encode("\n", add_special_tokens=False).ids
         self.forget()
@@ -159,6 +163,12 @@ class Encoder:
         """Ids of all texts of a small array, one after another, and row offsets. Null is empty."""
         data, offs = T.flat(texts)
         easy = plain_rows(data, offs)
+        raw = data.tobytes() if self.added else b""
+        for content in self.added:  # texts that hold an added token go through the library whole
+            at = raw.find(content)
+            while at >= 0:
+                easy[np.searchsorted(offs, at, "right") - 1] = False
+                at = raw.find(content, at + 1)
         if easy.all():
             return self.plain(data, offs)
         rows: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
@@ -176,7 +186,7 @@ class Encoder:
 
 def encoded(batch: pa.RecordBatch, column: str, path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch with the ids and row offsets of their texts."""
-    e = encoder(path)
+    e = encoder(path, added=True)
     for part in T.slices(batch, column):
         yield part, *e.encode(part.column(part.schema.get_field_index(column)))
 
