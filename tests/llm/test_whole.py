@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 
 from tests.llm.test_operators import by_id, components_of
-from trainframe.llm import forest, tokens
+from trainframe.llm import bwt, forest, tokens
 from trainframe.llm.queries import bpe_path
 
 
@@ -35,3 +35,14 @@ def test_texts_with_an_added_token():
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
     ((_, ids, offs),) = tokens.encoded(batch, "text", bpe_path())
     assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_cut_rows_of_equal_id_and_length(spark):
+    copied = "a passage of more than fifty bytes that an earlier document holds, too. "
+    texts = [copied + "x" * 40, copied + "y" * 40, "".join(chr(97 + i % 23) for i in range(7, 7 + len(copied) + 40)), copied + "z" * 40]
+    rows = [(0, copied)] + [(None, t) for t in texts] + [(5, t) for t in texts[:3]]
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in bwt.cut_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] != 0)
+    mine = ["x" * 40, "y" * 40, texts[2], "z" * 40]
+    want = [(5, t) for t in mine[:3]] + [(-1, t) for t in ("z" * 40,)]
+    assert [t for i, t in got if i == 5] == sorted(t for i, t in want if i == 5)
+    assert "z" * 40 in [t for i, t in got if i == -1]

@@ -378,11 +378,11 @@ def earlier_copies(table: DataFrame, shared: DataFrame, buckets: int, groups: in
 
 
 def removal(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept, of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept and the sha256 of a text that loses any, of every row."""
     table, parts, groups = chunks(docs)
     shared = stored(shared_minimizers(table, parts, length), "minimizers")
     copies = stored(earlier_copies(table, shared, parts, groups, length), "copies")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"][: 6 if with_text else 5]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "text_sha256"][: 7 if with_text else 5]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,10 +419,11 @@ def removal(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> D
                 cols = [pa.array(ids, mask=ids == LAST), pa.array(ends - begins), pa.array(removed), pa.array(spans[ends] - spans[begins]), pa.array([hashlib.sha256(r).hexdigest() for r in rest], pa.string())]
                 if with_text:
                     cols.append(pa.array(rest, pa.binary()))
+                    cols.append(pa.array([hashlib.sha256(data[a:b].tobytes()).hexdigest() if r else None for a, b, r in zip(begins.tolist(), ends.tolist(), removed.tolist(), strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     joined = table.join(copies.hint("merge"), "chunk", "left").select("part", "ids", "sizes", "data", "got")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary, text_sha256 string" * with_text)
 
 
 def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -432,8 +433,8 @@ def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     names = docs.columns
     cut = removal(docs, length, with_text=True).where("n_removed > 0")
-    cut = cut.groupBy("doc_id", "n_bytes").agg(F.min(F.struct("kept_sha256", "kept_bytes")).alias("_kept")).select(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n"), F.col("_kept.kept_bytes").alias("_kept"))
-    got = docs["doc_id"].cast("long").eqNullSafe(cut["_id"]) & (F.octet_length(docs["text"]) == cut["_n"])
+    cut = cut.groupBy("doc_id", "text_sha256").agg(F.min(F.struct("kept_sha256", "kept_bytes")).alias("_kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("_kept.kept_bytes").alias("_kept"))
+    got = docs["doc_id"].cast("long").eqNullSafe(cut["_id"]) & (F.sha2(docs["text"].cast("binary"), 256) == cut["_sha"])
     joined = docs.join(cut, got, "left").select(*[docs[c] for c in names], "_kept")
     at = names.index("text")
 
