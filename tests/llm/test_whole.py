@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from tests.llm.test_operators import by_id, components_of
-from trainframe.llm import bwt, forest, tokens
+from trainframe.llm import bwt, forest, pq, tokens
 from trainframe.llm.queries import bpe_path
 
 
@@ -46,3 +47,18 @@ def test_cut_rows_of_equal_id_and_length(spark):
     want = [(5, t) for t in mine[:3]] + [(-1, t) for t in ("z" * 40,)]
     assert [t for i, t in got if i == 5] == sorted(t for i, t in want if i == 5)
     assert "z" * 40 in [t for i, t in got if i == -1]
+
+
+def test_vectors_of_low_rank(spark):
+    """Partners at cosines just over 0.9 in eight dimensions of 32, over many lists: every ordered pair counts."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    x = np.concatenate([x, 0.91 * x + np.sqrt(1 - 0.91**2) * off / np.linalg.norm(off, axis=1, keepdims=True)])
+    x = x @ np.linalg.qr(rng.normal(size=(32, 8)))[0].T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert [r["n_links"] for r in pq.vector_duplicates(df).orderBy("vec_id").collect()] == want.tolist()

@@ -2,8 +2,8 @@
 
 Equal vectors fold to one with a count. Coarse centroids and the codebooks of ``PARTS`` subspaces are fitted on a bounded
 sample (``SAMPLE`` vectors); every vector is indexed: it stands in the list of its nearest centroid with the codes of its residual and the exact
-size of its coding error. A query probes each list whose border is within ``MARGIN`` of it, the distance by which a
-partner at the least similarity can be expected to lie beyond a border. In a list, distances come from look-up tables per query;
+size of its coding error. A query probes each list whose border is no farther than a
+partner at the least similarity can be, so no pair is missed and each is found from both ends. In a list, distances come from look-up tables per query;
 a member stays if the distance less its coding error allows the similarity, which loses nothing; those are ranked by their exact cosine
 in double precision. Lists are cut into blocks of members and of queries, so a hot list is many tasks; a task returns
 counts per query and one link per vector to the smallest of its local component, never all pairs.
@@ -27,9 +27,6 @@ from trainframe.llm.store import stored
 
 SAMPLE, PARTS, CODES, PER_LIST, MOST_LISTS = 16384, 8, 64, 256, 1024
 BLOCK = 2048
-#: Against the distance of two unit vectors at a cosine of 0.9, 0.447. A partner's offset has no preferred direction,
-#: so its share across one border is small; the recall measured with this margin is in the README.
-MARGIN = 0.15
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -126,6 +123,7 @@ def vector_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"  # as exact as the input
     sample = reps.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()
     centres, books = fit(unit(padded(sample.column(0).combine_chunks(), d)), max(1, min(MOST_LISTS, head["n"] // PER_LIST)))
+    reach = np.sqrt(2 - 2 * least) + 1e-6  # of two unit vectors at the least cosine
     gaps = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(2) if len(centres) <= 256 else (centres**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * centres @ centres.T, 1e-12))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +139,7 @@ def vector_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
                 far = (centres**2).sum(1)[None] - 2 * x @ centres.T
                 beyond = (far - far[np.arange(len(x)), own][:, None]) / (2 * gaps[own])
                 beyond[np.arange(len(x)), own] = 0
-                probes = [np.flatnonzero(b).tolist() for b in beyond <= MARGIN]
+                probes = [np.flatnonzero(b).tolist() for b in beyond <= reach]
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), pa.array([v.tobytes() for v in raw.astype(kind)], pa.binary()), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))], ["id", "copies", "vec", "list", "code", "error", "probes"])
 
     indexed = stored(reps.mapInArrow(index, "id long, copies long, vec binary, list int, code binary, error double, probes array<int>"), "index")
