@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trainframe.session import checkpointed
+from trainframe.session import written
 
 MAX_BUCKETS = 65536
 
@@ -122,11 +122,11 @@ def prefix_sum(
 def sorted_position(df: DataFrame, order: Sequence[Column | str], out: str = "pos") -> DataFrame:
     """Position in any total order, such as (-count, token), where the leading key may be very uneven.
 
-    Spark's range-partitioned sort balances on the whole order tuple. The sorted rows are checkpointed
+    Spark's range-partitioned sort balances on the whole order tuple. The sorted rows are written once
     with their partition and row number, which freezes the layout, and partition offsets are added.
     """
     laid = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
-    laid = checkpointed(laid.withColumn("_bucket", F.shiftright("_at", 33)))
+    laid = written(laid.withColumn("_bucket", F.shiftright("_at", 33)), "sorted")
     counts = laid.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = F.broadcast(_offsets(counts, [], "_bucket", "_n"))  # one row per shuffle partition
     row = F.col("_at") - F.shiftleft(F.col("_bucket"), 33)

@@ -20,46 +20,73 @@ def rescaled_start(current: Column, old_len: Column, new_len: Column) -> Column:
     return F.when(old_len == 0, current).otherwise(F.ceil(current * new_len / old_len))
 
 
+def _pieces(stream: DataFrame) -> DataFrame:
+    """The stream as pieces (start, ids, n); a stream with a row per token has pieces of one token."""
+    if "ids" in stream.columns:
+        return stream.select("start", F.col("ids").cast("array<bigint>").alias("ids"), "n").filter(F.size("ids") > 0)
+    return stream.select(F.col("stream_pos").alias("start"), F.array(F.col("token_id").cast("bigint")).alias("ids"), "n")
+
+
+def _between(first: Column, last: Column) -> Column:
+    """Whole numbers first..last, none if last is smaller."""
+    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _part(ids: Column, start: Column, lo: Column, hi: Column) -> Column:
+    """Tokens of a piece from stream place lo up to, not including, hi."""
+    return F.slice(ids, (lo - start + 1).cast("int"), (hi - lo).cast("int"))
+
+
 def reshape_columns(stream: DataFrame, columns: int, pad_id: int) -> DataFrame:
-    """Cut the stream into ``columns`` equal columns: (row, col, token_id, length), the last one padded."""
-    length = F.ceil(F.col("n") / columns)
-    missing = length * columns - F.col("n")
-    own = F.array(F.struct(F.col("stream_pos").alias("p"), F.col("token_id").cast("bigint").alias("t")))
-    pads = F.transform(
-        F.sequence(F.lit(1).cast("bigint"), missing),
-        lambda i: F.struct((F.col("n") - 1 + i).alias("p"), F.lit(pad_id).cast("bigint").alias("t")),
-    )
-    last = (F.col("stream_pos") == F.col("n") - 1) & (missing > 0)
-    cells = stream.withColumn("length", length).withColumn("_c", F.explode(F.when(last, F.concat(own, pads)).otherwise(own)))
-    return cells.select(
-        (F.col("_c.p") % F.col("length")).alias("row"),
-        F.floor(F.col("_c.p") / F.col("length")).alias("col"),
-        F.col("_c.t").alias("token_id"),
-        "length",
-    )
+    """Cut the stream into ``columns`` equal columns, the last one padded: slices (row, col, ids, length).
+
+    A slice is the part of one piece of the stream that lies in one column, from ``row`` on. The stream is pieces
+    (start, ids, n) or a row per token (stream_pos, token_id, n).
+    """
+    length = F.ceil(F.col("n") / columns).cast("bigint")
+    missing = (length * columns - F.col("n")).cast("int")
+    ends = F.col("start") + F.size("ids") == F.col("n")
+    pads = F.array_repeat(F.lit(pad_id).cast("bigint"), missing)
+    p = _pieces(stream).withColumn("ids", F.when(ends, F.concat("ids", pads)).otherwise(F.col("ids"))).withColumn("length", length)
+    stop = F.col("start") + F.size("ids")
+
+    def cell(c: Column) -> Column:
+        lo, hi = F.greatest("start", c * F.col("length")), F.least(stop, (c + 1) * F.col("length"))
+        return F.struct((lo - c * F.col("length")).alias("row"), c.alias("col"), _part(F.col("ids"), F.col("start"), lo, hi).alias("ids"))
+
+    cols = F.sequence(F.floor(F.col("start") / F.col("length")), F.floor((stop - 1) / F.col("length")))
+    # the slices are built as one array before they become rows, so no row carries the whole piece
+    return p.select("length", F.explode(F.transform(cols, cell)).alias("_c")).select("_c.row", "_c.col", "_c.ids", "length")
 
 
-def bptt_windows(cells: DataFrame, bptt: int, replicas: int, current: int = 0) -> DataFrame:
+def bptt_windows(slices: DataFrame, bptt: int, replicas: int, current: int = 0) -> DataFrame:
     """(rank, iteration, col, text, target): consecutive windows dealt to ranks, equal steps per rank.
 
-    A cell belongs to its own window, and the first cell of a window also ends the one before it as
-    the last target. Windows build in one grouping of at most bptt + 1 cells each, with no window
-    function along a whole column.
+    A window reads bptt cells and one more, the last target, which is also the first cell of the next window. From the
+    rows it covers a slice tells which windows it touches and gives each its part; parts of a window are put together in
+    order. Rows shuffled are slices times windows touched, not tokens.
     """
     step = bptt * replicas
     highest = current + bptt * (replicas - 1)
-    steps = F.greatest(F.ceil((F.col("length") - highest) / step), F.lit(0))
-    off = F.col("row") - current
-    seg = F.floor(off / bptt)
-    both = F.when((off % bptt == 0) & (seg > 0), F.array(seg, seg - 1)).otherwise(F.array(seg))
-    uses = cells.filter(off >= 0).select("row", "col", "token_id", steps.alias("_steps"), F.explode(both).alias("_seg"))
-    uses = uses.withColumn("rank", F.col("_seg") % replicas).withColumn("iteration", F.floor(F.col("_seg") / replicas))
-    out = uses.filter("iteration < _steps").groupBy("rank", "iteration", "col").agg(
-        F.sort_array(F.collect_list(F.struct("row", "token_id")))["token_id"].alias("_w")
-    )
+    steps = F.greatest(F.ceil((F.col("length") - highest) / step), F.lit(0)).cast("bigint")
+    stop = F.col("row") + F.size("ids")
+    first = F.greatest(F.ceil((F.col("row") - current - bptt) / bptt), F.lit(0)).cast("bigint")  # its last target is in the slice, or later cells are
+    last = F.least(F.floor((stop - 1 - current) / bptt), steps * replicas - 1).cast("bigint")
+
+    def part(seg: Column) -> Column:
+        lo = F.greatest(F.col("row"), current + seg * bptt)
+        hi = F.least(stop, current + (seg + 1) * bptt + 1)
+        return F.struct(seg.alias("seg"), lo.alias("row"), _part(F.col("ids"), F.col("row"), lo, hi).alias("ids"))
+
+    parts = slices.select("col", F.explode(F.transform(_between(first, last), part)).alias("_p")).select("col", "_p.seg", F.struct("_p.row", "_p.ids").alias("_p"))
+    out = parts.groupBy("col", "seg").agg(F.flatten(F.sort_array(F.collect_list("_p"))["ids"]).alias("_w"))
     n = F.size("_w") - 1
     return out.filter(n > 0).select(
-        "rank", "iteration", "col", F.slice("_w", 1, n).alias("text"), F.slice("_w", 2, n).alias("target")
+        (F.col("seg") % replicas).alias("rank"),
+        F.floor(F.col("seg") / replicas).alias("iteration"),
+        "col",
+        F.slice("_w", 1, n).alias("text"),
+        F.slice("_w", 2, n).alias("target"),
     )
 
 
@@ -70,15 +97,21 @@ def masked_batches(
 
     A batch is a chunk of batch_size * bptt tokens viewed as bptt columns. Exactly
     int(batch_size * mask_frac) of its rows are masked whole; row 0 is the class token and never masked.
+    The stream is pieces (start, ids, n) or a row per token; a piece gives each batch it covers one slice.
     """
     size = batch_size * bptt
     chosen = int(batch_size * mask_frac)
-    whole = stream.filter(F.col("stream_pos") < F.floor(F.col("n") / size) * size)
-    cells = whole.select(
-        F.floor(F.col("stream_pos") / size).alias("batch_id"),
-        F.struct((F.col("stream_pos") % size).alias("o"), F.col("token_id").cast("bigint").alias("t")).alias("c"),
-    )
-    batches = cells.groupBy("batch_id").agg(F.sort_array(F.collect_list("c"))["t"].alias("flat"))  # `size` tokens each
+    p = _pieces(stream)
+    whole = F.floor(F.col("n") / size) * size
+    stop = F.least(F.col("start") + F.size("ids"), whole)
+
+    def part(b: Column) -> Column:
+        lo, hi = F.greatest("start", b * size), F.least(stop, (b + 1) * size)
+        return F.struct(b.alias("batch_id"), lo.alias("start"), _part(F.col("ids"), F.col("start"), lo, hi).alias("ids"))
+
+    covered = _between(F.floor(F.col("start") / size), F.floor((stop - 1) / size))
+    parts = p.filter(F.col("start") < whole).select(F.explode(F.transform(covered, part)).alias("_p")).select("_p.batch_id", F.struct("_p.start", "_p.ids").alias("_p"))
+    batches = parts.groupBy("batch_id").agg(F.flatten(F.sort_array(F.collect_list("_p"))["ids"]).alias("flat"))  # `size` tokens each
     rows = F.sequence(F.lit(0), F.lit(batch_size - 1))
     drawn = F.array_sort(F.transform(rows, lambda r: F.struct(seeded_key(seed, F.col("batch_id"), r).alias("h"), r.alias("r"))))
     picked = F.slice(F.transform(drawn, lambda x: x["r"]), 1, chosen)

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from trainframe.functions.text import tokenize
+from trainframe.operators import dictionary as D
 from trainframe.operators import sequences as Q
 from trainframe.operators import vocabulary as V
-from trainframe.session import spread, table, written
+from trainframe.session import spread, table
 
 
 def tokens_sql(text: str) -> str:
@@ -35,18 +36,18 @@ def _docs(spark, sf):
     return docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
 
 
-def _docs_once(spark, sf):
-    """Tokens for plans that read them several times: for the vocabulary, for places and for both sides of the lookup."""
-    return written(_docs(spark, sf), "tokens")
+def _blocks(spark, sf):
+    """Tokens of all documents, stored once as block dictionaries: for the vocabulary, for places and for the lookup."""
+    return D.encode_blocks(_docs(spark, sf), ["doc_id"])
 
 
-def _vocab(docs):
-    return V.build_vocabulary(V.each_token(docs))
+def _vocab(blocks):
+    return V.build_vocabulary(D.word_counts(blocks), freq="freq")
 
 
 def _stream(spark, sf):
-    docs = _docs_once(spark, sf)
-    return V.lookup_ids(Q.token_stream(docs, "doc_id"), _vocab(docs))
+    blocks = _blocks(spark, sf)
+    return D.decode_blocks(blocks, _vocab(blocks), order="doc_id")
 
 
 def tokens_per_document(spark, sf):
@@ -58,14 +59,15 @@ def long_documents(spark, sf):
 
 
 def vocabulary(spark, sf):
-    return _vocab(_docs(spark, sf))
+    return _vocab(_blocks(spark, sf))
 
 
 def token_ids(spark, sf):
-    docs = _docs_once(spark, sf)
-    return V.lookup_ids(V.each_token(docs, "tokens", "doc_id"), _vocab(docs)).groupBy("doc_id").agg(
-        F.count("*").alias("n_tokens"), F.sum("token_id").alias("sum_ids"), F.sum(F.col("token_id") * F.col("i")).alias("weighted")
-    )
+    blocks = _blocks(spark, sf)
+    ids = D.decode_blocks(blocks, _vocab(blocks))
+    by_place = F.zip_with("ids", F.sequence(F.lit(0).cast("bigint"), F.size("ids").cast("bigint") - 1), lambda t, i: t * i)
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return ids.filter(F.size("ids") > 0).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), total("ids").alias("sum_ids"), total(by_place).alias("weighted"))
 
 
 def token_stream(spark, sf):
@@ -89,11 +91,8 @@ def masked_targets(spark, sf):
 
 def _halves(spark, sf):
     rows = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
-    rows = written(rows.select("conv_id", "turn", tokenize(F.col("text")).alias("tokens")), "turns")
-    vocab = V.build_vocabulary(V.each_token(rows))
-    ids = V.lookup_ids(V.each_token(rows, "tokens", "conv_id", "turn"), vocab)
-    ids = ids.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("i", "token_id")))["token_id"].alias("ids"))
-    return Q.sentence_halves(ids, ["conv_id", "turn"], seed=11)
+    blocks = D.encode_blocks(rows.select("conv_id", "turn", tokenize(F.col("text")).alias("tokens")), ["conv_id", "turn"])
+    return Q.sentence_halves(D.decode_blocks(blocks, _vocab(blocks)), ["conv_id", "turn"], seed=11)
 
 
 def sentence_halves(spark, sf):
