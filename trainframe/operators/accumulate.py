@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainframe.operators.blocked import running, step_block
+from trainframe.operators.vectors import vector_sums
 
 SYNC = ["run", "epoch", "sync_no"]
 
@@ -48,9 +49,8 @@ def final_totals(log: DataFrame) -> DataFrame:
 
 
 def reduce_vectors(df: DataFrame, by: Sequence[str], values: str) -> DataFrame:
-    """Element-wise sum of arrays per group, summed per (group, dimension) before arrays are rebuilt."""
-    cells = df.select(*by, F.posexplode(values).alias("_d", "_x")).groupBy(*by, "_d").agg(F.sum("_x").alias("_x"))
-    return cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_d", "_x")))["_x"].alias(values))
+    """Element-wise sum of arrays per group: vectors are summed per task, then chunks of dimensions are merged."""
+    return vector_sums(df, by, values)
 
 
 def reduce_counters(df: DataFrame, by: Sequence[str], counter: str) -> DataFrame:

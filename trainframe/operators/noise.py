@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trainframe.functions.rates import gain
 from trainframe.operators.blocked import running, step_block
+from trainframe.operators.vectors import mean_square
 from trainframe.session import checkpointed
 
 # Smoothing per unit of scale and the floor of the reported variance.
@@ -33,9 +34,7 @@ def adam_precondition(second_moment: Column, step: Column, beta2: float = 0.999,
 
 def mean_gradient_norm(grads: DataFrame, by: Sequence[str]) -> DataFrame:
     """Squared norm of the mean gradient per group, averaged per dimension before squaring. Null gradients are skipped."""
-    cells = grads.select(*by, F.posexplode("grad").alias("_d", "_x"))
-    dims = cells.groupBy(*by, "_d").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    return dims.groupBy(*by).agg(F.sum(F.col("_m") * F.col("_m")).alias("total_sqr"))
+    return mean_square(grads.withColumn("grad", F.col("grad").cast("array<double>")), by, "grad", "total_sqr")
 
 
 def step_norms(grads: DataFrame) -> DataFrame:
