@@ -28,6 +28,18 @@ def accumulate_once(log: DataFrame) -> DataFrame:
     return sums.join(first, [*SYNC, "attempt"]).select(*SYNC, "key", "value")
 
 
+def accumulate_loops(log: DataFrame) -> DataFrame:
+    """(run, epoch, sync_no, attempt, key, value) of a log in which some syncs are made inside a loader's loop (``in_loop``).
+
+    A result outside of loops is stored: later attempts read it and count nothing. Code inside a loop is not replayed, so
+    a sync there is not stored and every attempt is a result of its own.
+    """
+    sums = log.groupBy(*SYNC, "in_loop", "attempt", "key").agg(F.sum("delta").alias("value"))
+    first = sums.filter(~F.col("in_loop")).groupBy(*SYNC).agg(F.min("attempt").alias("_first"))
+    out = sums.join(first, SYNC, "left").filter(F.col("in_loop") | (F.col("attempt") == F.col("_first")))
+    return out.select(*SYNC, "attempt", "key", "value")
+
+
 def carried_totals(log: DataFrame) -> DataFrame:
     """(run, segment, sync_no, key, total): totals persist over syncs until a clear starts a new segment.
 

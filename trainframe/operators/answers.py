@@ -29,11 +29,12 @@ def token_f1_each(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key, f1): best F1 over candidates of the multiset overlap of raw tokens.
 
     Tokens of both sides are counted in one grouping on (key, candidate, token), so long texts and
-    frequent tokens are combined map-side. An empty side scores 1 only if both are empty.
+    frequent tokens are combined map-side. An empty side scores 1 only if both are empty; a null side is empty.
     """
+    no_tokens = F.array().cast("array<string>")
     sides = F.concat(
-        F.transform("prediction_tokens", lambda t: F.struct(t.alias("t"), F.lit(1).alias("p"), F.lit(0).alias("a"))),
-        F.transform("answer_tokens", lambda t: F.struct(t.alias("t"), F.lit(0).alias("p"), F.lit(1).alias("a"))),
+        F.transform(F.coalesce("prediction_tokens", no_tokens), lambda t: F.struct(t.alias("t"), F.lit(1).alias("p"), F.lit(0).alias("a"))),
+        F.transform(F.coalesce("answer_tokens", no_tokens), lambda t: F.struct(t.alias("t"), F.lit(0).alias("p"), F.lit(1).alias("a"))),
     )
     each = pairs.select(*key, "ref_no", F.explode_outer(sides).alias("_s"))
     counts = each.groupBy(*key, "ref_no", F.col("_s.t").alias("_t")).agg(F.sum("_s.p").alias("p"), F.sum("_s.a").alias("a"))

@@ -37,10 +37,28 @@ def mean_gradient_norm(grads: DataFrame, by: Sequence[str]) -> DataFrame:
     return mean_square(grads.withColumn("grad", F.col("grad").cast("array<double>")), by, "grad", "total_sqr")
 
 
-def step_norms(grads: DataFrame) -> DataFrame:
-    """(run, step, grp, count, local_sqr, total_sqr) without steps where any group is not finite."""
+def after_scale_change(grads: DataFrame, order: str = "micro", scale: str = "accum_scale") -> DataFrame:
+    """Drop what a step had accumulated before its ``scale`` last changed; ``order`` numbers the gradients of a replica.
+
+    Two scales are the same within a part in 100,000.
+    """
+    by = ["run", "step"]
+    last = grads.groupBy(*by).agg(F.max_by(scale, order).alias("_last"))
+    rows = grads.join(last, by)
+    other = F.abs(F.col(scale) - F.col("_last")) > 1e-8 + 1e-5 * F.abs("_last")
+    reset = rows.groupBy(*by).agg(F.max(F.when(other, F.col(order))).alias("_reset"))
+    return rows.join(reset, by).filter(F.col("_reset").isNull() | (F.col(order) > F.col("_reset"))).drop("_last", "_reset")
+
+
+def step_norms(grads: DataFrame, scale: Column | None = None) -> DataFrame:
+    """(run, step, grp, count, scale, local_sqr, total_sqr) without steps where any group is not finite.
+
+    ``scale`` is an aggregate over the gradients of a step, by default their number.
+    """
     by = ["run", "step", "grp"]
-    local = grads.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg(squared_norm(F.col("grad"))).alias("local_sqr"))
+    count = F.count(F.lit(1))
+    held = (count if scale is None else scale).cast("double")
+    local = grads.groupBy(*by).agg(count.alias("count"), held.alias("scale"), F.avg(squared_norm(F.col("grad"))).alias("local_sqr"))
     both = local.join(mean_gradient_norm(grads, by), by)
     finite = ~F.isnan("total_sqr") & (F.abs("total_sqr") < F.lit(float("inf")))
     good = F.min(finite.cast("int")).over(Window.partitionBy("run", "step"))
@@ -52,10 +70,22 @@ def estimate(count: Column, scale: Column, local_sqr: Column, total_sqr: Column)
     return (count * total_sqr - local_sqr) / (count - 1), (local_sqr - total_sqr) * scale / (count - 1)
 
 
-def noise_estimates(grads: DataFrame, accum_scale: float = 1.0) -> DataFrame:
-    """(run, step, grp, biased, restart, scale, sqr, var) per step with several gradients."""
-    norms = step_norms(grads).filter("count > 1")
-    scale = F.lit(float(accum_scale)) * F.col("count")
+def step_scale(accum_scale: str) -> Column:
+    """Scale of a step: that of one accumulation over all replicas, times the accumulations of the step.
+
+    ``accum_scale`` names a column that has the replicas in it already, so the number of gradients of a step is divided
+    by its replicas.
+    """
+    return F.max(accum_scale) * F.count(F.lit(1)) / F.size(F.collect_set("replica"))
+
+
+def noise_estimates(grads: DataFrame, accum_scale: str | None = None) -> DataFrame:
+    """(run, step, grp, biased, restart, scale, sqr, var) per step with several gradients.
+
+    Without ``accum_scale`` a step's scale is its number of gradients, else see ``step_scale``.
+    """
+    norms = step_norms(grads, step_scale(accum_scale) if accum_scale else None).filter("count > 1")
+    scale = F.col("scale")
     sqr, var = estimate(F.col("count"), scale, F.col("local_sqr"), F.col("total_sqr"))
     off = F.lit(False)
     return norms.select(
@@ -63,8 +93,8 @@ def noise_estimates(grads: DataFrame, accum_scale: float = 1.0) -> DataFrame:
     )
 
 
-def mixed_estimates(grads: DataFrame, accum_scale: float = 1.0) -> DataFrame:
-    """As ``noise_estimates``, and steps with one gradient are compared with the step before.
+def mixed_estimates(grads: DataFrame) -> DataFrame:
+    """As ``noise_estimates``, and steps with one gradient are compared with the step before; the scale is the number of gradients compared.
 
     That needs the previous kept step of the run to have one gradient too; otherwise the row has null
     estimates. ``restart`` marks the first step with several gradients after steps with one.
@@ -79,7 +109,7 @@ def mixed_estimates(grads: DataFrame, accum_scale: float = 1.0) -> DataFrame:
     local = F.when(one, (squared_norm(F.col("_prev")) + F.col("local_sqr")) / 2).otherwise(F.col("local_sqr"))
     total = F.when(one, squared_norm(mean)).otherwise(F.col("total_sqr"))
     n = F.when(one, F.lit(2)).otherwise(F.col("count"))
-    scale = F.lit(float(accum_scale)) * n
+    scale = n.cast("double")
     sqr, var = estimate(n, scale, local, total)
     restart = ~one & F.col("_prev").isNotNull()
     return rows.select(*by, one.alias("biased"), restart.alias("restart"), scale.alias("scale"), sqr.alias("sqr"), var.alias("var"))

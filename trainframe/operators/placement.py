@@ -15,6 +15,9 @@ KEEP_UTILITY = (0.35, 0.65)
 TARGET_UTILITY = 0.5
 RESTART_FACTOR = 0.9
 
+# Absolute and relative difference up to which two utilities count as equal.
+CLOSE = (1e-8, 1e-5)
+
 # Nodes held in one row when jobs look for a fit.
 CHUNK = 1024
 
@@ -213,13 +216,18 @@ def pick_under(df: DataFrame, by: Sequence[str], limit: Column) -> DataFrame:
 
 
 def desired_size(front: DataFrame, by: Sequence[str], current: str) -> DataFrame:
-    """Keep the current size while its pick's utility is in range, else the size of utility nearest 0.5.
+    """Keep the current size while its pick's utility is in range, else the size of the candidate nearest to 0.5.
 
-    Only utilities of at least 0.35 count and the larger size wins a tie; without one the size stays.
+    Only utilities of at least 0.35 count. Of candidates at the same distance the first one decides, whichever side of 0.5
+    it is on; later candidates of (nearly) its utility win by a larger size. Without a candidate the size stays.
     """
     lo, hi = (F.lit(x) for x in KEEP_UTILITY)
     fits = F.when(F.col("size") <= F.col(current), F.struct("value", "candidate", "utility"))
-    near = F.when(F.col("utility") >= lo, F.struct(F.abs(F.col("utility") - TARGET_UTILITY).alias("d"), (-F.col("size")).alias("s")))
+    near = F.when(F.col("utility") >= lo, F.struct(F.abs(F.col("utility") - TARGET_UTILITY).alias("d"), "candidate", "utility"))
     per = front.groupBy(*by, current).agg(F.min(fits).alias("_f"), F.min(near).alias("_n"))
+    later = front.select(*by, "candidate", "size", "utility").join(per.select(*by, "_n"), list(by))
+    close = F.abs(F.col("utility") - F.col("_n.utility")) <= CLOSE[0] + CLOSE[1] * F.abs(F.col("_n.utility"))
+    largest = later.filter((F.col("candidate") >= F.col("_n.candidate")) & close).groupBy(*by).agg(F.max("size").alias("_s"))
     keep = F.coalesce(F.col("_f.utility").between(lo, hi), F.lit(False))
-    return per.select(*by, F.when(keep, F.col(current)).otherwise(F.coalesce(-F.col("_n.s"), F.col(current))).alias("size"))
+    out = per.join(largest, list(by), "left")
+    return out.select(*by, F.when(keep, F.col(current)).otherwise(F.coalesce("_s", current)).alias("size"))

@@ -498,7 +498,8 @@ QUERIES = {
         desired_size,
         f"""WITH {FRONT}, k AS (SELECT cluster, utility BETWEEN 0.35::DOUBLE AND 0.65::DOUBLE AS keep FROM f WHERE size <= cluster % 30
                                 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY value, candidate, utility) = 1),
-            b AS (SELECT cluster, size FROM f WHERE utility >= 0.35::DOUBLE QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY abs(utility - 0.5::DOUBLE), size DESC) = 1),
+            a AS (SELECT cluster, candidate, utility FROM f WHERE utility >= 0.35::DOUBLE QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY abs(utility - 0.5::DOUBLE), candidate) = 1),
+            b AS (SELECT f.cluster, max(f.size) AS size FROM f JOIN a ON f.cluster = a.cluster AND f.candidate >= a.candidate AND abs(f.utility - a.utility) <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs(a.utility) GROUP BY 1),
             c AS (SELECT DISTINCT cluster FROM f)
             SELECT c.cluster, CASE WHEN coalesce(keep, FALSE) THEN c.cluster % 30 ELSE coalesce(b.size, c.cluster % 30) END AS size
             FROM c LEFT JOIN k ON c.cluster = k.cluster LEFT JOIN b ON c.cluster = b.cluster""",

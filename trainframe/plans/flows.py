@@ -93,6 +93,35 @@ def scalar_rows(spark, sf):
     return spark.read.parquet(path).select("run", "tag", "step", F.round("value", 5).alias("value"))
 
 
+def loader_scalars(spark, sf):
+    """Batch size, local batch size and accumulation steps of a loader as scalar rows, under a prefix without its slash."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = table(spark, sf, "events").select(
+        F.col("user_id").alias("run"), F.col("event_id").alias("step"), ((1 + k % 4) * 32 * (1 + k % 3)).alias("total_batch"), (32 * (1 + k % 3)).alias("local_bsz"), (k % 4).alias("accum_steps")
+    )
+    path = scratch(spark, "scalars")
+    K.write_scalars(K.scalar_rows(rows, K.LOADER_TAGS, "loader"), path)
+    return spark.read.parquet(path).select("run", "tag", "step", "value")
+
+
+def stream_resume(spark, sf):
+    """A stream stopped after some batches and started again from its checkpoint, with files added in between."""
+    e = table(spark, sf, "events")
+    feed, path, cp = scratch(spark, "feed"), scratch(spark, "resumed"), scratch(spark, "cp")
+    parts = [e.filter(F.pmod("event_id", F.lit(4)) == i).repartition(2, "event_id") for i in range(4)]
+    source = lambda: spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(feed).select("event_id", "user_id", "event_type")
+    for part in parts[:2]:
+        part.write.mode("append").parquet(feed)
+    first = T.run_append(source(), path, cp, every="0 seconds")
+    first.processAllAvailable()
+    first.stop()
+    for part in parts[2:]:
+        part.write.mode("append").parquet(feed)
+    _finish(T.run_append(source(), path, cp))
+    seen = spark.read.parquet(path)
+    return seen.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("distinct_ids"))
+
+
 def ratings_file(spark, sf):
     """Interactions written as a tab-separated file with further columns and read back."""
     path = scratch(spark, "ratings")
@@ -255,6 +284,11 @@ QUERIES = {
             SELECT run, px || t AS tag, step, round(v, 5) AS value FROM p, LATERAL (VALUES ('Gradient_Norm_Sqr', sqr), ('Gradient_Variance', var), ('Gain', gain), ('Learning_Rate_Factor', sqrt(gain)),
                    ('Accum_Scale', 1.0::DOUBLE), ('Accum_Count', (step % 2)::DOUBLE), ('Progress', progress)) x(t, v) WHERE t <> 'Accum_Count' OR v > 0""",
     ),
+    "loader_scalars": (
+        loader_scalars,
+        """WITH e AS (SELECT user_id AS run, event_id AS step, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+           SELECT run, 'loader/' || t AS tag, step, v::DOUBLE AS value FROM e, LATERAL (VALUES ('Total_Batch_Size', (1 + k % 4) * 32 * (1 + k % 3)), ('Local_Batch_Size', 32 * (1 + k % 3)), ('Accumulation_Steps', k % 4)) x(t, v)""",
+    ),
     "ratings_file": (ratings_file, f"WITH {BOUGHT} SELECT u AS user, i AS item, count(*) AS n FROM b GROUP BY 1, 2"),
     "candidate_file": (
         candidate_file,
@@ -289,6 +323,7 @@ QUERIES = {
                       lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_ts FROM events)
            SELECT job, phase, from_ts, to_ts FROM h WHERE to_ts IS NOT NULL""",
     ),
+    "stream_resume": (stream_resume, "SELECT user_id, event_type, count(*) AS n, count(DISTINCT event_id) AS distinct_ids FROM events GROUP BY 1, 2"),
     "stream_new_jobs": (
         stream_new_jobs,
         "SELECT event_id FROM events WHERE event_type = 'signup' AND CAST(json_extract_string(props, '$.k') AS INT) % 3 <> 2",

@@ -39,6 +39,11 @@ def accumulate_replay(spark, sf):
     return A.accumulate_once(_log(spark, sf).withColumn("run", F.col("run") % 5))
 
 
+def accumulate_loops(spark, sf):
+    """As the replayed log, with every third sync made inside a loop."""
+    return A.accumulate_loops(_log(spark, sf).withColumns({"run": F.col("run") % 5, "in_loop": F.col("sync_no") % 3 == 0}))
+
+
 def carried_totals(spark, sf):
     return A.carried_totals(_log(spark, sf)).select("run", "segment", "sync_no", "key", "total")
 
@@ -204,6 +209,14 @@ def token_f1_score(spark, sf):
     return N.token_f1(_token_pairs(spark, sf), ["conv_id", "turn"]).select("questions", F.round("f1", 6).alias("f1"))
 
 
+def token_f1_missing(spark, sf):
+    """Every fifth turn has no prediction and every seventh conversation no answers: null sides, not empty texts."""
+    p = _token_pairs(spark, sf)
+    gone = {"prediction_tokens": (F.col("conv_id") + F.col("turn")) % 5 == 0, "answer_tokens": F.col("conv_id") % 7 == 0}
+    p = p.withColumns({c: F.when(~cond, F.col(c)) for c, cond in gone.items()})
+    return N.token_f1_each(p, ["conv_id", "turn"]).select("conv_id", "turn", F.round("f1", 9).alias("f1"))
+
+
 def channel_stats(spark, sf):
     out = X.channel_stats(table(spark, sf, "embeddings").select("embedding"), "embedding", 4)
     return out.select("channel", F.round("mean", 9).alias("mean"), F.round("mean_std", 9).alias("mean_std"), F.round("global_std", 9).alias("global_std"))
@@ -256,6 +269,11 @@ QUERIES = {
         f"""WITH {LOG}, m AS (SELECT *, min(attempt) OVER (PARTITION BY run % 5, epoch, sync_no) AS first FROM l)
             SELECT run % 5 AS run, epoch, sync_no, key, CAST(sum(delta) AS BIGINT) AS value FROM m WHERE attempt = first GROUP BY ALL""",
     ),
+    "accumulate_loops": (
+        accumulate_loops,
+        f"""WITH {LOG}, m AS (SELECT *, min(attempt) OVER (PARTITION BY run % 5, epoch, sync_no) AS first FROM l)
+            SELECT run % 5 AS run, epoch, sync_no, attempt, key, CAST(sum(delta) AS BIGINT) AS value FROM m WHERE sync_no % 3 = 0 OR attempt = first GROUP BY ALL""",
+    ),
     "carried_totals": (
         carried_totals,
         f"""WITH {LOG}, s AS (SELECT *, CAST(sum((op = 'clear')::INT) OVER (PARTITION BY run ORDER BY seq) AS BIGINT) AS segment FROM l),
@@ -350,6 +368,11 @@ QUERIES = {
     ),
     "token_f1": (token_f1, f"{F1} SELECT conv_id, turn, round(f1, 9) AS f1 FROM f"),
     "token_f1_score": (token_f1_score, f"{F1} SELECT count(*) AS questions, round(100 * avg(f1), 6) AS f1 FROM f"),
+    "token_f1_missing": (
+        token_f1_missing,
+        f"""{F1.replace("list_filter(string_split_regex(prediction", "CASE WHEN (conv_id + turn) % 5 = 0 THEN [] ELSE list_filter(string_split_regex(prediction").replace("t <> '') AS p", "t <> '') END AS p").replace("list_filter(string_split_regex(answer", "CASE WHEN conv_id % 7 = 0 THEN [] ELSE list_filter(string_split_regex(answer").replace("t <> '') AS r", "t <> '') END AS r")}
+            SELECT conv_id, turn, round(f1, 9) AS f1 FROM f""",
+    ),
     "channel_stats": (
         channel_stats,
         """WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1) // 16 AS channel FROM embeddings),

@@ -192,6 +192,32 @@ def noise_scale(spark, sf):
     return Z.noise_estimates(_grads(spark, sf)).select("run", "step", "grp", "scale", F.round("sqr", 9).alias("sqr"), F.round("var", 9).alias("var"))
 
 
+def noise_finite(spark, sf):
+    """Some steps have a gradient that is not a number or infinite in one group of one replica; these steps are left out."""
+    one = (F.col("replica") == 2) & (F.col("grp") == 1)
+    odd = F.when(one & (F.col("step") % 11 == 3), float("nan")).when(one & (F.col("step") % 13 == 5), float("inf")).when(one & (F.col("step") % 17 == 6), float("-inf"))
+    g = _grads(spark, sf).withColumn("grad", F.transform(F.col("grad"), lambda x, i: F.when((i == 7) & odd.isNotNull(), odd).otherwise(x.cast("double"))))
+    return Z.noise_estimates(g).select("run", "step", "grp", "scale", F.round("sqr", 9).alias("sqr"), F.round("var", 9).alias("var"))
+
+
+def noise_rescaled(spark, sf):
+    """Four replicas accumulate twice a step; in every third step the scale changes in between and the first pass is lost."""
+    g = _grads(spark, sf).withColumns({"micro": F.floor(F.col("replica") / 4), "replica": F.col("replica") % 4})
+    scale = F.when((F.col("step") % 3 == 0) & (F.col("micro") == 1), 6.0).otherwise(4.0)
+    kept = Z.after_scale_change(g.withColumn("accum_scale", scale))
+    return Z.noise_estimates(kept, "accum_scale").select("run", "step", "grp", "scale", F.round("sqr", 9).alias("sqr"), F.round("var", 9).alias("var"))
+
+
+def lr_user_rule(spark, sf):
+    """A rule of the user's own beside the built-in ones."""
+    scale = 1 + F.col("job_id") % 16 * 0.5
+    factor = rates.rule("log_gain")(F.col("grad.sqr"), F.col("grad.var"), scale)
+    return _jobs(spark, sf).select("job_id", F.round(factor, 9).alias("factor"))
+
+
+rates.register_rule("log_gain", lambda sqr, var, scale: 1 + F.ln(rates.gain(sqr, var, scale)) / 2)
+
+
 def noise_mixed(spark, sf):
     m = Z.mixed_estimates(_grads(spark, sf, mixed=True))
     return m.select("run", "step", "grp", F.col("biased").cast("int").alias("biased"), "scale", F.round("sqr", 9).alias("sqr"), F.round("var", 9).alias("var"))
@@ -338,6 +364,22 @@ QUERIES = {
         noise_scale,
         f"WITH {GRADS} f AS (SELECT * FROM g), {NORMS} {EST} SELECT run, step, grp, scale, round(sqr, 9) AS sqr, round(var, 9) AS var FROM e",
     ),
+    "noise_finite": (
+        noise_finite,
+        f"""WITH {GRADS} f AS (SELECT * FROM g WHERE step % 11 <> 3 AND step % 13 <> 5 AND step % 17 <> 6 OR step NOT IN (SELECT step FROM g WHERE replica = 2 AND grp = 1)), {NORMS} {EST}
+            SELECT run, step, grp, scale, round(sqr, 9) AS sqr, round(var, 9) AS var FROM e""",
+    ),
+    "noise_rescaled": (
+        noise_rescaled,
+        f"""WITH {GRADS} f AS (SELECT * FROM g WHERE step % 3 <> 0 OR replica >= 4 OR NOT EXISTS (SELECT 1 FROM g h WHERE h.step = g.step AND h.replica >= 4)), {NORMS}
+            p AS (SELECT run, step, count(DISTINCT replica % 4) AS r, CASE WHEN step % 3 = 0 AND max(replica) >= 4 THEN 6 ELSE 4 END AS s FROM f GROUP BY 1, 2),
+            e AS (SELECT run, step, grp, s * n / r::DOUBLE AS scale, (n * tot - loc) / (n - 1) AS sqr, (loc - tot) * scale / (n - 1) AS var FROM u JOIN p USING (run, step) WHERE n > 1)
+            SELECT run, step, grp, scale, round(sqr, 9) AS sqr, round(var, 9) AS var FROM e""",
+    ),
+    "lr_user_rule": (
+        lr_user_rule,
+        f"WITH {MODEL} SELECT job_id, round(1 + ln((var + sqr) / (var / (1 + job_id % 16 * 0.5::DOUBLE) + sqr)) / 2, 9) AS factor FROM j",
+    ),
     "noise_mixed": (noise_mixed, f"WITH {MIXED} SELECT run, step, grp, biased, scale, round(sqr, 9) AS sqr, round(var, 9) AS var FROM e1"),
     "noise_ema": (
         noise_ema,
