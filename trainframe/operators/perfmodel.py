@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,97 +24,128 @@ ACROSS_NODES = 1.1
 FIT_SCHEMA = "job_id bigint, " + ", ".join(f"{p} double" for p in perf.PARAMS) + ", loss double, settled boolean"
 ROUNDS = 1000
 
+# Jobs stepped together, and their configurations with padding: some 10 MB in a line search.
+FIT_BLOCK, FIT_CELLS = 256, 1 << 14
 
-def fit_loss(p: np.ndarray, nodes, replicas, bsz, accum, optim) -> np.ndarray:
-    """Objective for one or many parameter rows at once: log errors of both times plus two penalties."""
+
+def fit_loss(p: np.ndarray, nodes, replicas, bsz, accum, optim, share=None) -> np.ndarray:
+    """Objective for one or many parameter rows at once: log errors of both times plus two penalties.
+
+    The data broadcast against ``p`` without its last axis; ``share`` weighs the rows (zero for padding), evenly by default.
+    """
     ac, bc, an, bn, ar, br, g = (x[..., None] for x in np.moveaxis(np.asarray(p, float), -1, 0))
     extra = np.maximum(replicas - 2, perf.TINY)
     across, within = nodes > 1, (nodes <= 1) & (replicas > 1)
     net = np.where(across, an + bn * extra, np.where(within, ar + br * extra, perf.TINY * (1 + extra)))
     comp = ac + bc * bsz
-    both = np.logaddexp(g * np.log(comp), g * np.log(net)) / g
-    err = np.sqrt(np.mean((np.log(comp) - np.log(accum)) ** 2, -1)) + np.sqrt(np.mean((both - np.log(optim)) ** 2, -1))
+    log_comp = np.log(comp)
+    both = np.logaddexp(g * log_comp, g * np.log(net)) / g
+    mean = (lambda e: np.mean(e, -1)) if share is None else (lambda e: np.sum(e * share, -1))
+    err = np.sqrt(mean((log_comp - np.log(accum)) ** 2)) + np.sqrt(mean((both - np.log(optim)) ** 2))
     growth = (bn / an) ** 2 + (br / ar) ** 2
     return err + GAMMA_WEIGHT * (g[..., 0] - 1) ** 2 + GROWTH_WEIGHT * growth[..., 0]
 
 
-def _minimize(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, bool]:
-    """Projected BFGS inside a box; ``f`` takes many points at once. Gradients are central differences.
+def minimize_all(f: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Projected BFGS inside a box for many problems side by side, each with a state of its own.
 
-    Returns the best point and whether it settled (no step gains more than a part in 100,000) before the rounds ran out.
+    ``f`` takes points (problems, points, dims) and the numbers of the problems. Gradients are central differences.
+    A problem leaves the block once it settles: no step gains more than a part in 100,000. Returns the best points and
+    which problems settled before the rounds ran out.
     """
-    move = hi > lo
-    steps = np.diag(np.where(move, 1e-6, 0.0))[move]
-
-    def gradient(x):
-        v = f(np.concatenate([x + steps, x - steps]))
-        out = np.zeros_like(x)
-        out[move] = (v[: len(steps)] - v[len(steps) :]) / 2e-6
-        return out
-
-    fx, g, h, quiet = f(x), gradient(x), np.eye(len(x)), 0
-    settled = False
+    n, dims = x.shape
+    x, move, eye, sizes = x.copy(), hi > lo, np.eye(dims), 0.5 ** np.arange(30)
+    dot = lambda a, b: np.einsum("...d,...d->...", a, b)
+
+    def gradient(at, x):
+        step = 1e-6 * move[at][:, :, None] * eye
+        v = f(np.concatenate([x[:, None] + step, x[:, None] - step], 1), at)
+        return np.where(move[at], (v[:, :dims] - v[:, dims:]) / 2e-6, 0.0)
+
+    at = np.arange(n)
+    fx, g, h = f(x[:, None], at)[:, 0], gradient(at, x), np.tile(eye, (n, 1, 1))
+    quiet, settled, plain = np.zeros(n, int), np.zeros(n, bool), np.ones(n, bool)  # plain: h is the identity
     for _ in range(rounds):
         free = move & ~((x <= lo) & (g > 0)) & ~((x >= hi) & (g < 0))
-        if np.max(np.abs(g[free]), initial=0.0) < 1e-9:
-            settled = True
+        settled |= np.max(np.where(free, np.abs(g), 0.0), 1) < 1e-9
+        at = np.flatnonzero(~settled)
+        if not len(at):
             break
-        d = np.where(free, -(np.where(free[:, None] & free[None, :], h, 0.0) @ np.where(free, g, 0.0)), 0.0)
-        if d @ g >= 0:
-            h, d = np.eye(len(x)), np.where(free, -g, 0.0)
-        sizes = 0.5 ** np.arange(30)
-        tries = np.clip(x + sizes[:, None] * np.clip(d, -3, 3), lo, hi)
-        values = f(tries)
-        good = values < fx + 1e-4 * (tries - x) @ g
-        if not good.any():
-            if np.array_equal(h, np.eye(len(x))):
-                settled = True
+        fr, gr = free[at], np.where(free[at], g[at], 0.0)
+        d = np.where(fr, -np.einsum("jab,jb->ja", h[at], gr), 0.0)
+        up = dot(d, g[at]) >= 0
+        d[up], h[at[up]], plain[at[up]] = -gr[up], eye, True
+        good, tries, values = np.zeros((len(at), 30), bool), np.zeros((len(at), 30, dims)), np.zeros((len(at), 30))
+        rest = np.arange(len(at))
+        for part in (slice(0, 4), slice(4, 30)):  # most steps are taken at one of the first sizes
+            to = at[rest]
+            t = np.clip(x[to][:, None] + sizes[part][:, None] * np.clip(d[rest], -3, 3)[:, None], lo[to][:, None], hi[to][:, None])
+            v = f(t, to)
+            tries[rest, part], values[rest, part] = t, v
+            good[rest, part] = v < fx[to][:, None] + 1e-4 * dot(t - x[to][:, None], g[to][:, None])
+            rest = rest[~good[rest].any(1)]
+            if not len(rest):
                 break
-            h = np.eye(len(x))
+        stuck = at[rest]
+        settled[stuck[plain[stuck]]] = True
+        h[stuck], plain[stuck] = eye, True
+        on = np.flatnonzero(good.any(1))
+        if not len(on):
             continue
-        i = int(np.argmax(good))
-        new, s = tries[i], tries[i] - x
-        gn = gradient(new)
-        y = gn - g
-        if s @ y > 1e-12:
-            r = 1 / (s @ y)
-            v = np.eye(len(x)) - r * np.outer(s, y)
-            h = v @ h @ v.T + r * np.outer(s, s)
-        quiet = quiet + 1 if fx - values[i] < 1e-5 * (1e-3 + fx) else 0
-        x, fx, g = new, values[i], gn
-        if quiet > 2:
-            settled = True
-            break
+        to, i = at[on], np.argmax(good[on], 1)
+        new, value = tries[on, i], values[on, i]
+        s, gn = new - x[to], gradient(to, new)
+        y = gn - g[to]
+        sy = dot(s, y)
+        curved = sy > 1e-12
+        r = 1 / np.where(curved, sy, 1.0)
+        v = eye - r[:, None, None] * s[:, :, None] * y[:, None, :]
+        hn = v @ h[to] @ np.swapaxes(v, 1, 2) + r[:, None, None] * s[:, :, None] * s[:, None, :]
+        h[to] = np.where(curved[:, None, None], hn, h[to])
+        plain[to] &= ~curved
+        quiet[to] = np.where(fx[to] - value < 1e-5 * (1e-3 + fx[to]), quiet[to] + 1, 0)
+        x[to], fx[to], g[to] = new, value, gn
+        settled[to[quiet[to] > 2]] = True
     return x, settled
 
 
+def fit_models(data: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, losses and whether the search settled for many jobs at once.
+
+    Each job gives (nodes, replicas, local_bsz, accum, optim). Jobs are padded to the most rows and stepped together.
+    What a job's rows say nothing about is held fixed.
+    """
+    jobs, most = len(data), max(len(d[0]) for d in data)
+    x, lo, hi = (np.tile(v, (jobs, 1)) for v in (START, LOWER, UPPER))
+    block, share = np.ones((5, jobs, 1, most)), np.zeros((jobs, 1, most))
+    across = np.zeros(jobs, bool)
+    for j, rows in enumerate(data):
+        nodes, replicas, bsz, accum, _ = rows = [np.asarray(a, float) for a in rows]
+        block[:, j, 0, : len(nodes)], share[j, 0, : len(nodes)] = rows, 1 / len(nodes)
+        across[j] = (nodes > 1).any()
+        if len(np.unique(bsz)) == 1:
+            x[j, 0] = lo[j, 0] = hi[j, 0] = accum.mean() / 2
+        for i in ([] if across[j] else [2, 3]) + ([] if ((nodes == 1) & (replicas > 1)).any() else [4, 5]) + ([] if (replicas > 2).any() else [3, 5]):
+            x[j, i] = lo[j, i] = hi[j, i] = LOWER[i]
+    # The six times span many sizes, so they are searched by their logarithm; gamma as it is.
+    to_log = lambda p: np.concatenate([np.log(p[..., :6]), p[..., 6:]], -1)
+    to_params = lambda z: np.concatenate([np.exp(z[..., :6]), z[..., 6:]], -1)
+    best, settled = minimize_all(lambda z, at: fit_loss(to_params(z), *block[:, at], share[at]), to_log(x), to_log(lo), to_log(hi))
+    out = np.clip(to_params(best), lo, hi)
+    for a, b in ((2, 4), (3, 5)):
+        out[:, a] = np.where(across, out[:, a], np.maximum(out[:, a], ACROSS_NODES * out[:, b]))
+    return out, fit_loss(out[:, None], *block, share)[:, 0], settled
+
+
 def fit_params(nodes, replicas, bsz, accum, optim) -> np.ndarray:
-    """Best parameters for measured mean times. What the rows say nothing about is held fixed."""
+    """Best parameters for measured mean times of one job."""
     return fit_model(nodes, replicas, bsz, accum, optim)[0]
 
 
 def fit_model(nodes, replicas, bsz, accum, optim) -> tuple[np.ndarray, bool]:
     """``fit_params`` and whether the search settled within ROUNDS rounds."""
-    nodes, replicas, bsz, accum, optim = (np.asarray(a, float) for a in (nodes, replicas, bsz, accum, optim))
-    x, lo, hi = START.copy(), LOWER.copy(), UPPER.copy()
-
-    def hold(i, value):
-        x[i] = lo[i] = hi[i] = value
-
-    across = (nodes > 1).any()
-    if len(np.unique(bsz)) == 1:
-        hold(0, accum.mean() / 2)
-    for i in ([] if across else [2, 3]) + ([] if ((nodes == 1) & (replicas > 1)).any() else [4, 5]) + ([] if (replicas > 2).any() else [3, 5]):
-        hold(i, LOWER[i])
-    # The six times span many sizes, so they are searched by their logarithm; gamma as it is.
-    to_log = lambda p: np.concatenate([np.log(p[..., :6]), p[..., 6:]], -1)
-    to_params = lambda z: np.concatenate([np.exp(z[..., :6]), z[..., 6:]], -1)
-    loss = lambda z: fit_loss(to_params(z), nodes, replicas, bsz, accum, optim)
-    best, settled = _minimize(loss, to_log(x), to_log(lo), to_log(hi))
-    out = np.clip(to_params(best), lo, hi)
-    if not across:
-        out[2], out[3] = max(out[2], ACROSS_NODES * out[4]), max(out[3], ACROSS_NODES * out[5])
-    return out, settled
+    params, _, settled = fit_models([(nodes, replicas, bsz, accum, optim)])
+    return params[0], bool(settled[0])
 
 
 def held(means: DataFrame) -> DataFrame:
@@ -132,16 +164,26 @@ def held(means: DataFrame) -> DataFrame:
 def fit_jobs(means: DataFrame) -> DataFrame:
     """One model per job from (job_id, nodes, replicas, local_bsz, accum_mean, optim_mean) rows.
 
-    The input is the aggregated profile, so a group holds one row per distinct configuration of a job,
-    however many steps it ran. ``settled`` is false where the search stopped at its limit of rounds.
+    The input is the aggregated profile, so a job has one entry per distinct configuration, however many steps it ran.
+    Jobs come as rows with their entries in arrays; up to ``FIT_BLOCK`` of them are fitted side by side, those of about
+    equal length together. ``settled`` is false where the search stopped at its limit of rounds.
     """
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = [pdf[c].to_numpy(float) for c in ("nodes", "replicas", "local_bsz", "accum_mean", "optim_mean")]
-        p, settled = fit_model(*data)
-        return pd.DataFrame([[int(pdf["job_id"].iloc[0]), *p, float(fit_loss(p, *data)), settled]], columns=["job_id", *perf.PARAMS, "loss", "settled"])
-
-    return for_compute(means, "job_id").groupBy("job_id").applyInPandas(fit, FIT_SCHEMA)
+    columns = ["nodes", "replicas", "local_bsz", "accum_mean", "optim_mean"]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pa.compute.list_value_length(batch.column("nodes")).to_numpy()
+            order, at = np.argsort(size, kind="stable"), 0
+            while at < len(order):
+                fits = size[order[at : at + FIT_BLOCK]] * np.arange(1, len(order[at : at + FIT_BLOCK]) + 1) <= FIT_CELLS
+                part = batch.take(pa.array(order[at : at + max(1, int(fits.sum()))]))
+                at += part.num_rows
+                params, loss, settled = fit_models(list(zip(*([x.values.to_numpy() for x in part.column(c)] for c in columns), strict=True)))
+                yield pa.RecordBatch.from_arrays([part.column("job_id"), *(pa.array(p) for p in params.T), pa.array(loss), pa.array(settled)], ["job_id", *perf.PARAMS, "loss", "settled"])
+
+    entry = F.struct(*[F.col(c).cast("double").alias(c) for c in columns])
+    jobs = for_compute(means, "job_id").groupBy(F.col("job_id").cast("bigint").alias("job_id")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    return jobs.select("job_id", *[F.col("e")[c].alias(c) for c in columns]).mapInArrow(fit, FIT_SCHEMA)
 
 
 def fit_error(means: DataFrame, params: DataFrame) -> DataFrame:
