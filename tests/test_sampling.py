@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +68,42 @@ def test_drop_last_keeps_whole_batches(spark):
 def test_round_up(spark):
     rows = spark.range(200).select("id", S.round_up(F.col("id"), F.lit(7)).alias("r")).collect()
     assert all(r["r"] == r["id"] - r["id"] % -7 for r in rows)
+
+
+def test_resume_plan_of_many_stretches_equals_one_fold(spark):
+    """Segments that run to the end of their pass cut a run into stretches; each starts where a fold over the run says."""
+    rng = random.Random(3)
+    n, segs = 57, [(run, seg * 3, rng.randint(1, 5), None if rng.random() < 0.3 else rng.randint(0, 20)) for run in range(4) for seg in range(60)]
+    want = {}
+    for run in range(4):
+        index = 0
+        for _, seg, replicas, count in (s for s in segs if s[0] == run):
+            size = replicas * -(-8 // replicas)
+            start, made = index, 0
+            while made < count if count is not None else made == 0 or index % n:
+                base, index, made = index % n, index + size, made + 1
+                if base + size >= n:
+                    index += -index % n
+            want[run, seg] = (made, start, index)
+    df = spark.createDataFrame(segs, "run int, seg int, replicas int, batches int").repartition(5)
+    plan = S.resume_plan(df, F.lit(n), 8)
+    assert {(r["run"], r["seg"]): (r["batches"], r["start"], r["end"]) for r in plan.collect()} == want
+
+
+def test_a_long_run_is_folded_by_many_tasks(spark):
+    """What the fold gets is dealt out by stretches, not by runs."""
+    df = spark.range(4000).select(F.lit(0).alias("run"), F.col("id").alias("seg"), F.lit(2).alias("replicas"), F.when(F.col("id") % 10 < 9, 3).alias("batches"))
+    plan = S.resume_plan(df, F.lit(100), 8)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    fold = text[text.index("MapInArrow") :]
+    assert "hashpartitioning(run" in fold and "_stretch" in fold[fold.index("hashpartitioning(run") :].split(")")[0]
+    assert plan.count() == 4000
+
+
+def test_rows_far_from_the_places_read_are_left_out(spark):
+    parts = spark.createDataFrame([(0, 0, 2, 0, 40, 0, 3, 10, 5000)], "run int, seg int, replicas int, pass_no int, base int, first_batch int, n_batches int, size int, n int")
+    orders = S.passes_shuffle(spark.range(5000), "id", parts)
+    assert 30 <= orders.count() < 500
+    whole = {r["pos"]: r["id"] for r in S.passes_shuffle(spark.range(5000), "id", parts.select("pass_no")).collect()}
+    got = S.elastic_resume(orders, parts).collect()
+    assert sorted(r["pos"] for r in got) == list(range(40, 70)) and all(whole[r["pos"]] == r["id"] for r in got)

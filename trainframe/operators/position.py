@@ -43,7 +43,7 @@ def seeded_draw(seed: object, *cols: Column | str) -> Column:
     return F.conv(F.substring(seeded_key(seed, *cols), 1, 15), 16, 10).cast("bigint")
 
 
-def _offsets(counts: DataFrame, by: Sequence[str], bucket: str, value: str) -> DataFrame:
+def _offsets(counts: DataFrame, by: Sequence[str], bucket: str, value: str, keep: Sequence[str] = ()) -> DataFrame:
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     return counts.select(
@@ -51,6 +51,7 @@ def _offsets(counts: DataFrame, by: Sequence[str], bucket: str, value: str) -> D
         bucket,
         F.coalesce(F.sum(value).over(before), F.lit(0)).alias("_before"),
         F.sum(value).over(whole).alias("_total"),
+        *keep,
     )
 
 
@@ -62,11 +63,13 @@ def hash_position(
     digits: int | None = None,
     out: str = "pos",
     total: str | None = None,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """Position of each row in (key, tie) order, ``key`` being a hex digest; per group if ``by`` is given.
 
     ``digits`` leading hex digits make 16**digits even buckets, by default as ``hash_digits`` says.
-    ``total`` names a column for the number of rows.
+    ``total`` names a column for the number of rows. With ``ranges`` (by.., first, stop), which need ``by``, buckets without a position in
+    one of the ranges are left out before anything is shuffled or sorted; a few rows beside the ranges may remain.
     """
     digits = digits or hash_digits(df)
     if not 1 <= digits <= 4:
@@ -78,7 +81,12 @@ def hash_position(
     if not by:
         offsets = F.broadcast(offsets)  # at most 16**digits rows
     inside = Window.partitionBy(*by, "_bucket").orderBy("_key", *tie)
-    placed = keyed.withColumn("_row", F.row_number().over(inside)).join(offsets, [*by, "_bucket"])
+    if ranges is None:
+        placed = keyed.withColumn("_row", F.row_number().over(inside)).join(offsets, [*by, "_bucket"])
+    else:
+        reached = (F.col("first") < F.col("_before") + F.col("_n")) & (F.col("stop") > F.col("_before"))
+        near = _offsets(counts, by, "_bucket", "_n", keep=["_n"]).join(ranges, by).filter(reached).select(*by, "_bucket", "_before", "_total").distinct()
+        placed = keyed.join(near, [*by, "_bucket"]).withColumn("_row", F.row_number().over(inside))
     placed = placed.withColumn(out, F.col("_before") + F.col("_row") - 1)
     if total:
         placed = placed.withColumn(total, F.col("_total"))

@@ -9,12 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainframe.operators.blocked import running, step_block
 from trainframe.operators.position import hash_position, prefix_sum, seeded_key
 
+# Places of an order that are joined by one key when parts of passes look up their rows.
+BLOCK_PLACES = 4096
+
 
 def round_up(value: Column, multiple: Column) -> Column:
     """Smallest multiple not below ``value``."""
@@ -87,10 +90,15 @@ def batches(shards: DataFrame, batch: int, replicas: int, drop_last: bool = Fals
 
 
 def passes_shuffle(df: DataFrame, id_col: str, passes: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
-    """Orders of all passes that ``passes`` names in ``pass_no``: adds ``pass_no`` and ``pos``. One row per id and pass."""
+    """Orders of the passes that ``passes`` names in ``pass_no``: adds ``pass_no`` and ``pos``. One row per id and pass.
+
+    Where ``passes`` says which places of a pass are read (base, n_batches, size), rows far from them are left out early.
+    """
     named = passes.agg(F.array_sort(F.collect_set("pass_no")).alias("p")).scalar()
-    each = df.withColumn("pass_no", F.explode(named))
-    return hash_position(each, seeded_key(seed, F.lit(epoch), "pass_no", id_col), [id_col], by=["pass_no"])
+    each, ranges = df.withColumn("pass_no", F.explode(named)), None
+    if {"base", "n_batches", "size"} <= set(passes.columns):
+        ranges = passes.select("pass_no", F.col("base").alias("first"), (F.col("base") + F.col("n_batches") * F.col("size")).alias("stop")).distinct()
+    return hash_position(each, seeded_key(seed, F.lit(epoch), "pass_no", id_col), [id_col], by=["pass_no"], ranges=ranges)
 
 
 def _segment(index: int, n: int, size: int, batches: int | None) -> tuple[int, int]:
@@ -111,29 +119,38 @@ def resume_plan(segments: DataFrame, n: Column, batch: int) -> DataFrame:
 
     ``segments`` holds (run, seg, replicas, batches); null ``batches`` run to the end of the pass. A batch moves the
     index by size = replicas * ceil(batch / replicas), a short one at the end of a pass too. Behind that the index
-    is rounded up to a multiple of ``n``, and pass number index // n begins in an order of its own. Where a segment
-    starts depends on all before it, so each run is folded in order, with one number carried along.
+    is rounded up to a multiple of ``n``, the same for all segments of a run, and pass number index // n begins in an
+    order of its own.
+
+    Where a segment starts depends on all before it, but one that runs to the end of its pass leaves a whole number of
+    passes, from which the next one starts as from 0. So runs are cut there into stretches, the stretches are folded
+    side by side, and a running sum over their ends moves each to its place. Only the two running sums see a whole run.
     """
-    rows = (
-        segments.withColumns({"batches": F.col("batches").cast("bigint"), "n": n})
-        .withColumn("size", (F.col("replicas") * local_batch(batch, F.col("replicas"))).cast("bigint"))
-        .withColumns({"start": F.lit(0).cast("bigint"), "end": F.lit(0).cast("bigint")})
+    rows = segments.withColumns({"batches": F.col("batches").cast("bigint"), "n": n}).withColumn(
+        "size", (F.col("replicas") * local_batch(batch, F.col("replicas"))).cast("bigint")
     )
+    before = Window.partitionBy("run").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.col("batches").isNull()
+    rows = rows.withColumns({"_whole": whole, "_stretch": F.coalesce(F.sum(whole.cast("bigint")).over(before), F.lit(0))})
+    rows = rows.withColumns({"start": F.lit(0).cast("bigint"), "end": F.lit(0).cast("bigint")})
 
     def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, index = object(), 0
+        stretch, index = object(), 0
         for part in parts:
             made = []
-            for r, total, size, batches in zip(*(part.column(c).to_pylist() for c in ("run", "n", "size", "batches")), strict=True):
-                start = index if r == run else 0
-                run, (count, index) = r, _segment(start, total, size, batches)
+            for r, s, total, size, batches in zip(*(part.column(c).to_pylist() for c in ("run", "_stretch", "n", "size", "batches")), strict=True):
+                start = index if (r, s) == stretch else 0
+                stretch, (count, index) = (r, s), _segment(start, total, size, batches)
                 made.append((count, start, index))
             new = dict(zip(("batches", "start", "end"), zip(*made, strict=True), strict=True)) if made else {}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(new[c], pa.int64()) if c in new else part.column(c) for c in part.schema.names], part.schema.names
             )
 
-    return rows.repartition("run").sortWithinPartitions("run", "seg").mapInArrow(fold, rows.schema)
+    folded = rows.repartition("run", "_stretch").sortWithinPartitions("run", "_stretch", "seg").mapInArrow(fold, rows.schema)
+    earlier = F.coalesce(F.sum(F.when(F.col("_whole"), F.col("end"))).over(before), F.lit(0))
+    moved = folded.withColumn("_from", earlier).withColumns({"start": F.col("start") + F.col("_from"), "end": F.col("end") + F.col("_from")})
+    return moved.select(*segments.columns, "n", "size", "start", "end")
 
 
 def resume_passes(plan: DataFrame) -> DataFrame:
@@ -156,18 +173,23 @@ def resume_passes(plan: DataFrame) -> DataFrame:
 
 
 def elastic_resume(orders: DataFrame, passes: DataFrame) -> DataFrame:
-    """Rows each (run, seg, batch, rank, slot) reads: parts of passes are expanded and joined to their orders on (pass_no, pos)."""
-    size = F.col("size")
-    rows = (
-        passes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_batches") - 1)))
-        .withColumn("batch_no", F.col("first_batch") + F.col("_b"))
-        .withColumn("_from", F.col("base") + F.col("_b") * size)
-        .withColumn("pos", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + size, F.col("n")) - 1)))
-        .withColumn("_off", F.col("pos") - F.col("_from"))
-        .withColumn("rank", F.col("_off") % F.col("replicas"))
-        .withColumn("slot", F.floor(F.col("_off") / F.col("replicas")))
-    )
-    return rows.select("run", "seg", "replicas", "pass_no", "batch_no", "rank", "slot", "pos").join(orders, ["pass_no", "pos"])
+    """Rows each (run, seg, batch, rank, slot) reads.
+
+    A part of a pass covers a range of places, so it meets the order of its pass on blocks of ``BLOCK_PLACES`` places;
+    batch, rank and slot follow from the place. No place is expanded, and only ids and places are shuffled.
+    """
+    size, base = F.col("size"), F.col("base")
+    upto = F.least(base + F.col("n_batches") * size, F.col("n"))
+    covered = passes.withColumn("_upto", upto).filter(F.col("_upto") > base)
+    covered = covered.withColumn("_block", F.explode(F.sequence(F.floor(base / BLOCK_PLACES), F.floor((F.col("_upto") - 1) / BLOCK_PLACES))))
+    met = orders.withColumn("_block", F.floor(F.col("pos") / BLOCK_PLACES)).join(covered, ["pass_no", "_block"])
+    off = (F.col("pos") - base) % size
+    rows = met.filter((F.col("pos") >= base) & (F.col("pos") < F.col("_upto"))).withColumns({
+        "batch_no": F.col("first_batch") + F.floor((F.col("pos") - base) / size),
+        "rank": off % F.col("replicas"),
+        "slot": F.floor(off / F.col("replicas")),
+    })
+    return rows.select("pass_no", "pos", "run", "seg", "replicas", "batch_no", "rank", "slot", *[c for c in orders.columns if c not in ("pass_no", "pos")])
 
 
 def split_files(df: DataFrame, id_col: str, seed: int = 1000) -> DataFrame:

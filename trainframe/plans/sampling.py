@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trainframe.operators import sampling as S
 from trainframe.operators.blocked import step_block
-from trainframe.session import table
+from trainframe.session import table, written
 
 SHUFFLED = """
 o AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('7|2|0|' || o_orderkey), o_orderkey) - 1 AS pos,
@@ -68,7 +68,7 @@ def resume_plan(spark, sf):
 
 
 def elastic_resume(spark, sf):
-    parts = S.resume_passes(_segments(spark, sf))
+    parts = written(S.resume_passes(_segments(spark, sf)), "parts")
     orders = S.passes_shuffle(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", parts, seed=7, epoch=2)
     return S.elastic_resume(orders, parts).select("run", "seg", "pass_no", "batch_no", "rank", "slot", "pos", "o_orderkey")
 
