@@ -92,7 +92,7 @@ def test_resume_plan_of_many_stretches_equals_one_fold(spark):
 
 def test_a_long_run_is_folded_by_many_tasks(spark):
     """What the fold gets is dealt out by stretches, not by runs."""
-    df = spark.range(4000).select(F.lit(0).alias("run"), F.col("id").alias("seg"), F.lit(2).alias("replicas"), F.when(F.col("id") % 10 < 9, 3).alias("batches"))
+    df = spark.range(4000).select((F.col("id") % 1).alias("run"), F.col("id").alias("seg"), F.lit(2).alias("replicas"), F.when(F.col("id") % 10 < 9, 3).alias("batches"))
     plan = S.resume_plan(df, F.lit(100), 8)
     text = plan._jdf.queryExecution().executedPlan().toString()
     fold = text[text.index("MapInArrow") :]
