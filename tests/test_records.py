@@ -6,6 +6,7 @@ from trainframe.functions import records as C
 from trainframe.operators import accumulate as A
 from trainframe.operators import jobs as J
 from trainframe.operators import placement as L
+from trainframe.operators import ranktree
 from trainframe.operators import resources as R
 
 
@@ -64,7 +65,7 @@ def test_first_fit_expected_answers(spark):
 
 @pytest.mark.parametrize("chunk", [1, 2, 1024])
 def test_first_fit_does_not_depend_on_chunks(spark, monkeypatch, chunk):
-    monkeypatch.setattr(L, "CHUNK", chunk)
+    monkeypatch.setattr(ranktree, "BLOCK", chunk)
     nodes = spark.range(17).select(F.lit(0).alias("cluster"), F.col("id").cast("string").alias("node"), F.create_map(F.lit("cpu"), F.col("id") * 3 % 17).alias("free"), (F.col("id") % 4 == 0).alias("preemptible"))
     jobs = spark.range(1, 20).select(F.lit(0).alias("cluster"), F.col("id").alias("job"), F.create_map(F.lit("cpu"), F.col("id")).alias("resources"), F.lit(1).alias("min_replicas"))
     got = {r["job"]: r["allocation"] for r in L.first_fit(jobs, L.rank_nodes(nodes)).collect()}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trainframe.operators.blocked import running, step_block
 from trainframe.operators.position import sorted_position
+from trainframe.operators.ranktree import first_nodes
 
 # Utility range a size is kept in, its target, and the factor on jobs that would restart.
 KEEP_UTILITY = (0.35, 0.65)
@@ -18,9 +19,6 @@ RESTART_FACTOR = 0.9
 # Absolute and relative difference up to which two utilities count as equal.
 CLOSE = (1e-8, 1e-5)
 
-# Nodes held in one row when jobs look for a fit.
-CHUNK = 1024
-
 
 def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], out: str = "rank") -> DataFrame:
     """Rank from 0 within each group by a total order, through one balanced sort over (group, order)."""
@@ -40,46 +38,30 @@ def rank_nodes(nodes: DataFrame) -> DataFrame:
     return group_rank(nodes, ["cluster"], ["preemptible", "node"])
 
 
-def node_chunks(ranked_nodes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Arrays of at most CHUNK nodes in rank order, as (rank, node, free) with free a map."""
-    cells = ranked_nodes.withColumn("_chunk", F.floor(F.col("rank") / CHUNK))
-    return cells.groupBy(*by, "_chunk").agg(F.sort_array(F.collect_list(F.struct("rank", "node", F.map_entries("free").alias("free")))).alias("_nodes"))
-
-
-def _replicas_that_fit(shape: str, free: Column) -> Column:
-    """Whole replicas that fit into a node: the scarcest resource decides."""
-    have = F.map_from_entries(free)
-    return F.array_min(F.transform(shape, lambda e: F.floor(F.coalesce(have[e["key"]], F.lit(0)) / e["value"])))
-
-
 def _shape() -> Column:
     """A job's resources as a sorted array, which can be a key."""
-    return F.array_sort(F.map_entries("resources"))
+    return F.array_sort(F.map_entries(F.col("resources").cast("map<string,bigint>")))
 
 
 def first_fit(jobs: DataFrame, ranked_nodes: DataFrame) -> DataFrame:
     """(cluster, job, allocation): the first node by rank that holds max(min_replicas, 1) replicas, repeated; [] if none.
 
-    Each distinct request of a cluster is answered once, so nodes meet requests, not jobs; they come as arrays, not rows.
+    Each distinct request of a cluster is answered once and goes down a tree over the ranked nodes.
     """
-    asked = jobs.withColumns({"_shape": _shape(), "_need": F.greatest("min_replicas", F.lit(1))})
-    key = ["cluster", "_shape", "_need"]
-    meets = asked.select(*key).distinct().join(node_chunks(ranked_nodes, ["cluster"]), "cluster")
-    hit = F.filter("_nodes", lambda n: _replicas_that_fit("_shape", n["free"]) >= F.col("_need"))
-    found = meets.withColumn("_hit", F.when(F.size(hit) > 0, F.struct(hit[0]["rank"].alias("r"), hit[0]["node"].alias("n"))))
-    best = found.groupBy(*key).agg(F.min("_hit").alias("_b"))
+    asked = jobs.withColumns({"shape": _shape(), "need": F.greatest("min_replicas", F.lit(1)).cast("bigint")})
+    key = ["cluster", "shape", "need"]
+    best = first_nodes(asked.select(*key).distinct(), ranked_nodes).select(*key, "node")
     empty = F.array().cast("array<string>")
-    allocation = F.when(F.col("_b").isNull(), empty).otherwise(F.array_repeat(F.col("_b.n"), F.col("_need").cast("int")))
+    allocation = F.when(F.col("node").isNull(), empty).otherwise(F.array_repeat("node", F.col("need").cast("int")))
     return asked.join(best, key, "left").select("cluster", "job", allocation.alias("allocation"))
 
 
 def schedulable(jobs: DataFrame, ranked_nodes: DataFrame) -> DataFrame:
     """Jobs for which some node has every requested amount, answered once per distinct request in the same way."""
-    asked = jobs.withColumn("_shape", _shape())
-    meets = asked.select("cluster", "_shape").distinct().join(node_chunks(ranked_nodes, ["cluster"]), "cluster")
-    ok = F.exists("_nodes", lambda n: _replicas_that_fit("_shape", n["free"]) >= 1)
-    kept = meets.filter(ok).select("cluster", "_shape").distinct()
-    return asked.join(kept, ["cluster", "_shape"], "left_semi").drop("_shape")
+    asked = jobs.withColumn("shape", _shape())
+    requests = asked.select("cluster", "shape", F.lit(1).cast("bigint").alias("need")).distinct()
+    kept = first_nodes(requests, ranked_nodes).select("cluster", "shape")
+    return asked.join(kept, ["cluster", "shape"], "left_semi").drop("shape")
 
 
 def allocation_diff(old: DataFrame, new: DataFrame) -> DataFrame:
