@@ -200,33 +200,57 @@ def fit_error(means: DataFrame, params: DataFrame) -> DataFrame:
     return per.select("job_id", (F.sqrt("_a") + F.sqrt("_o") + GAMMA_WEIGHT * F.pow(p["gamma"] - 1, 2) + GROWTH_WEIGHT * growth).alias("loss"))
 
 
-def reduce_custom(df: DataFrame, by: Sequence[str], rank: str, value: str, fn: Callable, block: int = 1024, levels: int = 2) -> DataFrame:
-    """Fold ``value`` in rank order with any associative function: inside blocks of ranks, then over blocks of blocks.
+def reduce_custom(df: DataFrame, by: Sequence[str], rank: str, value: str, fn: Callable, block: int = 1024, parts: int | None = None) -> DataFrame:
+    """Fold ``value`` in rank order with any associative function; it need not commute.
 
-    Needs no commutativity. A task folds ``block`` neighbours at each level; the last fold of a group
-    takes one value per block**levels ranks.
+    Rows are range-partitioned on (group, rank), so a task has contiguous runs and folds each in one pass with one value
+    in memory: a group of all rows is folded by all tasks. What is left, one value for each group and partition, is
+    folded by neighbouring partitions, ``block`` at a time, on as many levels as the number of partitions asks for.
+    ``parts`` is that number, by default the shuffle partitions.
     """
-    dtype = df.schema[value].dataType.simpleString()
-    keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
-
-    def fold(keep: list[str]):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            values = iter(pdf.sort_values("_at")[value])
-            total = next(values)
-            for v in values:
-                total = fn(total, v)
-            out = pdf[keep].head(1).copy()
-            out[value] = [total]
-            return out
+    by = list(by)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    keys = "".join(f"{k} {kinds[k]}, " for k in by)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def fold(place: str | None) -> Callable:
+        """Runs of equal keys to one value each; ``place`` is the column that tells what the value stands for, by default the task."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            task, last, total, kind = TaskContext.get().partitionId(), None, None, None
+
+            def out(made: list[tuple]) -> pa.RecordBatch:
+                columns = [pa.array([m[0][i] for m in made], kind.field(k).type) for i, k in enumerate(by)]
+                columns.append(pa.array([task if place is None else m[0][-1] for m in made], pa.int64()))
+                return pa.RecordBatch.from_arrays([*columns, pa.array([m[1] for m in made], kind.field(value).type)], [*by, "_part", value])
+
+            for batch in batches:
+                kind, made = batch.schema, []
+                heads = zip(*(batch.column(k).to_pylist() for k in by + ([place] if place else [])), strict=True) if by or place else [()] * batch.num_rows
+                for key, v in zip(heads, batch.column(value).to_pandas(), strict=True):
+                    if last is None or key != last[0]:
+                        if last is not None:
+                            made.append((last[0], total))
+                        last, total = (key,), v
+                    else:
+                        total = fn(total, v)
+                if made:
+                    yield out(made)
+            if last is not None:
+                yield out([(last[0], total)])
 
         return run
 
-    parts = df.select(*by, F.col(rank).cast("bigint").alias("_at"), value)
-    for _ in range(levels):
-        parts = parts.withColumn("_block", F.floor(F.col("_at") / block))
-        parts = parts.groupBy(*by, "_block").applyInPandas(fold([*by, "_block"]), f"{keys}, _block bigint, {value} {dtype}")
-        parts = parts.withColumnRenamed("_block", "_at")
-    return parts.groupBy(*by).applyInPandas(fold(list(by)), f"{keys}, {value} {dtype}")
+    schema = f"{keys}_part bigint, {value} {kinds[value]}"
+    rows = df.select(*by, F.col(rank).cast("bigint").alias("_at"), value)
+    left = rows.repartitionByRange(parts, *by, "_at").sortWithinPartitions(*by, "_at").mapInArrow(fold(None), schema)
+    while parts > 1:
+        parts = -(-parts // block)
+        near = left.withColumn("_next", F.floor(F.col("_part") / block))
+        left = near.repartition(*by, "_next").sortWithinPartitions(*by, "_next", "_part").mapInArrow(fold("_next"), schema)
+    return left.drop("_part")
 
 
 def collate(batches: DataFrame, by: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
