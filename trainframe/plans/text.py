@@ -59,7 +59,8 @@ def long_documents(spark, sf):
 
 
 def vocabulary(spark, sf):
-    return _vocab(_blocks(spark, sf))
+    """Read once and only counted, so the tokens are counted as they come and nothing is stored."""
+    return V.build_vocabulary(V.each_token(_docs(spark, sf)))
 
 
 def token_ids(spark, sf):
