@@ -62,3 +62,41 @@ def test_vectors_of_low_rank(spark):
     want = (x @ x.T >= 0.9).sum(1) - 1
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert [r["n_links"] for r in pq.vector_duplicates(df).orderBy("vec_id").collect()] == want.tolist()
+
+
+def test_forest_at_another_threshold(spark):
+    """A pair of similarity 0.74 is linked at 70 percent and not at 80."""
+    w = [f"w{i}" for i in range(300)]
+    v = list(w)
+    for at in range(10, 300, 33):
+        v[at] = f"x{at}"
+    a, b = ({tuple(t[j : j + 5]) for j in range(296)} for t in (w, v))
+    assert 0.7 < len(a & b) / len(a | b) < 0.8
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(v))], "doc_id long, text string")
+    got = {p: by_id(forest.near_duplicates(df, percent=p))[2]["component_id"] for p in (70, 80)}
+    assert got == {70: 1, 80: 2}
+
+
+def test_forest_rows_of_equal_id(spark):
+    """Rows of one doc_id are one node, whatever texts they have."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    df = spark.createDataFrame([(0, a), (1, a), (1, b), (7, b), (8, "c d e")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in forest.near_duplicates(df).collect()}
+    assert got == {(0, 0), (1, 0), (7, 0), (8, 8)}
+
+
+def test_forest_descends_in_large_regions(spark, monkeypatch):
+    """Regions of many blocks, found by longer prefixes first, give the components of all pairs."""
+    monkeypatch.setattr(forest, "BLOCK", 16)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 5, 7])):
+            w[at] = f"x{rng.randrange(6)}y{at}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(116)} for i, t in rows}
+    links = [(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    got = by_id(forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=5))
+    assert {i: r["component_id"] for i, r in got.items()} == components_of(links, sets)
