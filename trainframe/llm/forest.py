@@ -247,7 +247,7 @@ def region_links(nodes: DataFrame, regions: DataFrame, depth: int, percent: int)
     return stored(met, "met")
 
 
-def searched(docs: DataFrame, reps: DataFrame, links: DataFrame | None, tree: DataFrame | None, k: int, percent: int) -> DataFrame | None:
+def searched(docs: DataFrame, reps: DataFrame, tree: DataFrame | None, k: int, percent: int) -> DataFrame | None:
     """Components after the second search: large regions by longer prefixes first, then by shorter ones."""
     nodes = stored(placed(reps.select("doc_id", "n_shingles", "sig"), tree), "nodes")
     regions = open_regions(nodes, LEAST_DEPTH)
@@ -275,14 +275,13 @@ def searched(docs: DataFrame, reps: DataFrame, links: DataFrame | None, tree: Da
             regions = open_regions(nodes, depth)
         met = region_links(nodes, regions, depth, percent)
         if not met.isEmpty():
-            links = met if links is None else links.unionByName(met)
-            tree = stored(components(links), "components")
+            tree = grown(tree, met)
     return tree
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have at least the given similarity."""
-    both = pairs.select("a", "b").join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    """Components (a, b) of the pairs whose full sets have at least the given similarity; pairs has a, b and their components ca, cb."""
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("ca", "cb", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,45 +291,59 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                     inter = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(inter > 0 and 100 * inter >= percent * (len(x) + len(y) - inter))
                 keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column("ca").filter(keep), part.column("cb").filter(keep)], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def joined(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, tree: DataFrame | None, k: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links and components with those that the pairs add."""
+def grown(tree: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components with those that links between their roots, or nodes without one, join. Only the links are contracted."""
+    more = components(links)
+    if tree is None:
+        return stored(more, "components")
+    more = stored(more, "joins")
+    moved = tree.join(more.toDF("root", "_up"), "root", "left").select("id", F.coalesce("_up", "root").alias("root"))
+    return stored(moved.unionByName(more.join(tree.select("id"), "id", "left_anti")), "components")
+
+
+def joined(docs: DataFrame, pairs: DataFrame, tree: DataFrame | None, k: int, percent: int) -> DataFrame | None:
+    """Components with those that the pairs (a, b, share) add."""
     if pairs.isEmpty():
-        return links, tree
+        return tree
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     # a merge at every size: the list of ids grows with the documents, so the plan must not lean on its being small
     texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id"), "texts")
-    left = pairs
+
+    def across(left: DataFrame) -> DataFrame:
+        """Pairs of different components, with these."""
+        left = left.select("a", "b", "share", F.col("a").alias("ca"), F.col("b").alias("cb"))
+        for side in ("a", "b") if tree is not None else ():
+            left = left.join(tree.toDF(side, "_root"), side, "left").withColumn(f"c{side}", F.coalesce("_root", side)).drop("_root")
+        return stored(left.where("ca != cb").select("a", "b", "share", "ca", "cb"), "left")
+
+    left = across(pairs)
     for most in (1, 3, None):  # the best candidate of each document, then a few, then all that still join components
         if left.isEmpty():
             break
         todo = left
         if most:
-            ends = left.select("a", "b", "share", F.explode(F.array("a", "b")).alias("end"))
+            ends = left.select("*", F.explode(F.array("a", "b")).alias("end"))
             rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("share"), "a", "b"))
-            todo = ends.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct()
-        todo = stored(todo.select("a", "b"), "todo")
+            todo = stored(ends.withColumn("rank", rank).where(F.col("rank") <= most).select(left.columns).distinct(), "todo")
         new = stored(confirmed(todo, texts, k, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        tree = stored(components(links), "components")
-        rest = left.join(todo, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            rest = rest.join(tree.toDF(side, f"_{side}"), side, "left")
-        left = stored(rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "share"), "left")
-    return links, tree
+        if not new.isEmpty():
+            tree = grown(tree, new)
+        if most:
+            left = across(left.join(todo, ["a", "b"], "left_anti"))
+    return tree
 
 
-def repeated(rows: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links between the sets of rows of equal doc_id, and their components; nothing if each doc_id has one set."""
+def repeated(rows: DataFrame) -> DataFrame | None:
+    """Components by the sets of rows of equal doc_id; nothing if each doc_id has one set."""
     several = stored(rows.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last"), "repeated")
     if several.isEmpty():
-        return None, None
-    links = stored(rows.join(several, "doc_id").where("rep > a").select("a", F.col("rep").alias("b")).distinct(), "links")
-    return links, stored(components(links), "components")
+        return None
+    return grown(None, rows.join(several, "doc_id").where("rep > a").select("a", F.col("rep").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -341,8 +354,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     copies = reps.where("last > doc_id").select(F.col("doc_id").alias("rep"), "n_shingles", "f1", "f2")
     out = sets.select("doc_id", "n_shingles", "f1", "f2").join(copies, ["f1", "f2", "n_shingles"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     out = stored(out.select("doc_id", "n_shingles", "rep"), "rows")
-    links, tree = joined(docs, likely(candidates(reps), reps, percent), *repeated(out), k, percent)
-    tree = searched(docs, reps, links, tree, k, percent)
+    tree = joined(docs, likely(candidates(reps), reps, percent), repeated(out), k, percent)
+    tree = searched(docs, reps, tree, k, percent)
     if tree is not None:
         out = out.join(tree.toDF("rep", "root"), "rep", "left")
     else:
