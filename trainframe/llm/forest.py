@@ -10,7 +10,7 @@ are left out, the others are confirmed on full sets, best ones first; pairs insi
 to it and are not confirmed again.
 
 Then a second search goes through every region (documents of a tree with a common prefix of ``LEAST_DEPTH`` columns) that
-is larger than the window and holds more than one component. While regions are larger than a block, it descends: the depth
+is larger than the window and holds more than one component. While regions are larger than ``DESCEND`` blocks, it descends: the depth
 doubles, and the shallow regions are searched last, across the components that are left by then. A region is cut into blocks
 by number and by bytes; members outside its most common component meet all its members with their full sets, so a pair is
 decided where it is found. A block returns one link per component to the smallest it was joined with, never pairs.
@@ -35,6 +35,8 @@ from trainframe.llm.store import shuffle_partitions, stored
 COLUMNS, TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 128, 16, 16, 3, 2
 #: Rows on a side of a block in the second search, and about as many shingles of theirs.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Blocks on a side of a region from which a pass over longer prefixes costs less than comparing them all.
+DESCEND = 8
 
 
 def least_share(percent: int) -> float:
@@ -124,7 +126,7 @@ def candidates(sets: DataFrame) -> DataFrame:
             yield edge(ids[-n:], keys[-n:], seen - n)
 
     schema = "a long, b long, key binary, task int, nth long"
-    found = rows.repartitionByRange(4 * shuffle_partitions(sets), "key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(run, schema)
+    found = rows.repartitionByRange(shuffle_partitions(sets), "key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(run, schema)
     found = stored(found, "forest")
 
     def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +267,7 @@ def searched(docs: DataFrame, reps: DataFrame, tree: DataFrame | None, k: int, p
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id").select("doc_id", "text")
     members = stored(nodes.drop("comp").join(texts.mapInArrow(run, "doc_id long, shingles binary").hint("merge"), "doc_id"), "members")
     depths = [LEAST_DEPTH]
-    while largest > BLOCK and 2 * depths[-1] <= DEPTH:
+    while largest > DESCEND * BLOCK and 2 * depths[-1] <= DEPTH:
         depths.append(2 * depths[-1])
         regions = open_regions(placed(members, tree), depths[-1])
         largest = regions.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
