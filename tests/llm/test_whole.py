@@ -64,6 +64,25 @@ def test_vectors_of_low_rank(spark):
     assert [r["n_links"] for r in pq.vector_duplicates(df).orderBy("vec_id").collect()] == want.tolist()
 
 
+def test_vectors_by_measured_margin(spark):
+    """A margin for most partners: no link below the cosine, both ends of a link count it, and recall is near what was asked for."""
+    rng = np.random.default_rng(4)
+    for rank in (8, 32):
+        x = rng.normal(size=(3000, rank))
+        x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.4])
+        x = x @ np.linalg.qr(rng.normal(size=(32, rank)))[0].T
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= 0.9
+        np.fill_diagonal(near, False)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = np.array([r["n_links"] for r in pq.vector_duplicates(df, recall=0.99).orderBy("vec_id").collect()])
+        assert (got <= near.sum(1)).all() and got.sum() % 2 == 0 and got.sum() >= 0.97 * near.sum()
+        sample = x[rng.permutation(len(x))]
+        centres, _ = pq.fit(sample, 23)
+        assert pq.margin_of(sample, centres, 0.9, 0.9) < pq.margin_of(sample, centres, 0.9, 0.99) < pq.margin_of(sample, centres, 0.9, 1.0)
+    assert pq.margin_of(sample[:5], centres, 0.9, 0.99) == pq.margin_of(sample, centres, 0.9, 1.0)
+
+
 def test_forest_at_another_threshold(spark):
     """A pair of similarity 0.74 is linked at 70 percent and not at 80."""
     w = [f"w{i}" for i in range(300)]

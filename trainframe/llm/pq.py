@@ -2,8 +2,10 @@
 
 Equal vectors fold to one with a count. Coarse centroids and the codebooks of ``PARTS`` subspaces are fitted on a bounded
 sample (``SAMPLE`` vectors); every vector is indexed: it stands in the list of its nearest centroid with the codes of its residual and the exact
-size of its coding error. A query probes each list whose border is no farther than a
-partner at the least similarity can be, so no pair is missed and each is found from both ends. In a list, distances come from look-up tables per query;
+size of its coding error. A query probes each list whose border is no farther than a margin. With ``recall`` 1 that is as far as a partner
+at the least similarity can be, so no pair is missed; below 1 the margin is the one at which that share of test partners is found from either end: partners
+at exactly the least cosine, made of sampled vectors in the direction of other sampled ones, and true partners in the sample by brute force (the larger of both margins).
+A pair that only one end finds counts for both. In a list, distances come from look-up tables per query;
 a member stays if the distance less its coding error allows the similarity, which loses nothing; those are ranked by their exact cosine
 in double precision. Lists are cut into blocks of members and of queries, so a hot list is many tasks; a task returns
 counts per query and one link per vector to the smallest of its local component, never all pairs.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from trainframe.llm.components import components
 from trainframe.llm.store import stored
 
-SAMPLE, PARTS, CODES, PER_LIST, MOST_LISTS = 16384, 8, 64, 256, 1024
+SAMPLE, PARTS, CODES, PER_LIST, MOST_LISTS, TESTED = 16384, 8, 64, 256, 1024, 4096
 BLOCK = 2048
 
 
@@ -74,6 +76,46 @@ def fit(sample: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
     return centres, np.stack([kmeans(residual[:, i * step : (i + 1) * step], CODES) if len(residual) >= CODES else np.resize(residual[:, i * step : (i + 1) * step], (CODES, step)) for i in range(PARTS)])
 
 
+def beyond(x: np.ndarray, own: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """How far each vector is from the border of each list; 0 for its own."""
+    size = (centres**2).sum(1)
+    far = size[None] - 2 * x @ centres.T
+    gaps = np.sqrt(np.maximum(size[own][:, None] + size[None] - 2 * centres[own] @ centres.T, 1e-12))
+    out = (far - far[np.arange(len(x)), own][:, None]) / (2 * gaps)
+    out[np.arange(len(x)), own] = 0
+    return out
+
+
+def margin_of(sample: np.ndarray, centres: np.ndarray, least: float, recall: float, seed: int = 9) -> float:
+    """Smallest margin that finds the given share of test partners; the widest one where the sample has too few to tell."""
+    widest = float(np.sqrt(2 - 2 * least) + 1e-6)  # between two unit vectors at the least cosine
+    if recall >= 1:
+        return widest
+    x = sample[:TESTED]
+    off = np.random.default_rng(seed).permutation(sample)[: len(x)]
+    off = off - (off * x).sum(1, keepdims=True) * x
+    size = np.sqrt((off * off).sum(1))
+    a = x[size > 1e-6]
+    b = least * a + np.sqrt(1 - least * least) * off[size > 1e-6] / size[size > 1e-6, None]
+    true = [(i + q, m) for i in range(0, len(x), 256) for q, m in [np.nonzero(x[i : i + 256] @ sample.T >= least)]]
+    q, m = (np.concatenate([t[k] for t in true]) if true else np.zeros(0, np.int64) for k in (0, 1))
+    q, m = q[q != m], m[q != m]
+    out = 0.0
+    for left, right, must in ((a, b, True), (sample[q], sample[m], False)):
+        need = []
+        for at in range(0, len(left), 4096):
+            u, v = left[at : at + 4096], right[at : at + 4096]
+            own_u, own_v, rows = nearest(u, centres), nearest(v, centres), np.arange(len(u))
+            need.append(np.minimum(beyond(u, own_u, centres)[rows, own_v], beyond(v, own_v, centres)[rows, own_u]))
+        need = np.sort(np.concatenate(need)) if need else np.zeros(0)
+        at = int(np.ceil(recall * (len(need) + 1))) - 1
+        if at < len(need):
+            out = max(out, float(need[at]))
+        elif must:
+            return widest
+    return min(out, widest)
+
+
 def links_of(queries: np.ndarray, members: np.ndarray, codes: np.ndarray, error: np.ndarray, centre: np.ndarray, books: np.ndarray, least: float) -> np.ndarray:
     """Which queries and members of a list have at least the given cosine."""
     reach = np.sqrt(2 - 2 * least) + 1e-6
@@ -107,7 +149,19 @@ def local_roots(linked: np.ndarray, q_ids: np.ndarray, m_ids: np.ndarray) -> tup
         q, m = new_q, new_m
 
 
-def vector_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
+def seen_back(homes: np.ndarray, probes: pa.Array, here: int) -> np.ndarray:
+    """Whether a member of this list, asked by a query, meets it as a query too: in the query's own list, if it probes that."""
+    lists, at = np.unique(homes, return_inverse=True)
+    sizes = pa.compute.list_value_length(probes).to_numpy(zero_copy_only=False).astype(np.int64)
+    asked = probes.flatten().to_numpy(zero_copy_only=False)
+    place = np.minimum(np.searchsorted(lists, asked), len(lists) - 1)
+    hit = lists[place] == asked
+    out = np.zeros((len(probes), len(lists)), bool)
+    out[np.repeat(np.arange(len(probes)), sizes)[hit], place[hit]] = True
+    return out[:, at].T | (homes == here)[:, None]
+
+
+def vector_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = vectors.sparkSession
     e = F.col("embedding")
@@ -122,9 +176,9 @@ def vector_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     d = -(-head["d"] // PARTS) * PARTS
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"  # as exact as the input
     sample = reps.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()
-    centres, books = fit(unit(padded(sample.column(0).combine_chunks(), d)), max(1, min(MOST_LISTS, head["n"] // PER_LIST)))
-    reach = np.sqrt(2 - 2 * least) + 1e-6  # of two unit vectors at the least cosine
-    gaps = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(2) if len(centres) <= 256 else (centres**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * centres @ centres.T, 1e-12))
+    known = unit(padded(sample.column(0).combine_chunks(), d))
+    centres, books = fit(known, max(1, min(MOST_LISTS, head["n"] // PER_LIST)))
+    margin = margin_of(known, centres, least, recall)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,10 +190,7 @@ def vector_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
                 residual = x - centres[own]
                 codes = _codes(residual, books)
                 error = np.sqrt(((residual - np.concatenate([books[i][codes[:, i]] for i in range(PARTS)], 1)) ** 2).sum(1))
-                far = (centres**2).sum(1)[None] - 2 * x @ centres.T
-                beyond = (far - far[np.arange(len(x)), own][:, None]) / (2 * gaps[own])
-                beyond[np.arange(len(x)), own] = 0
-                probes = [np.flatnonzero(b).tolist() for b in beyond <= reach]
+                probes = [np.flatnonzero(b).tolist() for b in beyond(x, own, centres) <= margin]
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), pa.array([v.tobytes() for v in raw.astype(kind)], pa.binary()), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))], ["id", "copies", "vec", "list", "code", "error", "probes"])
 
     indexed = stored(reps.mapInArrow(index, "id long, copies long, vec binary, list int, code binary, error double, probes array<int>"), "index")
@@ -147,8 +198,8 @@ def vector_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     asked = {r["list"]: r["count"] for r in indexed.select(F.explode("probes").alias("list")).groupBy("list").count().collect()}
     cuts = spark.createDataFrame([(int(k), -(-members[k] // BLOCK), -(-asked.get(k, 1) // BLOCK)) for k in members], "list int, mb int, qb int")
     hashed = F.xxhash64("id")
-    side_m = indexed.join(F.broadcast(cuts), "list").select("list", F.pmod(hashed, "mb").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.lit(0).alias("side"), "id", "copies", "vec", "code", "error")
-    side_q = indexed.select("id", "vec", F.explode("probes").alias("list")).join(F.broadcast(cuts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod(hashed, "qb").cast("int").alias("q"), F.lit(1).alias("side"), "id", F.lit(None).cast("long").alias("copies"), "vec", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"))
+    side_m = indexed.join(F.broadcast(cuts), "list").select("list", F.pmod(hashed, "mb").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.lit(0).alias("side"), "id", "copies", "vec", "code", "error", F.col("list").alias("home"), "probes")
+    side_q = indexed.select("id", "copies", "vec", F.col("list").alias("home"), F.explode("probes").alias("list")).join(F.broadcast(cuts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod(hashed, "qb").cast("int").alias("q"), F.lit(1).alias("side"), "id", "copies", "vec", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"), "home", F.lit(None).cast("array<int>").alias("probes"))
 
     def compare(block: pa.Table) -> pa.Table:
         side = block.column("side").to_numpy()
@@ -165,9 +216,11 @@ def vector_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         if not q_any.any():
             return none
         n = linked @ mine.column("copies").to_numpy()
+        once = linked & ~seen_back(theirs.column("home").to_numpy(), mine.column("probes").combine_chunks(), block.column("list")[0].as_py())
+        n_back = theirs.column("copies").to_numpy() @ once
         linked = linked[q_any][:, m_any]
         q_root, m_root = local_roots(linked, q_ids[q_any], m_ids[m_any])
-        return pa.table({"id": np.concatenate([q_ids[q_any], m_ids[m_any]]), "n": np.concatenate([n[q_any], np.zeros(int(m_any.sum()), np.int64)]), "root": np.concatenate([q_root, m_root])})
+        return pa.table({"id": np.concatenate([q_ids[q_any], m_ids[m_any]]), "n": np.concatenate([n[q_any], n_back[m_any]]), "root": np.concatenate([q_root, m_root])})
 
     found = stored(side_m.unionByName(side_q).groupBy("list", "m", "q").applyInArrow(compare, "id long, n long, root long"), "found")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))

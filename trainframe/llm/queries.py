@@ -45,7 +45,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pq.vector_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+    return pq.vector_duplicates(table(spark, sf_dir, "embeddings"), least=0.9, recall=0.99)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
