@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from tests.llm.test_operators import by_id, components_of
-from trainframe.llm import bwt, forest, pq, tokens
+from trainframe.llm import bwt, crf, forest, pq, tokens
 from trainframe.llm.queries import bpe_path
 
 
@@ -119,3 +119,36 @@ def test_forest_descends_in_large_regions(spark, monkeypatch):
     links = [(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
     got = by_id(forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=5))
     assert {i: r["component_id"] for i, r in got.items()} == components_of(links, sets)
+
+
+def test_labels_of_lines_vary_inside_a_document():
+    """Documents are labelled, lines are not: clean lines of bad texts are content, a boilerplate tail of a good text is marked and the text kept."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(2, 9))) for _ in range(400)]
+
+    def prose():
+        return " ".join(rng.choice(words, rng.integers(9, 16))).capitalize() + "."
+
+    def junk():
+        return " | ".join(w + "$$$" for w in rng.choice(words, rng.integers(3, 6)))
+
+    texts, good = [], []
+    for i in range(120):
+        n = int(rng.integers(5, 9))
+        texts.append("\n".join([prose() for _ in range(n)] + [junk()] * (i % 3 == 0) if i % 2 else [prose()] * (i % 4 == 0) + [junk() for _ in range(n)]))
+        good.append(i % 2)
+    s = crf.Scan(pa.array(texts))
+    field = crf.fit_lines(s.x, s.line_chars, np.array(good), s.line_first)
+    tail, head = [prose() for _ in range(6)] + [junk(), junk()], [prose()] + [junk() for _ in range(7)]
+    texts = pa.array(["\n".join(tail), "\n".join(head), "\n".join(tail[:6]), ""])
+    s = crf.Scan(texts)
+    assert field.viterbi(s.x, s.line_first).tolist() == [1] * 6 + [0] * 2 + [1] + [0] * 7 + [1] * 6
+    assert crf.judged(texts, field)[2].tolist() == [True, False, True, False]
+
+
+def test_line_labels_keep_to_the_share_of_their_document():
+    content = np.array([0.9, 0.1, 0.2, 0.3, 0.1, 0.8, 0.9, 0.7])
+    chars, first = np.array([10, 10, 10, 10, 40, 5, 5, 5]), np.array([0, 4, 4, 8])
+    assert crf.relabelled(content, chars, np.array([1, 0, 0]), first).tolist() == [1, 0, 0, 1, 0, 1, 1, 1]
+    assert crf.relabelled(content, chars, np.array([1, 0, 1]), first).tolist() == [1, 0, 0, 1, 1, 1, 1, 1]
+    assert crf.relabelled(content[:4], chars[:4], np.array([0]), np.array([0, 4])).tolist() == [1, 0, 0, 0]

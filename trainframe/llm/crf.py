@@ -1,7 +1,9 @@
 """Quality rules: a linear-chain conditional random field labels each line content or boilerplate.
 
 The field is trained on whole texts of a bounded sample of labelled documents (``PER_CLASS`` of good and of bad quality,
-of at most ``LINES`` lines each): lines of good documents are content, lines of bad ones boilerplate. Viterbi
+of at most ``LINES`` lines each). Only documents have labels; those of their lines are latent and tied to them by the share of content
+characters: at least ``SHARE`` in a good document, less in a bad one. Lines start with their document's label and weights that see no neighbours; then, in turns, lines that
+the weights hold for the other label change to it, surest first, as far as the document's share allows, and the field is trained anew, from the second turn on as a chain. Viterbi
 decoding labels the lines of every text; a document is kept when at least ``SHARE`` of its characters are in content lines. The plain counts
 (words, symbols, repeated lines and word windows) are exact per document, and documents that fail them go first.
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from trainframe.llm import textscan as T
 
-PER_CLASS, LINES, SHARE = 500, 200, 0.5
+PER_CLASS, LINES, SHARE, TURNS = 500, 200, 0.5, 3
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _CONT = np.zeros(256, bool)
@@ -145,11 +147,10 @@ class Field:
             label[rows] = back[at, label[rows]]
         return out
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient of the conditional log-likelihood by the forward and backward recursions."""
-        u = x @ self.w
+    def _marginals(self, u: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums over labellings up to each line and behind it, and the probability of both labels of each line."""
         steps = list(_steps(first))
-        f, g = np.zeros((len(x), 2)), np.zeros((len(x), 2))
+        f, g = np.zeros((len(u), 2)), np.zeros((len(u), 2))
         for k, (_, at) in enumerate(steps):
             f[at] = u[at] if k == 0 else u[at] + np.logaddexp(f[at - 1, 0][:, None] + self.t[0], f[at - 1, 1][:, None] + self.t[1])
         for k in range(len(steps) - 1, 0, -1):
@@ -157,7 +158,16 @@ class Field:
             z = u[at] + g[at]
             g[at - 1] = np.logaddexp(self.t[:, 0] + z[:, :1], self.t[:, 1] + z[:, 1:])
         p = f + g
-        p = np.exp(p - np.logaddexp(p[:, 0], p[:, 1])[:, None])
+        return f, g, np.exp(p - np.logaddexp(p[:, 0], p[:, 1])[:, None])
+
+    def content(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Probability that a line is content."""
+        return self._marginals(x @ self.w, first)[2][:, 1]
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient of the conditional log-likelihood by the forward and backward recursions."""
+        u = x @ self.w
+        f, g, p = self._marginals(u, first)
         inner = np.setdiff1d(np.arange(len(x)), first[:-1])
         pair = f[inner - 1][:, :, None] + self.t + (u[inner] + g[inner])[:, None, :]
         pair = np.exp(pair - np.logaddexp.reduce(pair.reshape(-1, 4), 1)[:, None, None])
@@ -167,11 +177,11 @@ class Field:
         np.add.at(seen, (y[inner - 1], y[inner]), 1)
         return x.T @ (truth - p), seen - pair.sum(0)
 
-    def train(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 80, rate: float = 0.2) -> Field:
-        """Steps scaled by running moments; documents of either label weigh what their lines weigh."""
+    def train(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 80, rate: float = 0.2, chain: bool = True) -> Field:
+        """Steps scaled by running moments; documents of either label weigh what their lines weigh. Without ``chain`` pairs of labels keep their weights."""
         m, v = [np.zeros_like(self.w), np.zeros_like(self.t)], [np.zeros_like(self.w), np.zeros_like(self.t)]
         for k in range(1, rounds + 1):
-            for i, (p, g) in enumerate(zip((self.w, self.t), self.gradient(x, y, first), strict=True)):
+            for i, (p, g) in enumerate(zip((self.w, self.t)[: 1 + chain], self.gradient(x, y, first))):
                 g = g / max(len(x), 1) - 1e-3 * p
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -179,6 +189,32 @@ class Field:
         return self
 
 
+def relabelled(content: np.ndarray, chars: np.ndarray, good: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Labels of lines: as likely as they can be with each document's share of content characters on the side of its own label."""
+    row = np.repeat(np.arange(len(good)), np.diff(first))
+    total = np.bincount(row, weights=chars, minlength=len(good))
+    own = good[row]
+    other = np.where(own == 1, 1 - content, content)  # how sure the line is of the other label
+    order = np.lexsort((np.arange(len(row)), -other, row))
+    size = np.where(other > 0.5, chars, 0)[order]
+    run = np.cumsum(size)
+    moved = run - np.concatenate([[0], run])[first[:-1]][row[order]]
+    room = np.where(good == 1, (1 - SHARE) * total, np.nextafter(SHARE * total, 0))[row[order]]
+    out = own.astype(np.int64).copy()
+    flip = order[(other[order] > 0.5) & (moved <= room)]
+    out[flip] = 1 - out[flip]
+    return out
+
+
+def fit_lines(x: np.ndarray, chars: np.ndarray, good: np.ndarray, first: np.ndarray) -> Field:
+    """The field of documents with labels and lines without."""
+    field = Field().train(x, np.repeat(good, np.diff(first)), first, chain=False)
+    for _ in range(TURNS):
+        y = relabelled(field.content(x, first), chars, good, first)
+        field = Field().train(x, y, first)
+    return field
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field:
     """Train on a hashed sample of labelled documents; the driver gets the line features of at most about 2 * per_class documents."""
     spark = docs.sparkSession
@@ -191,21 +227,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field
     drawn = known.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) < rate * (1 << 30)).collect()
     sample = spark.createDataFrame([tuple(r) for r in drawn], "doc_id long, quality int")
 
+    # one text of each doc_id, so that a repeated id brings no more rows than another
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
                 s = Scan(part.column("text"))
                 rows = [s.x[a:b].astype(np.uint8).tobytes() if b - a <= LINES else b"" for a, b in zip(s.line_first[:-1], s.line_first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "x"])
+                chars = [s.line_chars[a:b].astype("<i8").tobytes() if b - a <= LINES else b"" for a, b in zip(s.line_first[:-1], s.line_first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(rows, pa.binary()), pa.array(chars, pa.binary())], ["doc_id", "quality", "x", "chars"])
 
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").mapInArrow(lines, "doc_id long, quality int, x binary").where("length(x) > 0").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["x"])))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    scanned = read.mapInArrow(lines, "doc_id long, quality int, x binary, chars binary").where("length(x) > 0")
+    got = scanned.groupBy("doc_id", "quality").agg(F.min(F.struct("x", "chars")).alias("s")).select("doc_id", "quality", "s.x", "s.chars").collect()
+    got = sorted(got, key=lambda r: r["doc_id"])
     if not got:
         return field
     xs = [np.frombuffer(r["x"], np.uint8).reshape(-1, FEATURES) for r in got]
     first = np.concatenate([[0], np.cumsum([len(x) for x in xs])])
-    y = np.repeat([r["quality"] for r in got], np.diff(first)).astype(np.int64)
-    return field.train(np.concatenate(xs).astype(np.float64), y, first)
+    chars = np.concatenate([np.frombuffer(r["chars"], "<i8") for r in got])
+    return fit_lines(np.concatenate(xs).astype(np.float64), chars, np.array([r["quality"] for r in got], np.int64), first)
 
 
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
