@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from tests.llm.test_operators import by_id, components_of
-from trainframe.llm import bwt, crf, forest, pq, tokens
+from trainframe.llm import bwt, crf, forest, mixing, pq, tokens
 from trainframe.llm.queries import bpe_path
 
 
@@ -152,3 +152,47 @@ def test_line_labels_keep_to_the_share_of_their_document():
     assert crf.relabelled(content, chars, np.array([1, 0, 0]), first).tolist() == [1, 0, 0, 1, 0, 1, 1, 1]
     assert crf.relabelled(content, chars, np.array([1, 0, 1]), first).tolist() == [1, 0, 0, 1, 1, 1, 1, 1]
     assert crf.relabelled(content[:4], chars[:4], np.array([0]), np.array([0, 4])).tolist() == [1, 0, 0, 0]
+
+
+def test_schedule_decides_the_mix(spark):
+    """Slots by golden-ratio points in plain Python; blocks stand where these say, every prefix is near the weights, rows are written by first slot."""
+    rng, block = random.Random(2), 16
+    rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.choice([0, 1, 3, 30, 200]))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sizes = mixing.document_sizes(docs)
+    sources = mixing.targets_of(sizes)
+    known = sorted((r for r in sources.collect() if r["words"] > 0), key=lambda r: r["sid"])
+    need = {r["sid"]: -(-r["words"] // block) for r in known}
+    total, slots, ends = sum(need.values()), {}, np.cumsum(list(need.values())) / sum(need.values())
+    given = dict.fromkeys(need, 0)
+    for i in range(total + 64):
+        sid = list(need)[min(int(np.searchsorted(ends, (i * mixing.GOLDEN) % 1, "right")), len(need) - 1)]
+        if given[sid] < need[sid]:
+            slots[i] = (sid, given[sid])
+            given[sid] += 1
+    late = total + 64
+    for sid, n in need.items():
+        for k in range(given[sid], n):
+            slots[late] = (sid, k)
+            late += 1
+    assert {r["slot"]: (r["sid"], r["k"]) for r in mixing.schedule(sources, block).collect()} == slots
+    mixed = mixing.mix(sizes, sources, block=block).collect()
+    words, first = {}, {}
+    for r in mixed:
+        words[r["slot"]] = words.get(r["slot"], 0) + r["hi"] - r["lo"]
+        first[r["doc_id"], r["nth"]] = min(first.get((r["doc_id"], r["nth"]), r["slot"]), r["slot"])
+    assert words == {i: min(block, next(r["words"] for r in known if r["sid"] == s) - k * block) for i, (s, k) in slots.items()}
+    run = dict.fromkeys(need, 0)
+    for n, i in enumerate(sorted(i for i in slots if i < total), 1):
+        run[slots[i][0]] += 1
+        assert all(abs(run[s] - n * need[s] / total) <= 3 + np.log2(n) for s in need)
+    rows = mixing.mixed_counts(docs, block=block).collect()
+    assert sorted((r["doc_id"], r["first_slot"]) for r in rows if r["taken"]) == sorted((d, i) for (d, _), i in first.items())
+    got = [r["doc_id"] for r in mixing.mixed_documents(docs, block=block).select("doc_id").collect()]
+    turns = {}
+    for r in mixed:
+        turns[r["doc_id"], r["nth"], r["pass"]] = min(turns.get((r["doc_id"], r["nth"], r["pass"]), r["slot"]), r["slot"])
+    assert len(got) == len(turns)
+    passes = [got[:i].count(d) for i, d in enumerate(got)]
+    order = [turns[d, 1, p] for d, p in zip(got, passes, strict=True)]
+    assert order == sorted(order)

@@ -4,7 +4,8 @@ Targets: sources in code point order, null last, share a budget by weight; a sou
 size and the excess is shared among the others. Each source's documents stand in a seeded order as one stream of words,
 cut into blocks of equal size (the last one shorter). Slot i of the schedule belongs to the source whose stretch of the
 cumulative weights holds the fraction of i times the golden ratio; the k-th slot of a source takes its k-th block, going
-round its stream again where the target asks for it. Should the points leave a source short of slots, its last blocks follow at the end.
+round its stream again where the target asks for it. A source leaves the schedule with the slot in which it meets its target; that slot holds the rest only, and
+what no slot holds is not taken. Should the points leave a source short of slots, its last ones follow at the end. The documents of the mix are written by their first slot.
 
 Only the totals per source reach the driver. Positions in a stream and ranks of slots come from sums per block, so a
 source with a third of all rows is split. Null texts have no words and are never taken. Rows with equal doc_id count
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainframe.llm import textscan as T
-from trainframe.llm.store import stored
+from trainframe.llm.store import shuffle_partitions, stored
 
 BLOCK_WORDS = 1024
 SCHEDULE_CHUNK = 1 << 14
@@ -92,12 +93,12 @@ def streams(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
 
 def schedule(sources: DataFrame, block: int) -> DataFrame:
-    """slot, sid, k: the k-th block of a source stands in this slot."""
+    """slot, sid, k and length: the first words of the k-th block of a source stand in this slot, so many of them."""
     spark = sources.sparkSession
     rows = [r for r in sources.orderBy("sid").collect() if r["words"] > 0]
     slots = [-(-r["words"] // block) for r in rows]
     if not rows:
-        return spark.createDataFrame([], "slot long, sid int, k long")
+        return spark.createDataFrame([], "slot long, sid int, k long, length long")
     ends = np.cumsum(slots) / sum(slots)
     sids, need = np.array([r["sid"] for r in rows]), np.array(slots)
     by_sid = np.zeros(int(sids.max()) + 1, np.int64)
@@ -117,40 +118,43 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     ranked = drawn.withColumn("r", rank).join(base, ["sid", "chunk"]).select("slot", "sid", (F.col("r") + F.col("base")).alias("k"))
     got = {r["sid"]: r["n"] for r in per.groupBy("sid").agg(F.sum("count").alias("n")).collect()}
-    limits = spark.createDataFrame([(int(s), int(n), min(int(n), int(got.get(int(s), 0)))) for s, n in zip(sids, need, strict=True)], "sid int, need long, got long")
-    kept = ranked.join(limits, "sid").where("k < need").select("slot", "sid", "k")
-    rest = limits.where("got < need").select((F.lit(total + 64) + F.col("sid")).cast("long").alias("slot"), "sid", F.explode(F.sequence("got", F.col("need") - 1)).alias("k"))
-    return kept.unionByName(rest)
+    have = {int(s): min(int(n), int(got.get(int(s), 0))) for s, n in zip(sids, need, strict=True)}
+    short = np.cumsum([0] + [int(n) - have[int(s)] for s, n in zip(sids, need, strict=True)]).tolist()
+    limits = spark.createDataFrame([(int(s), int(n), have[int(s)], total + 64 + at, int(r["words"])) for s, n, at, r in zip(sids, need, short, rows)], "sid int, need long, got long, late long, words long")
+    length = F.least(F.lit(block), F.col("words") - F.col("k") * block).alias("length")
+    kept = ranked.join(F.broadcast(limits), "sid").where("k < need").select("slot", "sid", "k", length)
+    rest = limits.where("got < need").withColumn("k", F.explode(F.sequence("got", F.col("need") - 1)))
+    return kept.unionByName(rest.select((F.col("late") + F.col("k") - F.col("got")).alias("slot"), "sid", "k", length))
 
 
 def mix(sizes: DataFrame, sources: DataFrame, block: int = BLOCK_WORDS, passes: int = 2, seed: int = 1) -> DataFrame:
     """The mix: slot, doc_id, nth, pass, and the words [lo, hi) of the document that stand in this slot."""
-    placed = streams(sizes, sources, seed).where("size > 0 and words > 0")
+    placed = streams(sizes, sources, seed).where("size > 0")
     turns = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("from", F.col("at") + F.col("pass") * F.col("source_size"))
-    taken = turns.withColumn("to", F.least(F.col("from") + F.col("size"), "words")).where("`from` < to")
-    parts = taken.withColumn("k", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
-    lo, hi = F.greatest("from", F.col("k") * block) - F.col("from"), F.least("to", (F.col("k") + 1) * block) - F.col("from")
-    return parts.select("sid", "k", "doc_id", "nth", "pass", lo.alias("lo"), hi.alias("hi")).join(schedule(sources, block), ["sid", "k"]).drop("k")
+    turns = turns.withColumn("to", F.col("from") + F.col("size"))
+    parts = turns.withColumn("k", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
+    lo, hi = F.greatest("from", F.col("k") * block) - F.col("from"), F.least("to", F.col("k") * block + F.col("length")) - F.col("from")
+    return parts.join(schedule(sources, block), ["sid", "k"]).select("slot", "sid", "doc_id", "nth", "pass", lo.alias("lo"), hi.alias("hi")).where("lo < hi")
 
 
 def mixed_counts(docs: DataFrame, **kw) -> DataFrame:
-    """Per document what the mix takes of it."""
+    """Per document what the mix takes of it, and the first slot that holds some (null: none)."""
     sizes = document_sizes(docs)
     sources = targets_of(sizes)
-    taken = mix(sizes, sources, **kw).groupBy("doc_id", "nth").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    taken = mix(sizes, sources, **kw).groupBy("doc_id", "nth").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.min("slot").alias("first_slot"))
     every = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     got = every["doc_id"].eqNullSafe(taken["doc_id"]) & (every["nth"] == taken["nth"])
-    return every.join(taken, got, "left").select(every["doc_id"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return every.join(taken, got, "left").select(every["doc_id"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The documents of the mix, with their columns: whole, or the words taken of them; a second pass repeats a row."""
+    """The documents of the mix, with their columns, in the order of their first slots: whole, or the words taken of them; a second pass repeats a row."""
     sizes = document_sizes(docs)
     sources = targets_of(sizes)
-    turns = mix(sizes, sources, **kw).groupBy("doc_id", "nth", "pass").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
+    turns = mix(sizes, sources, **kw).groupBy("doc_id", "nth", "pass").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.min("slot").alias("_slot"))
     rows = docs.withColumn("_source", F.col("source").cast("string")).withColumn("_mark", mark_of()).withColumn("_nth", numbered("_source", "_mark")).drop("_source", "_mark")
     names = docs.columns
-    joined = rows.join(turns, rows["doc_id"].cast("long").eqNullSafe(turns["doc_id"]) & (rows["_nth"] == turns["nth"])).select(*[rows[c] for c in names], "_lo", "_hi")
+    joined = rows.join(turns, rows["doc_id"].cast("long").eqNullSafe(turns["doc_id"]) & (rows["_nth"] == turns["nth"])).select(*[rows[c] for c in names], "_lo", "_hi", "_slot", turns["nth"].alias("_nth"))
     at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +173,10 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
                     cols[i] = pa.array([len(t) for t in texts.to_pylist()], cols[i].type)
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(cut, docs.schema)
+    # ranges of slots hold as many words each; their number is known, so nothing is sampled to cut them
+    parts, block = shuffle_partitions(docs), kw.get("block", BLOCK_WORDS)
+    slots = sources.agg(F.sum(F.ceil(F.col("words") / block))).first()[0] or 1
+    dealt = joined.repartitionById(parts, F.least(F.lit(parts - 1), F.floor(F.col("_slot") * parts / slots)).cast("int"))
+    return dealt.sortWithinPartitions("_slot", "doc_id", "_nth", "_lo").mapInArrow(cut, docs.schema)
 
 
