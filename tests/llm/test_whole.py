@@ -1,12 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
 from tests.llm.test_operators import by_id, components_of
-from trainframe.llm import bwt, crf, forest, mixing, pq, tokens
+from trainframe.llm import bwt, crf, forest, mixing, pq, template, tokens
 from trainframe.llm.queries import bpe_path
 
 
@@ -196,3 +197,50 @@ def test_schedule_decides_the_mix(spark):
     passes = [got[:i].count(d) for i, d in enumerate(got)]
     order = [turns[d, 1, p] for d, p in zip(got, passes, strict=True)]
     assert order == sorted(order)
+
+
+def test_slots_of_pages_without_marks(spark):
+    """Title, lead, subtitle and second part are all main text; menu, imprint and a notice on most pages are constant, whatever other pages look like."""
+    menu, imprint = "<div><ul><li>Home</li><li>News</li></ul></div>", "<div><p>Imprint of the paper</p><p>All rights reserved</p></div>"
+    notice = "<div><p>We moved</p><p>to a new</p><p>house</p></div>"
+
+    def page(i, extra=""):
+        return f"<html><body>{menu}<div><h1>Title {i}</h1><p>Lead of {i}.</p>{extra}<h2>Sub {i}</h2><p>Second part {i} is here too.</p></div>{imprint}</body></html>"
+
+    def want(i):
+        return f"Title {i}\nLead of {i}.\nSub {i}\nSecond part {i} is here too."
+
+    hosts = {"six": [page(i) for i in range(6)], "four": [page(i) for i in range(4)], "empty": [page(i) for i in range(6)] + ["", None], "odd": [page(i) for i in range(6)] + ["<p>Other</p>"]}
+    hosts["notice"] = [page(i, notice if i % 3 else "") for i in range(9)]
+    texts = {h: [want(i) for i in range(len(p))] for h, p in hosts.items()}
+    texts["empty"][6:] = ["", ""]
+    texts["odd"][6] = "Other"
+    hosts["equal"] = [page(1)] * 6
+    texts["equal"] = [f"Home\nNews\n{want(1)}\nImprint of the paper\nAll rights reserved"] * 6
+    story = "".join(f"<p>Part {k} of a story that all pages of this host print.</p>" for k in range(5))
+    hosts["copied"] = [f"<html><body>{menu}<article><h1>Edition {i}</h1>{story}</article></body></html>" for i in range(6)]
+    texts["copied"] = ["\n".join([f"Edition {i}", *(f"Part {k} of a story that all pages of this host print." for k in range(5))]) for i in range(6)]
+    rows = [(n, f"http://{h}.example.com/{i}", p) for n, (h, i, p) in enumerate((h, i, p) for h in hosts for i, p in enumerate(hosts[h]))]
+    got = by_id(template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert [got[n]["text"] for n, *_ in rows] == [t for h in hosts for t in texts[h]]
+
+
+def test_classes_by_brute_force(spark):
+    """Root and nested classes equal those of whole occurrence vectors."""
+    rng = random.Random(5)
+    pages = []
+    for i in range(40):
+        parts = ["<div><p>a</p><p>b</p><p>c</p></div>"] + ["<div><p>d</p><p>e</p><p>f</p></div>"] * (i % 4 > 0) + ["<div><p>g</p><p>h</p><p>i</p></div>"] * (i % 3 == 0) + [f"<p>{rng.random()}</p>"]
+        pages.append((i, "http://x.example/", "".join(parts)))
+    vectors = {}
+    for i, _, source in pages:
+        for token, n in Counter(t[0] for t in template.Page(source).tokens if t[0]).items():
+            vectors.setdefault(token, [0] * 40)[i] = n
+    classes = {}
+    for token, v in vectors.items():
+        classes.setdefault(tuple(v), set()).add(token)
+    valid = {v: c for v, c in classes.items() if sum(n > 0 for n in v) >= template.SUPPORT and len(c) >= template.LARGE}
+    top = max((v for v in valid if max(v) == 1), key=lambda v: (sum(v), len(valid[v])))
+    row = template.templates(spark.createDataFrame(pages, "page_id long, url string, html string")).first()
+    assert set(row["root"]) == valid[top]
+    assert {frozenset(c) for c in row["nested"] or []} == {frozenset(c) for v, c in valid.items() if v != top and 2 * sum(n > 0 for n in v) >= sum(top)}
