@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trainframe.operators import position
 from trainframe.operators import sampling as S
 
 
@@ -107,3 +108,20 @@ def test_rows_far_from_the_places_read_are_left_out(spark):
     whole = {r["pos"]: r["id"] for r in S.passes_shuffle(spark.range(5000), "id", parts.select("pass_no")).collect()}
     got = S.elastic_resume(orders, parts).collect()
     assert sorted(r["pos"] for r in got) == list(range(40, 70)) and all(whole[r["pos"]] == r["id"] for r in got)
+
+
+@pytest.mark.parametrize("digits,join", [(2, "BroadcastHashJoin"), (4, "SortMergeJoin")])
+def test_rows_of_a_small_file_are_not_broadcast(spark, tmp_path, digits, join):
+    """A file of a few kB stands for many rows once each is repeated per pass; what is broadcast is the table of buckets, or nothing."""
+    path = str(tmp_path / "ids")
+    spark.range(3000).write.parquet(path)
+    ids = spark.read.parquet(path).withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    ranges = spark.createDataFrame([(0, 100, 900), (2, 0, 5), (2, 2500, 3000)], "pass_no int, first long, stop long")
+    key = position.seeded_key(7, "pass_no", "id")
+    got = position.hash_position(ids, key, ["id"], by=["pass_no"], digits=digits, ranges=ranges)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    lines = [x for x in plan.splitlines() if "_bucket" in x and "Join" in x and "Inner" in x]
+    assert lines and join in lines[0] and "BuildLeft" not in lines[0]
+    every = position.hash_position(ids, key, ["id"], by=["pass_no"], digits=digits)
+    inside = "(pass_no = 0 and pos >= 100 and pos < 900) or (pass_no = 2 and (pos < 5 or pos >= 2500))"
+    assert sorted(got.filter(inside).collect()) == sorted(every.filter(inside).collect())

@@ -69,7 +69,9 @@ def hash_position(
 
     ``digits`` leading hex digits make 16**digits even buckets, by default as ``hash_digits`` says.
     ``total`` names a column for the number of rows. With ``ranges`` (by.., first, stop), which need ``by``, buckets without a position in
-    one of the ranges are left out before anything is shuffled or sorted; a few rows beside the ranges may remain.
+    one of the ranges are left out before anything is sorted, and before the shuffle where the table of buckets is small
+    (``MAX_BUCKETS`` rows); a few rows beside the ranges may remain. The rows themselves are never broadcast, however small
+    their files are.
     """
     digits = digits or hash_digits(df)
     if not 1 <= digits <= 4:
@@ -86,7 +88,9 @@ def hash_position(
     else:
         reached = (F.col("first") < F.col("_before") + F.col("_n")) & (F.col("stop") > F.col("_before"))
         near = _offsets(counts, by, "_bucket", "_n", keep=["_n"]).join(ranges, by).filter(reached).select(*by, "_bucket", "_before", "_total").distinct()
-        placed = keyed.join(near, [*by, "_bucket"]).withColumn("_row", F.row_number().over(inside))
+        small = ranges.select(*by).distinct().count() * 16**digits <= MAX_BUCKETS
+        met = keyed.join(F.broadcast(near), [*by, "_bucket"]) if small else keyed.hint("merge").join(near, [*by, "_bucket"])
+        placed = met.withColumn("_row", F.row_number().over(inside))
     placed = placed.withColumn(out, F.col("_before") + F.col("_row") - 1)
     if total:
         placed = placed.withColumn(total, F.col("_total"))
