@@ -40,3 +40,54 @@ def test_ranking_metrics_by_hand(spark):
     assert m.loc[2, "hit"] == 1 and abs(m.loc[2, "ndcg"] - 0.5) < 1e-12
     m = R.user_metrics(spark.createDataFrame(rows, "user int, position int, item int, score double"), 2).toPandas().set_index("user")
     assert m.loc[1, "hit"] == 0 and m.loc[1, "ndcg"] == 0
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10000])
+@pytest.mark.parametrize("most", [0, 300, 1 << 20])
+def test_negatives_of_split_batches_and_full_slots(spark, batch, most):
+    """Users over several Arrow batches, repeated rows, a user without positives, a null item among the features; slots over their limit go by blocks."""
+    import hashlib
+
+    items = 50
+    own = {u: sorted({(u * 7 + i * i) % items for i in range(u % 9 * 5)}) for u in range(1, 30)} | {30: list(range(items))}
+    pos = spark.createDataFrame([(u, i) for u, s in own.items() for i in s], "user int, item long")
+    rows = [(u, i) for u, s in own.items() for i in s[:3]] + [(2, 7), (2, 7), (99, 4), (3, None)]
+    feats = spark.createDataFrame(rows, "user int, item long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = I.negatives(feats, pos, F.lit(items), 4, seed=2, most=most)
+        assert df.schema.simpleString() == "struct<user:int,item:bigint,ng_no:int,neg:bigint>"
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    expected = []
+    for u, i in rows:
+        gone = _missing(own.get(u, []), items)
+        for k in range(1, 5) if gone else ():
+            h = hashlib.md5("|".join(str(x) for x in (2, u, i, k) if x is not None).encode()).hexdigest()
+            expected.append((u, i, k, gone[int(h[:15], 16) % len(gone)]))
+    key = lambda r: (r[0], -1 if r[1] is None else r[1], *r[2:])
+    assert sorted(got, key=key) == sorted(expected, key=key)
+
+
+def test_repeated_positives_count_each(spark):
+    """A positive told twice takes one more of the user's items, whichever way the draws go."""
+    pos = spark.createDataFrame([(1, 3), (1, 3), (1, 8)], "user long, item long")
+    feats = spark.createDataFrame([(1, i) for i in range(20)], "user long, item long")
+    few, large = (sorted(I.negatives(feats, pos, F.lit(12), 3, seed=1, most=m).collect()) for m in (1 << 20, 0))
+    assert few == large and len(few) == 60
+
+
+def test_null_user_fails_the_job(spark):
+    good = spark.createDataFrame([(1, 3)], "user long, item long")
+    for bad in ([(None, 1)], [(1, None)]):
+        with pytest.raises(Exception, match="null group or order key"):
+            I.negatives(good, spark.createDataFrame(bad, "user long, item long"), F.lit(9), 2).collect()
+
+
+def test_draws_are_made_behind_the_last_shuffle(spark):
+    """What is shuffled is positives and feature rows, not a row per draw."""
+    pos = spark.createDataFrame([(1, 0), (2, 1)], "user long, item long")
+    plan = I.negatives(pos, pos, F.lit(10), 99)._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" in plan and plan.index("Generate") < plan.index("Exchange")

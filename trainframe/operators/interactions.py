@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,10 @@ from trainframe.operators.blocked import running, step_block
 from trainframe.operators.position import seeded_draw
 from trainframe.session import for_compute, written
 
+# Slots of users, and the positives and draws that a slot may hold to be worked on by one task.
+SLOTS = 65536
+MOST_ROWS = 1 << 20
+
 
 def distinct_interactions(df: DataFrame) -> DataFrame:
     """Distinct (user, item) pairs."""
@@ -20,15 +29,89 @@ def cardinality(df: DataFrame) -> DataFrame:
     return df.agg((F.max("user") + 1).alias("user_num"), (F.max("item") + 1).alias("item_num"))
 
 
-def negatives(features: DataFrame, positives: DataFrame, item_num: Column, num_ng: int, seed: int = 0) -> DataFrame:
+def negatives(features: DataFrame, positives: DataFrame, item_num: Column, num_ng: int, seed: int = 0, most: int = MOST_ROWS) -> DataFrame:
     """(user, item, ng_no, neg): ``num_ng`` uniform items per feature row that the user has no interaction with.
 
     A draw r is uniform over the user's missing items, and the r-th missing item is r plus the number of
-    positives whose item less its rank among the positives is at most r. That count is a running sum
-    over positives and draws merged in value order, cut in blocks, so no user's items are gathered
-    in one place and no draw is repeated. A user who has every item gets no rows. ``features`` and ``positives``
-    are read several times, so hand over stored tables; the draws are made once and stored.
+    positives whose item less its rank among the positives is at most r. A user who has every item gets no rows.
+
+    Users are dealt to ``SLOTS`` slots. Those of a slot with at most ``most`` positives and draws in all are sorted by user
+    once, positives first, and each task merges its users' draws with their positives, so that no draw is shuffled.
+    In other slots the count is a running sum over positives and draws merged in value order, cut in blocks, so
+    that no large user's items are gathered in one place. ``features`` and ``positives`` are read several times, so hand
+    over stored tables.
     """
+    items = features.sparkSession.range(1).select(item_num.cast("long")).first()[0]
+    absent = F.col("user").isNull() | F.floor("item").isNull()
+    slot = F.pmod(F.xxhash64("user"), F.lit(SLOTS)).cast("int")
+    pos = positives.withColumn("_slot", F.when(absent, F.raise_error("null group or order key").cast("int")).otherwise(slot))
+    feats = features.withColumn("_slot", F.when(F.col("user").isNull(), F.raise_error("null group or order key").cast("int")).otherwise(slot))
+    if items is None:
+        feats = feats.filter(F.lit(False))
+    loads = pos.select("_slot", F.lit(1).alias("_n")).unionByName(feats.select("_slot", F.lit(num_ng).alias("_n")))
+    full = [r[0] for r in loads.groupBy("_slot").agg(F.sum("_n").alias("_n")).filter(F.col("_n") > most).select("_slot").collect()]  # at most SLOTS
+    if not full:
+        return _merged_draws(feats, pos, items or 0, num_ng, seed)
+    large = F.col("_slot").isin(full)
+    few = _merged_draws(feats.filter(~large), pos.filter(~large), items or 0, num_ng, seed)
+    return few.unionByName(_running_draws(feats.filter(large), pos.filter(large), F.lit(items or 0), num_ng, seed))
+
+
+def _merged_draws(features: DataFrame, positives: DataFrame, items: int, num_ng: int, seed: int) -> DataFrame:
+    """Draws of users whose rows fit one task."""
+    rows = positives.select("user", "item", F.lit(0).alias("_kind")).unionByName(features.select("user", "item", F.lit(1).alias("_kind")))
+    rows = for_compute(rows, "user").sortWithinPartitions("user", "_kind", "item")
+    numbers = F.when(F.col("_kind") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(num_ng)))
+    rows = rows.withColumn("ng_no", F.explode(numbers))
+    value = F.when(F.col("_kind") == 0, F.col("item").cast("long")).otherwise(seeded_draw(seed, "user", "item", "ng_no"))
+    rows = rows.select("user", "item", "ng_no", "_kind", value.alias("_value"))
+
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, owned, gaps = None, np.zeros(0, np.int64), None  # the user a batch ended in, its positives so far, their sorted gaps
+        for part in parts:
+            n = part.num_rows
+            if not n:
+                continue
+            user = part.column(0)
+            starts = np.r_[0, np.flatnonzero(pc.not_equal(user.slice(1), user.slice(0, n - 1)).to_numpy(zero_copy_only=False)) + 1]
+            group = np.zeros(n, np.int64)
+            group[starts[1:]] = 1
+            group = np.cumsum(group)
+            value, draw = part.column(4).to_numpy(zero_copy_only=False), part.column(3).to_numpy() == 1
+            held = np.bincount(group[~draw], minlength=len(starts))  # positives of each user
+            passed, free = np.zeros(n, np.int64), items - held
+            went_on = last is not None and user[0].as_py() == last
+            end = starts[1] if len(starts) > 1 else n
+            if went_on:  # the first user has rows in earlier batches
+                new = value[:end][~draw[:end]]
+                if len(new):
+                    owned, gaps = np.r_[owned, new], None
+                free[0] = items - len(owned)
+            taken = draw & (free[group] > 0)
+            value = np.where(taken, value % np.maximum(free, 1)[group], value)
+            if went_on and taken[:end].any():
+                gaps = np.sort(owned - np.arange(len(owned))) if gaps is None else gaps
+                passed[:end] = np.searchsorted(gaps, value[:end], "right")
+            at = end if went_on else 0
+            if at < n:
+                g, d = group[at:], draw[at:]
+                rank = np.arange(at, n) - starts[g]
+                key = np.where(d, value[at:], value[at:] - rank)
+                order = np.lexsort((d, key, g))
+                count = np.cumsum(~d[order])
+                before = np.cumsum(held)[g[order]] - held[g[order]] - (held[0] if went_on else 0)
+                passed[at:][order] = count - before
+                tail = slice(starts[-1], n)
+                last, owned, gaps = user[n - 1].as_py(), value[tail][~draw[tail]], None
+            kept = part.select([0, 1, 2]).filter(pa.array(taken))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array((value + passed)[taken])], ["user", "item", "ng_no", "neg"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(merge, f"user {kinds['user']}, item {kinds['item']}, ng_no int, neg long")
+
+
+def _running_draws(features: DataFrame, positives: DataFrame, item_num: Column, num_ng: int, seed: int) -> DataFrame:
+    """Draws by a running sum in blocks, for users of any size; the draws are made once and stored."""
     ranked = running(positives, ["user"], ["item"], step_block("item"), sums={"_rank": F.lit(1)}, exclusive=True)
     gaps = ranked.select("user", (F.col("item") - F.coalesce("_rank", F.lit(0))).alias("_v"), F.lit(0).alias("_draw"),
                          "item", F.lit(0).alias("ng_no"))
