@@ -138,3 +138,20 @@ def test_nested_pod_and_node_records(spark, tmp_path):
     assert bare["node"] is None and bare["containers"] is None and bare["conditions"] is None
     (tmp_path / "nodes.json").write_text(json.dumps({"metadata": {"name": "n0"}, "status": {"allocatable": {"cpu": "4"}}}))
     assert [tuple(r) for r in D.nodes(spark, str(tmp_path / "nodes.json")).collect()] == [("n0", {"cpu": "4"}, None)]
+
+
+def test_pod_records_are_stored_compressed(spark, tmp_path, monkeypatch):
+    """Records as JSON take many times their table, so the files are compressed, and cut by records as one task reads a file."""
+    from trainframe.plans import flows
+
+    spark.sql("select id as l_orderkey, id % 3 + 1 as l_suppkey, cast(1 as int) as l_linenumber, 2.0D as l_quantity, 0.05D as l_discount, if(id % 4 = 0, 'R', 'N') as l_returnflag from range(1000)").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("select id + 1 as s_suppkey from range(3)").write.parquet(str(tmp_path / "supplier.parquet"))
+    paths = {}
+    monkeypatch.setattr(flows, "scratch", lambda s, name: paths.setdefault(name, str(tmp_path / name)))
+    monkeypatch.setattr(flows, "FILE_RECORDS", 50, raising=False)
+    got = {(r["node"], r["resource"]): r["amount"] for r in flows.node_free_from_files(spark, str(tmp_path)).collect()}
+    live = sum(1 for i in range(1000) if i % 3 == 0 and i % 4)
+    assert got[1, "cpu"] == 5000 - 2 * live and got[1, "pods"] == 1000 - live
+    files = list((tmp_path / "pods").glob("part-*"))
+    assert len(files) >= 20 and all(f.name.endswith(".json.gz") for f in files)
+    assert sum(f.stat().st_size for f in files) < 100 * 1000

@@ -167,6 +167,10 @@ def job_file(spark, sf):
     )
 
 
+# Records in a compressed file, which one task reads.
+FILE_RECORDS = 1 << 20
+
+
 def node_free_from_files(spark, sf):
     """Pods and nodes written as nested JSON, read back flat, and the capacity that is left."""
     box = lambda c: F.struct(c["name"].alias("name"), F.struct(c["requests"].alias("requests"), c["limits"].alias("limits")).alias("resources"))
@@ -176,8 +180,8 @@ def node_free_from_files(spark, sf):
     )
     node = _nodes(spark, sf).select(F.struct(F.col("node").cast("string").alias("name")).alias("metadata"), F.struct("allocatable").alias("status"))
     pod_path, node_path = scratch(spark, "pods"), scratch(spark, "nodes")
-    pod.write.json(pod_path)
-    node.write.json(node_path)
+    for df, path in ((pod, pod_path), (node, node_path)):
+        df.write.option("maxRecordsPerFile", FILE_RECORDS).json(path, compression="gzip")
     return R.node_free(D.nodes(spark, node_path), D.pods(spark, pod_path)).withColumn("node", F.col("node").cast("bigint"))
 
 
