@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.llm.test_operators import by_id, components_of
 from trainframe.llm import bwt, crf, forest, mixing, pq, template, tokens
@@ -244,3 +245,17 @@ def test_classes_by_brute_force(spark):
     row = template.templates(spark.createDataFrame(pages, "page_id long, url string, html string")).first()
     assert set(row["root"]) == valid[top]
     assert {frozenset(c) for c in row["nested"] or []} == {frozenset(c) for v, c in valid.items() if v != top and 2 * sum(n > 0 for n in v) >= sum(top)}
+
+
+def test_texts_are_numbered_without_a_shuffle_unless_ids_repeat(spark):
+    """Only texts of repeated doc_ids meet the window; with many of them all do. Both ways number alike, null ids too."""
+    rows = [(i, f"t{i}", "a") for i in range(40)] + [(3, "other", "b"), (3, "x", "a"), (None, "n", "a"), (None, "m", "b"), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = mixing.document_sizes(docs)
+    got = mixing._numbered_rows(docs, sizes)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange hashpartitioning" not in plan.split("Window")[0]
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(got) == key(mixing._numbered_rows(docs, sizes, few=0))
+    assert key(sizes.select("doc_id", "source", "nth")) == key(got.select("doc_id", "source", F.col("_nth").alias("nth")))
+    assert mixing.mixed_documents(docs).agg(F.count_distinct("doc_id")).first()[0] == mixing.mixed_counts(docs).where("taken > 0").agg(F.count_distinct("doc_id")).first()[0]

@@ -28,6 +28,7 @@ from trainframe.llm.store import shuffle_partitions, stored
 BLOCK_WORDS = 1024
 SCHEDULE_CHUNK = 1 << 14
 GOLDEN = 0.6180339887498949
+FEW_IDS = 1 << 16
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -147,12 +148,23 @@ def mixed_counts(docs: DataFrame, **kw) -> DataFrame:
     return every.join(taken, got, "left").select(every["doc_id"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
 
 
+def _numbered_rows(docs: DataFrame, sizes: DataFrame, few: int = FEW_IDS) -> DataFrame:
+    """The documents with _nth. Only texts whose doc_id comes again are shuffled for it, or all, where more than ``few`` ids do."""
+    again = stored(sizes.where("nth > 1").select(F.col("doc_id").alias("_again")).distinct(), "again")
+    every = docs.withColumn("_nth", F.lit(1))
+    number = lambda df: df.withColumn("_source", F.col("source").cast("string")).withColumn("_mark", mark_of()).withColumn("_nth", numbered("_source", "_mark")).drop("_source", "_mark")
+    if again.count() > few:
+        return number(docs)
+    same = docs["doc_id"].cast("long").eqNullSafe(again["_again"])
+    return every.join(F.broadcast(again), same, "left_anti").unionByName(number(docs.join(F.broadcast(again), same, "left_semi")))
+
+
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The documents of the mix, with their columns, in the order of their first slots: whole, or the words taken of them; a second pass repeats a row."""
     sizes = document_sizes(docs)
     sources = targets_of(sizes)
     turns = mix(sizes, sources, **kw).groupBy("doc_id", "nth", "pass").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.min("slot").alias("_slot"))
-    rows = docs.withColumn("_source", F.col("source").cast("string")).withColumn("_mark", mark_of()).withColumn("_nth", numbered("_source", "_mark")).drop("_source", "_mark")
+    rows = _numbered_rows(docs, sizes)
     names = docs.columns
     joined = rows.join(turns, rows["doc_id"].cast("long").eqNullSafe(turns["doc_id"]) & (rows["_nth"] == turns["nth"])).select(*[rows[c] for c in names], "_lo", "_hi", "_slot", turns["nth"].alias("_nth"))
     at = names.index("text")
