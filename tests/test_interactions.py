@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trainframe import session
 from trainframe.operators import interactions as I
 from trainframe.operators import ranking as R
 
@@ -91,3 +92,24 @@ def test_draws_are_made_behind_the_last_shuffle(spark):
     pos = spark.createDataFrame([(1, 0), (2, 1)], "user long, item long")
     plan = I.negatives(pos, pos, F.lit(10), 99)._jdf.queryExecution().sparkPlan().toString()
     assert "Generate" in plan and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
+    """Pairs and draws go to as many tasks as their rows ask for, which the number of shuffle partitions does not bound."""
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    pos = spark.range(400).select(F.col("id").alias("user"), (F.col("id") % 7).alias("item"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user" in plan(I.distinct_interactions(pos, 700)) and ", 70), REPARTITION_BY_NUM" in plan(I.distinct_interactions(pos, 700))
+    assert ", 120), REPARTITION_BY_NUM" in plan(I.negatives(pos, pos, F.lit(9), 2))  # 400 positives and 800 draws
+    assert I.distinct_interactions(pos.unionByName(pos), 800).count() == 400
+
+
+@pytest.mark.parametrize("most", [0, 30, 1 << 20])
+def test_features_that_are_the_positives_travel_once(spark, most):
+    rows = [(u, (u * i * i) % 50) for u in range(1, 40) for i in range(u % 9)] + [(5, 1), (5, 1)]
+    pos = spark.createDataFrame(rows, "user long, item long")
+    other = pos.select("*")
+    one, two = (sorted(map(tuple, I.negatives(f, pos, F.lit(50), 3, seed=2, most=most).collect())) for f in (pos, other))
+    assert one == two and len(one) == 3 * len(rows)
+    plan = I.negatives(pos, pos, F.lit(50), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(user") == 1 and "Union" not in plan

@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from trainframe.operators.blocked import running, step_block
 from trainframe.operators.position import seeded_draw
-from trainframe.session import for_compute, written
+from trainframe.session import for_compute, sized, written
 
 # Slots of users, and the positives and draws that a slot may hold to be worked on by one task.
 SLOTS = 65536
 MOST_ROWS = 1 << 20
 
 
-def distinct_interactions(df: DataFrame) -> DataFrame:
-    """Distinct (user, item) pairs."""
-    return df.select("user", "item").dropDuplicates()
+def distinct_interactions(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Distinct (user, item) pairs. With the number of rows of ``df`` the tasks grow in number, not in size."""
+    pairs = df.select("user", "item")
+    return (pairs if rows is None else sized(pairs, rows, "user", "item")).dropDuplicates()
 
 
 def cardinality(df: DataFrame) -> DataFrame:
@@ -48,19 +49,25 @@ def negatives(features: DataFrame, positives: DataFrame, item_num: Column, num_n
     feats = features.withColumn("_slot", F.when(F.col("user").isNull(), F.raise_error("null group or order key").cast("int")).otherwise(slot))
     if items is None:
         feats = feats.filter(F.lit(False))
+    same = features is positives and items is not None  # then the rows travel once
     loads = pos.select("_slot", F.lit(1).alias("_n")).unionByName(feats.select("_slot", F.lit(num_ng).alias("_n")))
-    full = [r[0] for r in loads.groupBy("_slot").agg(F.sum("_n").alias("_n")).filter(F.col("_n") > most).select("_slot").collect()]  # at most SLOTS
+    slots = loads.groupBy("_slot").agg(F.sum("_n").alias("_n"))
+    rows, full = slots.agg(F.sum("_n"), F.collect_list(F.when(F.col("_n") > most, F.col("_slot")))).first()  # at most SLOTS
     if not full:
-        return _merged_draws(feats, pos, items or 0, num_ng, seed)
+        return _merged_draws(None if same else feats, pos, items or 0, num_ng, seed, rows or 0)
     large = F.col("_slot").isin(full)
-    few = _merged_draws(feats.filter(~large), pos.filter(~large), items or 0, num_ng, seed)
+    few = _merged_draws(None if same else feats.filter(~large), pos.filter(~large), items or 0, num_ng, seed, rows)
     return few.unionByName(_running_draws(feats.filter(large), pos.filter(large), F.lit(items or 0), num_ng, seed))
 
 
-def _merged_draws(features: DataFrame, positives: DataFrame, items: int, num_ng: int, seed: int) -> DataFrame:
-    """Draws of users whose rows fit one task."""
-    rows = positives.select("user", "item", F.lit(0).alias("_kind")).unionByName(features.select("user", "item", F.lit(1).alias("_kind")))
-    rows = for_compute(rows, "user").sortWithinPartitions("user", "_kind", "item")
+def _merged_draws(features: DataFrame | None, positives: DataFrame, items: int, num_ng: int, seed: int, count: int) -> DataFrame:
+    """Draws of users whose rows fit one task; ``count`` positives and draws in all. Without features each positive is one."""
+    if features is None:
+        rows = sized(positives.select("user", "item"), count, "user").withColumn("_kind", F.explode(F.array(F.lit(0), F.lit(1))))
+    else:
+        rows = positives.select("user", "item", F.lit(0).alias("_kind")).unionByName(features.select("user", "item", F.lit(1).alias("_kind")))
+        rows = sized(rows, count, "user")
+    rows = rows.sortWithinPartitions("user", "_kind", "item")
     numbers = F.when(F.col("_kind") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(num_ng)))
     rows = rows.withColumn("ng_no", F.explode(numbers))
     value = F.when(F.col("_kind") == 0, F.col("item").cast("long")).otherwise(seeded_draw(seed, "user", "item", "ng_no"))

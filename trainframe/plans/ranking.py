@@ -5,12 +5,19 @@ from pyspark.sql import functions as F
 from trainframe.operators import interactions as I
 from trainframe.operators import ranking as R
 from trainframe.operators.position import seeded_draw
-from trainframe.session import table, written
+from trainframe.session import sized, table, written
 
 
-def _bought(spark, sf):
+def _orders_and_lines(spark, sf):
+    """Orders and their lines, dealt alike to as many tasks as the number of lines asks for, and that number."""
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("user"), "o_orderdate")
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("item"))
+    n = li.count()
+    return sized(o, n, "o_orderkey"), sized(li, n, "o_orderkey"), n
+
+
+def _bought(spark, sf):
+    o, li, _ = _orders_and_lines(spark, sf)
     return o.join(li, "o_orderkey")
 
 
@@ -19,12 +26,13 @@ def _item_num(df):
 
 
 def _pairs(spark, sf):
-    """Distinct pairs, stored once for the several reads of the sampling."""
-    return written(I.distinct_interactions(_bought(spark, sf)), "pairs")
+    """Distinct pairs, stored once for the several reads of the sampling; sorted, so that they compress."""
+    return written(distinct_interactions(spark, sf).sortWithinPartitions("user", "item"), "pairs")
 
 
 def distinct_interactions(spark, sf):
-    return I.distinct_interactions(_bought(spark, sf))
+    o, li, n = _orders_and_lines(spark, sf)
+    return I.distinct_interactions(o.join(li, "o_orderkey"), n)
 
 
 def cardinality(spark, sf):
@@ -43,8 +51,9 @@ def negatives(spark, sf):
 def negatives_are_new(spark, sf):
     """Drawn items that the user did interact with, counted per user: all zero."""
     pos = _pairs(spark, sf)
-    negs = I.negatives(pos, pos, _item_num(pos), 4, seed=3)
-    seen = pos.withColumnRenamed("item", "neg").withColumn("seen", F.lit(1))
+    n = 5 * pos.count()
+    negs = sized(I.negatives(pos, pos, _item_num(pos), 4, seed=3), n, "user", "neg")
+    seen = sized(pos.withColumnRenamed("item", "neg").withColumn("seen", F.lit(1)), n, "user", "neg")
     return negs.join(seen, ["user", "neg"], "left").groupBy("user").agg(
         F.count("*").alias("drawn"), F.coalesce(F.sum("seen"), F.lit(0)).alias("clashes")
     )

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows that a task of a sized shuffle sorts or hashes.
+TASK_ROWS = 1 << 19
+
 
 def build_session(app: str = "trainframe", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution on. On a cluster leave ``master`` and ``partitions`` unset."""
@@ -76,6 +79,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def sized(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Hash-partition ``rows`` rows into tasks of about ``TASK_ROWS``, so that what a task sorts or hashes stays in memory.
+
+    Adaptive execution merges partitions by their compressed bytes, and a fixed number of them grows with the input;
+    both let tasks spill.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def for_compute(df: DataFrame, *keys: str) -> DataFrame:
     """Spread small rows that each cost much time evenly, so adaptive execution does not merge them by size."""
     n = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
