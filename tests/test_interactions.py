@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from trainframe import session
 from trainframe.operators import interactions as I
 from trainframe.operators import ranking as R
+from trainframe.plans import ranking as plan_ranking
 
 
 def _missing(owned, items):
@@ -113,3 +114,14 @@ def test_features_that_are_the_positives_travel_once(spark, most):
     assert one == two and len(one) == 3 * len(rows)
     plan = I.negatives(pos, pos, F.lit(50), 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(user") == 1 and "Union" not in plan
+
+
+def test_last_item_by_orders_is_the_last_of_all_lines(spark, tmp_path):
+    """Two orders on one day, repeated orders and lines, null items, a null user, lines without an order."""
+    orders = [(1, 1, "2020-01-01"), (2, 1, "2020-01-01"), (3, 1, "2019-01-01"), (4, 2, "2020-05-01"), (4, 2, "2020-05-01"), (5, 3, None), (6, 3, "2018-01-01"), (7, 4, "2018-01-01"), (8, None, "2018-01-01")]
+    lines = [(1, 5), (1, 9), (2, 7), (3, 50), (4, 3), (4, None), (5, 8), (6, 2), (6, 2), (7, None), (8, 4), (None, 6), (99, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    expected = I.hold_out_last(plan_ranking._bought(spark, str(tmp_path)), "o_orderdate")
+    got = {tuple(r) for r in plan_ranking._truth(spark, str(tmp_path)).collect()}
+    assert got == {tuple(r) for r in expected.collect()} == {(1, 9), (2, 3), (3, 2), (4, None), (None, 4)}
