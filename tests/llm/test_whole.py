@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -259,3 +260,31 @@ def test_texts_are_numbered_without_a_shuffle_unless_ids_repeat(spark):
     assert key(got) == key(mixing._numbered_rows(docs, sizes, few=0))
     assert key(sizes.select("doc_id", "source", "nth")) == key(got.select("doc_id", "source", F.col("_nth").alias("nth")))
     assert mixing.mixed_documents(docs).agg(F.count_distinct("doc_id")).first()[0] == mixing.mixed_counts(docs).where("taken > 0").agg(F.count_distinct("doc_id")).first()[0]
+
+
+def test_runs_part_by_part(monkeypatch):
+    """Runs and their hashes do not depend on the parts, and a large chunk takes little memory beside its runs."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 123, 4 << 20, dtype=np.uint8)
+    sizes = rng.integers(0, 3000, 2000)
+    sizes[[3, 700]] = 0, 20000
+    ends = np.cumsum(sizes)
+    few = data[: ends[-1]]
+
+    def all_of():
+        first, count, m, doc = bwt.runs(few, ends)
+        return first, count, m, doc, bwt.run_hashes(few, ends, first, count + bwt.LENGTH - 1)
+
+    expected = all_of()
+    for part in (1, 5000, 1 << 40):
+        monkeypatch.setattr(bwt, "SLICE_BYTES", part)
+        for a, b in zip(all_of(), expected, strict=True):
+            assert a.dtype == b.dtype and np.array_equal(a, b)
+    monkeypatch.undo()
+    assert [len(a) for a in bwt.runs(few[:0], ends[:0])] == [0] * 4
+    tracemalloc.start()
+    first, count, _, _ = bwt.runs(data, np.arange(4096, len(data) + 1, 4096))
+    bwt.run_hashes(data, np.arange(4096, len(data) + 1, 4096), first, count + bwt.LENGTH - 1)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 12 * len(data)

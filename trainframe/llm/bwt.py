@@ -32,6 +32,7 @@ LENGTH, GRAM = 50, 16
 CHUNK_BYTES = 4 << 20
 GROUP_BYTES = 4 << 20
 LAST = 2**63 - 1
+SLICE_BYTES = 1 << 20
 _BLOCK = 1 << 18
 
 
@@ -66,8 +67,38 @@ def _at(h: np.ndarray, shift: int, n: int) -> np.ndarray:
     return np.concatenate([got, np.zeros(n - len(got), np.uint64)]) if len(got) < n else got[:n]
 
 
+def parts_of(ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """First and last document (exclusive) and byte of parts of about ``SLICE_BYTES``; a longer document is a part of its own.
+
+    The arrays of eight bytes for each byte that are worked with then stay small however large a chunk is.
+    """
+    at, lo = 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, lo + SLICE_BYTES, "right")))
+        yield at, to, lo, int(ends[to - 1])
+        at, lo = to, int(ends[to - 1])
+
+
+def run_hashes(data: np.ndarray, ends: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each run, part by part; ``first`` rises and no run goes beyond one of the ``ends``."""
+    out = np.empty(len(first), np.uint64)
+    for _, _, lo, hi in parts_of(ends):
+        a, b = np.searchsorted(first, (lo, hi))
+        out[a:b] = T.span_hash(data[lo:hi], first[a:b] - lo, first[a:b] + size[a:b] - lo)
+    return out
+
+
 def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring strings of one document and one minimizer: first start, count, minimizer, document."""
+    got = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for a, b, lo, hi in parts_of(ends):
+        first, count, m, doc = _runs(data[lo:hi], ends[a:b] - lo, length)
+        got.append((first + lo, count, m, doc + a))
+    first, count, m, doc = (np.concatenate(g) for g in zip(*got, strict=True))
+    return first, count, m, doc
+
+
+def _runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     m = minimizers(data, length)
     if not len(m):
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -247,7 +278,8 @@ def shared_minimizers(table: DataFrame, buckets: int, length: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 _, ends, data = _opened(row)
                 _, _, m, doc = runs(data, ends, length)
                 bucket, q = _keys(m, buckets)
@@ -297,7 +329,8 @@ def earlier_copies(table: DataFrame, shared: DataFrame, buckets: int, groups: in
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 ids, ends, data = _opened(row)
                 mine = [w for w in row["shared"] if w["part"] == row["part"]]
                 if not mine:
@@ -309,7 +342,7 @@ def earlier_copies(table: DataFrame, shared: DataFrame, buckets: int, groups: in
                 hit = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
                 first, count, m, doc = first[hit], count[hit], m[hit], doc[hit]
                 size = count + length - 1
-                h = T.span_hash(data, first, first + size)
+                h = run_hashes(data, ends, first, size)
                 order = np.lexsort((ids[doc], h))
                 new = np.concatenate([[True], h[order][1:] != h[order][:-1]])[: len(h)]
                 one = order[new]  # equal runs of a part once, with its smallest doc_id
@@ -334,7 +367,8 @@ def earlier_copies(table: DataFrame, shared: DataFrame, buckets: int, groups: in
         size = np.concatenate(sizes)
         data = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8)
         begin = np.cumsum(size) - size
-        keys = T.span_hash(data, begin, begin + size)
+        ends = np.cumsum(size)
+        keys = run_hashes(data, ends, begin, size)
         # equal runs of different chunks count once, with the smallest doc_id
         order = np.lexsort((ids, keys))
         new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
@@ -345,7 +379,7 @@ def earlier_copies(table: DataFrame, shared: DataFrame, buckets: int, groups: in
         to = np.cumsum(count)
         least = np.repeat(ids[one], count)
         # a minimizer with a single run has no other strings; the runs of all others enter the transform
-        m = np.concatenate([[np.uint64(0)], minimizers(data, length)])[np.minimum(begin[one] + 1, max(len(data) - length + 1, 0))]
+        m = np.concatenate([minimizers(data[lo:hi], length)[begin[a:b] - lo] for a, b, lo, hi in parts_of(ends)])[one]
         by = np.argsort(m, kind="stable")
         lone = np.ones(len(one), bool)
         same = m[by][1:] == m[by][:-1]
@@ -388,8 +422,7 @@ def removal(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> D
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                ids, ends, data = _opened(row)
-                gone = np.zeros(len(data) + 1, np.int32)
+                every, all_ends, whole = _opened(row)
                 mine = [g for g in row["got"] or () if g["part"] == row["part"]]
                 if mine:
                     keys = np.concatenate([np.frombuffer(g["keys"], "<u8") for g in mine])
@@ -397,30 +430,35 @@ def removal(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> D
                     least = np.concatenate([np.repeat(np.frombuffer(g["least"], "<i8"), np.frombuffer(g["times"], "<u4")) for g in mine])
                     base = np.cumsum(count) - count
                     order = np.argsort(keys)
-                    first, n, _, doc = runs(data, ends, length)
-                    h = T.span_hash(data, first, first + n + length - 1)
-                    at = np.minimum(np.searchsorted(keys[order], h), len(keys) - 1)
-                    hit = keys[order][at] == h
-                    first, n, doc, at = first[hit], n[hit], doc[hit], order[at[hit]]
-                    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    early = least[np.repeat(base[at], n) + step] < np.repeat(ids[doc], n)
-                    start = (np.repeat(first, n) + step)[early]
-                    gone += np.bincount(start, minlength=len(gone)).astype(np.int32)
-                    gone -= np.bincount(start + length, minlength=len(gone)).astype(np.int32)[: len(gone)]
-                covered = np.cumsum(gone[:-1]) > 0
-                begins = ends - np.diff(ends, prepend=0)
-                total = np.concatenate([[0], np.cumsum(covered)])
-                edge = covered.copy()
-                edge[1:] &= ~covered[:-1]
-                edge[begins[begins < len(data)]] |= covered[begins[begins < len(data)]]
-                spans = np.concatenate([[0], np.cumsum(edge)])
-                removed = total[ends] - total[begins]
-                rest = [data[a:b][~covered[a:b]].tobytes() if r else data[a:b].tobytes() for a, b, r in zip(begins.tolist(), ends.tolist(), removed.tolist(), strict=True)]
-                cols = [pa.array(ids, mask=ids == LAST), pa.array(ends - begins), pa.array(removed), pa.array(spans[ends] - spans[begins]), pa.array([hashlib.sha256(r).hexdigest() for r in rest], pa.string())]
-                if with_text:
-                    cols.append(pa.array(rest, pa.binary()))
-                    cols.append(pa.array([hashlib.sha256(data[a:b].tobytes()).hexdigest() if r else None for a, b, r in zip(begins.tolist(), ends.tolist(), removed.tolist(), strict=True)], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names)
+                for x, y, lo, hi in parts_of(all_ends):
+                    ids, ends, data = every[x:y], all_ends[x:y] - lo, whole[lo:hi]
+                    gone = np.zeros(len(data) + 1, np.int32)
+                    if mine:
+                        first, n, _, doc = runs(data, ends, length)
+                        h = run_hashes(data, ends, first, n + length - 1)
+                        at = np.minimum(np.searchsorted(keys[order], h), len(keys) - 1)
+                        hit = keys[order][at] == h
+                        first, n, doc, at = first[hit], n[hit], doc[hit], order[at[hit]]
+                        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                        early = least[np.repeat(base[at], n) + step] < np.repeat(ids[doc], n)
+                        start = (np.repeat(first, n) + step)[early]
+                        gone += np.bincount(start, minlength=len(gone)).astype(np.int32)
+                        gone -= np.bincount(start + length, minlength=len(gone)).astype(np.int32)[: len(gone)]
+                    covered = np.cumsum(gone[:-1]) > 0
+                    begins = ends - np.diff(ends, prepend=0)
+                    total = np.concatenate([[0], np.cumsum(covered)])
+                    edge = covered.copy()
+                    edge[1:] &= ~covered[:-1]
+                    edge[begins[begins < len(data)]] |= covered[begins[begins < len(data)]]
+                    spans = np.concatenate([[0], np.cumsum(edge)])
+                    removed = total[ends] - total[begins]
+                    rest = [data[a:b][~covered[a:b]].tobytes() if r else data[a:b].tobytes() for a, b, r in zip(begins.tolist(), ends.tolist(), removed.tolist(), strict=True)]
+                    cols = [pa.array(ids, mask=ids == LAST), pa.array(ends - begins), pa.array(removed), pa.array(spans[ends] - spans[begins]), pa.array([hashlib.sha256(r).hexdigest() for r in rest], pa.string())]
+                    if with_text:
+                        kept = removed > 0  # only texts that lose bytes go on
+                        cols.append(pa.array(rest, pa.binary(), mask=~kept))
+                        cols.append(pa.array([hashlib.sha256(data[a:b].tobytes()).hexdigest() if r else None for a, b, r in zip(begins.tolist(), ends.tolist(), removed.tolist(), strict=True)], pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     joined = table.join(copies.hint("merge"), "chunk", "left").select("part", "ids", "sizes", "data", "got")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary, text_sha256 string" * with_text)
