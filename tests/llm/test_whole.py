@@ -288,3 +288,53 @@ def test_runs_part_by_part(monkeypatch):
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert peak < 12 * len(data)
+
+
+def test_open_strings_only(spark, monkeypatch):
+    """Strings that share a smallest gram by chance stay out of the transforms; the others get the smallest doc_id there."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes()
+    common, passage, seen, kept = letters(30), letters(90), [], bwt.repeated
+    chance = [letters(rng.integers(20, 200)) + common + letters(rng.integers(20, 200)) for _ in range(200)]
+    copied = [letters(40) + passage[i % 30 : 60 + i % 31] + letters(i) + passage[:55] for i in range(60)]
+    even = [b"ab" * 100, b"a" * 300, b"a" * 300 + b"ab" * 30, b"abcdefghijklmnopqrstuvwxyz0123456789" * 9, letters(30) + b"abcdefghijklmnopqrstuvwxyz0123456789" * 4]
+
+    def transform(text, length):
+        seen.append(len(text))
+        return kept(text, length)
+
+    monkeypatch.setattr(bwt, "repeated", transform)
+    for block in (1 << 18, 1000):  # one transform, and several
+        monkeypatch.setattr(bwt, "TRANSFORM_BYTES", block)
+        for texts, open_ in ((chance, 0), (chance + copied + even, 1)):
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            first, count, m, doc = bwt.runs(data, np.cumsum([len(t) for t in texts]))
+            size = count + bwt.LENGTH - 1
+            assert len(np.unique(m)) < len(m) - 100
+            where = bwt._ranges(first, count)
+            string = [data[x : x + bwt.LENGTH].tobytes() for x in where]
+            least = {}
+            for s, d in zip(string, np.repeat(doc, count).tolist(), strict=True):
+                least[s] = min(d, least.get(s, d))
+            # equal runs count once with their smallest doc_id, as groups see them
+            text = data[bwt._ranges(first, size)]
+            keys = [data[x : x + k].tobytes() for x, k in zip(first, size, strict=True)]
+            own = np.array([least_of for least_of in map({k: d for k, d in zip(keys[::-1], doc[::-1].tolist(), strict=True)}.get, keys)])
+            seen.clear()
+            got = bwt.earliest(text, size, own)
+            assert got.tolist() == [least[s] for s in string]
+            assert (len(seen) > 0) == bool(open_) and (len(seen) > 1) == (open_ and block == 1000) and sum(seen) < open_ * len(text) / 2 + 1
+    monkeypatch.undo()
+    rows = [(i, t.decode()) for i, t in enumerate(copied + even)] + [(90, "a" * 70000), (91, "b" + "a" * 80000), (92, "a" * 69999 + "c" + copied[5].decode())]
+    first = {}
+    for i, t in rows:
+        for j in range(len(t) - 49):
+            first.setdefault(t[j : j + 50], i)
+    want = {}
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for j in range(len(t) - 49):
+            if first[t[j : j + 50]] < i:
+                gone[j : j + 50] = b"\1" * 50
+        want[i] = sum(gone)
+    assert {r["doc_id"]: r["n_removed"] for r in bwt.removal(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want

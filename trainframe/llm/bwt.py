@@ -4,10 +4,14 @@ A byte goes when a string of ``LENGTH`` bytes over it also starts in a document
 as chunks of a few megabytes. (1) Each string has one minimizer, the smallest hash among its ``GRAM``-byte grams, so equal
 strings have equal minimizers. Chunks send their distinct minimizers, packed, to buckets, and get back those that occur in more than one
 document. (2) Strings with such a minimizer form runs of neighbouring strings; the runs go to groups by minimizer, equal
-runs of a chunk once, with the smallest doc_id. (3) Each group builds the transform of its runs and expands
+runs of a chunk once, with the smallest doc_id. (3) A string also holds half of the bytes that are left on the longer side of
+its minimizer, and equal strings hold equal ones; strings that share these bytes with another run are open. Each group builds
+the transform of its stretches of open strings and expands
 intervals breadth first: the interval of c+w comes from that of w by one backward step, lengths rise by one a round and stop at LENGTH,
 where the intervals left are the repeated strings; each yields its smallest doc_id. (4) Chunks get these back and cut the documents.
 
+Grams of 16 bytes that documents share by chance grow faster than the input; the 33 bytes of (3) do so far less, and with them the text of the transforms.
+
 A passage that a third of all documents hold counts once per chunk, so no key grows with it beyond the number of chunks.
 Null texts are empty. Strings never cross documents. A null doc_id counts as larger than any other. Rows of equal doc_id
 do not count as earlier than each other. Other columns pass through untouched.
@@ -30,9 +34,10 @@ from trainframe.session import scratch
 
 LENGTH, GRAM = 50, 16
 CHUNK_BYTES = 4 << 20
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 16 << 20
 LAST = 2**63 - 1
 SLICE_BYTES = 1 << 20
+TRANSFORM_BYTES = 1 << 18
 _BLOCK = 1 << 18
 
 
@@ -41,18 +46,7 @@ def minimizers(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.n
     n, w = len(data) - length + 1, length - gram + 1
     out = np.empty(max(n, 0), np.uint64)
     for lo in range(0, n, _BLOCK):
-        part = data[lo : min(lo + _BLOCK, n) + length - 1]
-        h, size, total, shift = T.BYTE_CODES[part], 1, None, 0
-        bits = gram
-        while bits:  # hash of a gram from those of its power-of-two parts
-            if bits & 1:
-                total = h if total is None else total[: len(part)] * np.uint64(pow(T.MULT, size, 2**64)) + _at(h, shift, len(total))
-                shift += size
-            bits >>= 1
-            if bits:
-                h = h[:-size] * np.uint64(pow(T.MULT, size, 2**64)) + h[size:]
-                size *= 2
-        v = T.mix(total[: len(part) - gram + 1]) >> np.uint64(8)  # seven bytes travel
+        v = gram_hashes(data[lo : min(lo + _BLOCK, n) + length - 1], gram)
         done = 1
         while done < w:
             step = min(done, w - done)
@@ -62,6 +56,21 @@ def minimizers(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.n
     return out
 
 
+def gram_hashes(part: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hash of the gram at each place."""
+    h, size, total, shift = T.BYTE_CODES[part], 1, None, 0
+    bits = gram
+    while bits:  # hash of a gram from those of its power-of-two parts
+        if bits & 1:
+            total = h if total is None else total[: len(part)] * np.uint64(pow(T.MULT, size, 2**64)) + _at(h, shift, len(total))
+            shift += size
+        bits >>= 1
+        if bits:
+            h = h[:-size] * np.uint64(pow(T.MULT, size, 2**64)) + h[size:]
+            size *= 2
+    return T.mix(total[: len(part) - gram + 1]) >> np.uint64(8)  # seven bytes travel
+
+
 def _at(h: np.ndarray, shift: int, n: int) -> np.ndarray:
     got = h[shift:]
     return np.concatenate([got, np.zeros(n - len(got), np.uint64)]) if len(got) < n else got[:n]
@@ -119,24 +128,39 @@ def _runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first ``depth`` symbols or more, and the rank of every suffix; by doubling."""
-    n = len(text)
-    key = np.zeros(n, np.int64)
-    for j in range(7):  # seven symbols of nine bits to begin with
-        key <<= 9
-        key[: max(n - j, 0)] += text[j:]
-    k = 7
+    """Suffixes sorted by their first ``depth`` symbols or more, and the rank of every suffix.
+
+    Each pass sorts by as many neighbouring ranks of the one before, symbols at first, as fit one number.
+    """
+    n, k = len(text), 1
+    used = np.bincount(text) > 0
+    rank = np.cumsum(used)[text] if n else np.zeros(0, np.int64)
     while True:
-        order = np.argsort(key, kind="stable")
+        bits = max(int(rank.max(initial=1)).bit_length(), 1)
+        take = min(63 // bits, -(-depth // k))
+        key = np.zeros(n, np.int64)
+        for j in range(0, take * k, k):
+            key <<= bits
+            key[: max(n - j, 0)] += rank[j:]
+        order = _order(key, take * bits)
         key = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if n else 0
-        if k >= depth or (n and rank[order[-1]] == n - 1):
-            return order, rank
-        other = np.zeros(n, np.int64)
-        other[: max(n - k, 0)] = rank[k:] + 1
-        key = rank * (n + 2) + other
-        k *= 2
+        rank[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])[:n])
+        k *= take
+        if k >= depth or rank.max(initial=0) == n:
+            return order, rank - 1
+
+
+def _order(key: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of numbers of so many bits; each pass sorts as many of them as fit beside the place."""
+    place = max(len(key) - 1, 1).bit_length()
+    order = None
+    for low in range(0, bits, 63 - place):
+        part = (key >> low) & ((1 << 63 - place) - 1)
+        part = part << place if order is None else part[order] << place
+        part = np.sort(part + np.arange(len(key))) & ((1 << place) - 1)
+        order = part if order is None else order[part]
+    return order
 
 
 def repeated(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -146,21 +170,24 @@ def repeated(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """
     n = len(text)
     order, _ = suffix_order(text, length)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     # following the transform: the suffix at slot i continues at slot after[i]; that inverts the backward step
     after = place[np.minimum(order + 1, n - 1)]
     symbol = text[order]
     border = np.ones(n + 1, bool)  # slot i begins an interval of the present length
     border[1:n] = symbol[1:] != symbol[:-1]
     open_ = np.flatnonzero(~border[:n])
+    here, before, gone = after[open_], after[open_ - 1], 0
     for _ in range(1, length):  # intervals of c+w from those of w: both slots begin with c and continue in one interval of w
-        if not len(open_):
+        interval = np.cumsum(border[:n], dtype=np.int32)
+        parted = interval[here] != interval[before]
+        if np.count_nonzero(parted) == gone:  # then no longer strings part them either
             break
-        interval = np.cumsum(border[:n])
-        parted = interval[after[open_]] != interval[after[open_ - 1]]
         border[open_[parted]] = True
-        open_ = open_[~parted]
+        gone = np.count_nonzero(parted)
+        if 8 * gone > len(open_):
+            open_, here, before, gone = open_[~parted], here[~parted], before[~parted], 0
     out = np.empty(n, np.int64)
     out[order] = np.cumsum(border[:n]) - 1
     return out
@@ -177,21 +204,96 @@ def smallest(strings: np.ndarray, size: np.ndarray, docs: np.ndarray, length: in
     starts = np.repeat(to - size + np.arange(len(size)), count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     kind = repeated(text, length)[starts]
     least = np.full(int(kind.max(initial=-1)) + 1, LAST, np.int64)
-    doc = np.repeat(docs, count)
-    order = np.argsort(kind, kind="stable")
-    if len(order):
-        sorted_kind = kind[order]
-        first = np.flatnonzero(np.diff(sorted_kind, prepend=-1))
-        least[sorted_kind[first]] = np.minimum.reduceat(doc[order], first)
+    np.minimum.at(least, kind, np.repeat(docs, count))
     return least[kind]
 
 
-def _pack_runs(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Run-length form of an int64 array: values and counts."""
-    if not len(values):
-        return b"", b""
-    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    return values[at].astype("<i8").tobytes(), np.diff(np.append(at, len(values))).astype("<u4").tobytes()
+def pieces(data: np.ndarray, size: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of runs of one minimizer each (runs of ``size`` bytes, one after another): strings, hash of the bytes they share, run; minimizer of each run.
+
+    The strings of a piece have their first smallest gram at one place and half of their other bytes, at least, on one side of it.
+    Their hash is that of the gram with this half, so equal strings of any runs are in pieces of equal hash.
+    """
+    got, least, half = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], [np.zeros(0, np.uint64)], (length - gram) // 2
+    for a, b, lo, hi in parts_of(np.cumsum(size)):
+        part, own = data[lo:hi], size[a:b]
+        to = np.cumsum(own)
+        begin, count, n = to - own, own - length + 1, own - gram + 1
+        at = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)  # grams do not cross runs
+        v = gram_hashes(part, gram)[at]
+        least.append(np.minimum.reduceat(v, np.cumsum(n) - n))
+        hit = v == np.repeat(least[-1], n)
+        places, nth = at[hit], np.cumsum(hit) - hit
+        start = np.arange(int(count.sum())) + np.repeat(np.cumsum(n) - n - (np.cumsum(count) - count), count)
+        place, start = places[nth[start]], at[start]
+        right = place - start < half
+        new = np.flatnonzero(np.diff(2 * place + right, prepend=-1))
+        place, right = place[new], right[new]
+        h = T.span_hash(part, np.where(right, place, place - half), np.where(right, place + gram + half, place + gram))
+        got.append((np.diff(np.append(new, len(start))), h, a + np.searchsorted(to, start[new], "right")))
+    count, h, run = (np.concatenate(g) for g in zip(*got, strict=True))
+    return count, h, run, np.concatenate(least)
+
+
+def earliest(data: np.ndarray, size: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The same as ``smallest`` for distinct runs of one minimizer each.
+
+    Only strings that may be in several runs enter a transform, and runs of different minimizers, which have no string in
+    common, enter different ones of about ``TRANSFORM_BYTES``.
+    """
+    count = size - length + 1
+    least = np.repeat(docs, count)
+    strings, h, run, m = pieces(data, size, length)
+    by = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]])[: len(h)])
+    each = np.diff(np.append(first, len(h)))
+    several = np.empty(len(h), bool)
+    several[by] = np.repeat(run[by][first] != run[by][first + each - 1], each)
+    pos = np.flatnonzero(np.repeat(several, strings))
+    if not len(pos):
+        return least
+    run = np.repeat(np.arange(len(size)), count)[pos]
+    head = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1] + 1) | (run[1:] != run[:-1])]))
+    run, first, k = run[head], pos[head], np.diff(np.append(head, len(pos)))
+    many = int((k + length - 1).sum()) // TRANSFORM_BYTES + 1
+    part = (T.mix(m[run]) >> np.uint64(32)) % np.uint64(many)
+    by = np.argsort(part, kind="stable")
+    for mine in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
+        own, n = run[mine], k[mine]
+        begin, size_ = first[mine] + own * (length - 1), n + length - 1
+        least[_ranges(first[mine], n)] = smallest(data[_ranges(begin, size_)], size_, docs[own], length)
+    return least
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, so many of each."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def _binary(values: np.ndarray, to: np.ndarray) -> pa.Array:
+    """A byte string of the values between each two neighbouring places."""
+    return pa.Array.from_buffers(pa.binary(), len(to) - 1, [None, pa.py_buffer((to * values.itemsize).astype("<i4")), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bits(flags: np.ndarray, to: np.ndarray) -> pa.Array:
+    """The same of flags, eight a byte."""
+    n = np.diff(to)
+    full = np.concatenate([[0], np.cumsum(-(-n // 8))])
+    out = np.zeros(8 * full[-1], bool)
+    out[_ranges(8 * full[:-1], n)] = flags
+    return _binary(np.packbits(out), full)
+
+
+def _column(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    return T.flat(table.column(name).cast(pa.large_binary()).combine_chunks())
+
+
+def _structs(cell: pa.Scalar, part: int) -> pa.Table:
+    """The structs of a list that belong to a part."""
+    if not cell.is_valid:
+        return pa.table({"part": pa.array([], pa.int64())})
+    table = pa.Table.from_batches([pa.RecordBatch.from_struct_array(cell.values)])
+    return table.filter(pa.array(table.column("part").to_numpy() == part))
 
 
 def chunks(docs: DataFrame) -> tuple[DataFrame, int, int]:
@@ -330,12 +432,13 @@ def earlier_copies(table: DataFrame, shared: DataFrame, buckets: int, groups: in
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c != "shared"}
                 ids, ends, data = _opened(row)
-                mine = [w for w in row["shared"] if w["part"] == row["part"]]
-                if not mine:
+                mine = _structs(batch.column("shared")[i], row["part"])
+                if not mine.num_rows:
                     continue
-                wanted = np.sort(np.concatenate([_from_five(w["q"]) | np.uint64(w["bucket"] << 40) for w in mine]))
+                q, offs = _column(mine, "q")
+                wanted = np.sort(_from_five(q.tobytes()) | np.repeat(mine.column("bucket").to_numpy().astype(np.uint64) << np.uint64(40), np.diff(offs) // 5))
                 first, count, m, doc = runs(data, ends, length)
                 bucket, q = _keys(m, buckets)
                 own = q | (bucket.astype(np.uint64) << np.uint64(40))
@@ -351,21 +454,32 @@ def earlier_copies(table: DataFrame, shared: DataFrame, buckets: int, groups: in
                 group = (T.mix(m[one]) % np.uint64(groups)).astype(np.int64)
                 by = np.argsort(group, kind="stable")
                 one, more, group = one[by], more[by], group[by]
-                at = np.flatnonzero(np.diff(group, prepend=-1))
-                raw, out = data.tobytes(), []
-                for a, b in zip(at, np.append(at[1:], len(one)), strict=True):
-                    mine = one[a:b]
-                    out.append((int(group[a]), row["chunk"], row["part"], np.packbits(more[a:b]).tobytes(), ids[doc[mine]].astype("<i8").tobytes(), size[mine].astype("<u2").tobytes() if size.max() < 65536 else b"", size[mine].astype("<u4").tobytes() if size.max() >= 65536 else b"", b"".join(raw[x : x + k] for x, k in zip(first[mine].tolist(), size[mine].tolist(), strict=True))))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), *(pa.binary(),) * 5))], ["group", "chunk", "part", "more", "ids", "short", "long", "data"])
+                if not len(one):
+                    continue
+                to = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(one))
+                first, size, raw, wide = first[one], size[one], data.tobytes(), size.max() >= 65536
+                text = b"".join(raw[x : x + k] for x, k in zip(first.tolist(), size.tolist(), strict=True))
+                none = _binary(size[:0], 0 * to)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(x, t) for x, t in ((group[to[:-1]], pa.int32()), (np.full(len(to) - 1, row["chunk"]), pa.int32()), (np.full(len(to) - 1, row["part"]), pa.int64()))),
+                        _bits(more, to), _binary(ids[doc[one]].astype("<i8"), to), none if wide else _binary(size.astype("<u2"), to), _binary(size.astype("<u4"), to) if wide else none,
+                        _binary(np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(size)])[to]),
+                    ],
+                    ["group", "chunk", "part", "more", "ids", "short", "long", "data"],
+                )
 
     def expand(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        sizes = [(np.frombuffer(r["short"], "<u2") if r["short"] else np.frombuffer(r["long"], "<u4")).astype(np.int64) for r in rows]
-        ids = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in rows])
-        more = np.concatenate([np.unpackbits(np.frombuffer(r["more"], np.uint8))[: len(k)].astype(bool) for r, k in zip(rows, sizes, strict=True)])
-        size = np.concatenate(sizes)
-        data = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8)
+        table = pa.Table.from_batches(list(batches))
+        ids, offs = _column(table, "ids")
+        ids, n = ids.view("<i8"), np.diff(offs) // 8
+        bits, offs = _column(table, "more")
+        more = np.unpackbits(bits)[_ranges(8 * offs[:-1], n)].astype(bool)
+        long, offs = _column(table, "long")
+        wide = np.repeat(np.diff(offs) > 0, n)
+        size = np.empty(len(ids), np.int64)
+        size[wide], size[~wide] = long.view("<u4"), _column(table, "short")[0].view("<u2")
+        data, offs = _column(table, "data")
         begin = np.cumsum(size) - size
         ends = np.cumsum(size)
         keys = run_hashes(data, ends, begin, size)
@@ -375,36 +489,39 @@ def earlier_copies(table: DataFrame, shared: DataFrame, buckets: int, groups: in
         which = np.empty(len(keys), np.int64)
         which[order] = np.cumsum(new) - 1
         one = order[new]
+        by = np.argsort(one)
+        place = np.empty(len(one), np.int64)
+        place[by] = np.arange(len(one))
+        which, one = place[which], one[by]
         count = size[one] - length + 1
         to = np.cumsum(count)
-        least = np.repeat(ids[one], count)
-        # a minimizer with a single run has no other strings; the runs of all others enter the transform
-        m = np.concatenate([minimizers(data[lo:hi], length)[begin[a:b] - lo] for a, b, lo, hi in parts_of(ends)])[one]
-        by = np.argsort(m, kind="stable")
-        lone = np.ones(len(one), bool)
-        same = m[by][1:] == m[by][:-1]
-        lone[by[1:][same]] = False
-        lone[by[:-1][same]] = False
-        mixed = np.flatnonzero(~lone)
-        if len(mixed):
-            pick = one[mixed]
-            own = np.repeat(begin[pick] - (np.cumsum(size[pick]) - size[pick]), size[pick]) + np.arange(int(size[pick].sum()))
-            k = count[mixed]
-            pos = np.repeat(to[mixed] - k - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-            least[pos] = smallest(data[own], size[pick], ids[pick], length)
+        distinct = np.zeros(len(keys), bool)
+        distinct[one] = True
+        least = earliest(data[np.repeat(distinct, size)], size[one], ids[one], length)
         early = np.minimum.reduceat(least, to - count)[which] < ids
-        at, out = 0, []
-        for r, k in zip(rows, sizes, strict=True):
-            mine = at + np.flatnonzero((early | more)[at : at + len(k)])
-            at += len(k)
-            if len(mine):
-                w = which[mine]
-                k = count[w]
-                pos = np.repeat(to[w] - k - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-                values, times = _pack_runs(least[pos])
-                out.append((r["chunk"], r["part"], keys[mine].astype("<u8").tobytes(), k.astype("<u4").tobytes(), values, times))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), *(pa.binary(),) * 4))], ["chunk", "part", "keys", "counts", "least", "times"])
+        lost = early | more
+        runs_to = np.concatenate([[0], np.cumsum(n)])
+        for x, y, _, _ in parts_of(offs[1:]):
+            mine = runs_to[x] + np.flatnonzero(lost[runs_to[x] : runs_to[y]])
+            own = np.searchsorted(mine, runs_to[x : y + 1])
+            here = x + np.flatnonzero(np.diff(own))
+            if not len(mine):
+                continue
+            w, own = which[mine], np.unique(own)
+            k = count[w]
+            values = least[_ranges(to[w] - k, k)]
+            strings = np.concatenate([[0], np.cumsum(k)])[own]
+            new = np.concatenate([[True], values[1:] != values[:-1]])  # runs of one value, row by row
+            new[strings[:-1]] = True
+            new = np.flatnonzero(new)
+            at = np.searchsorted(new, strings)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(table.column("chunk").to_numpy()[here]), pa.array(table.column("part").to_numpy()[here]), _binary(keys[mine].astype("<u8"), own), _binary(k.astype("<u4"), own),
+                    _binary(values[new].astype("<i8"), at), _binary(np.diff(np.append(new, len(values))).astype("<u4"), at),
+                ],
+                ["chunk", "part", "keys", "counts", "least", "times"],
+            )
 
     sent = table.join(shared.hint("merge"), "chunk").select(*table.columns, "shared").mapInArrow(send, "group int, chunk int, part long, more binary, ids binary, short binary, long binary, data binary")
     got = sent.groupBy("group").applyInArrow(expand, "chunk int, part long, keys binary, counts binary, least binary, times binary")
@@ -421,19 +538,18 @@ def removal(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> D
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c != "got"}
                 every, all_ends, whole = _opened(row)
-                mine = [g for g in row["got"] or () if g["part"] == row["part"]]
-                if mine:
-                    keys = np.concatenate([np.frombuffer(g["keys"], "<u8") for g in mine])
-                    count = np.concatenate([np.frombuffer(g["counts"], "<u4") for g in mine]).astype(np.int64)
-                    least = np.concatenate([np.repeat(np.frombuffer(g["least"], "<i8"), np.frombuffer(g["times"], "<u4")) for g in mine])
+                mine = _structs(batch.column("got")[i], row["part"])
+                if mine.num_rows:
+                    keys, count, values, times = (_column(mine, c)[0].view(t) for c, t in (("keys", "<u8"), ("counts", "<u4"), ("least", "<i8"), ("times", "<u4")))
+                    count, least = count.astype(np.int64), np.repeat(values, times)
                     base = np.cumsum(count) - count
                     order = np.argsort(keys)
                 for x, y, lo, hi in parts_of(all_ends):
                     ids, ends, data = every[x:y], all_ends[x:y] - lo, whole[lo:hi]
                     gone = np.zeros(len(data) + 1, np.int32)
-                    if mine:
+                    if mine.num_rows:
                         first, n, _, doc = runs(data, ends, length)
                         h = run_hashes(data, ends, first, n + length - 1)
                         at = np.minimum(np.searchsorted(keys[order], h), len(keys) - 1)
